@@ -1,0 +1,120 @@
+"""Derived inputs (FIXTURES.md part B), built by Spark from the shared tables so that
+every operator's work grows with the data.
+
+D-CHART: one chart per (user, day) and per (user, week) from ``events``; steps are event
+types, transitions link each event to the next one of the same chart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chartlake.charts import Charts
+from chartlake.session import table
+
+# Fixed values of the derived-chart rule (FIXTURES.md, D-CHART).
+CHART_VARIABLES = ["k", "acc", "last"]
+GUARD_SPLIT = 50
+
+
+def _k(props):
+    return F.get_json_object(props, "$.k").cast("int")
+
+
+def chart_events(events: DataFrame) -> DataFrame:
+    """Events tagged with their day and week chart (each event belongs to two charts)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value", _k(F.col("props")).alias("k"))
+    per = F.explode(
+        F.array(
+            F.struct(F.lit("day").alias("period"), F.date_trunc("day", "ts").alias("period_start")),
+            F.struct(F.lit("week").alias("period"), F.date_trunc("week", "ts").alias("period_start")),
+        )
+    )
+    ev = ev.select("*", per.alias("_p")).select(
+        "event_id", "ts", "user_id", "event_type", "value", "k",
+        F.col("_p.period").alias("period"), F.col("_p.period_start").alias("period_start"),
+    )
+    return ev.withColumn(
+        "model_id",
+        F.concat_ws("/", F.col("user_id").cast("string"), "period", F.date_format("period_start", "yyyy-MM-dd")),
+    )
+
+
+def with_next(df: DataFrame, keys: list[str], order: list[str], payload: list[str], bucket) -> DataFrame:
+    """Attach the next row (by ``order``) of the same ``keys`` group as struct ``_next``.
+
+    Skew-safe: the sort happens per (keys, bucket) so a hot key is spread over its
+    buckets; the link from the last row of a bucket to the first row of the next
+    non-empty bucket goes through a one-row-per-bucket summary.
+    """
+    o = F.struct(*order)
+    b = df.withColumn("_b", bucket).withColumn("_o", o)
+    row = F.struct("_o", *payload)
+    inb = b.withColumn("_next", F.lead(row).over(Window.partitionBy(*keys, "_b").orderBy("_o")))
+    firsts = b.groupBy(*keys, "_b").agg(F.min(row).alias("_first"))
+    nb = firsts.withColumn("_nb", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_b"))).select(
+        *keys, "_b", "_nb"
+    )
+    return (
+        inb.join(nb, [*keys, "_b"], "left")
+        .withColumn("_next", F.coalesce("_next", "_nb"))
+        .drop("_nb", "_b", "_o")
+    )
+
+
+def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week")) -> tuple[Charts, DataFrame]:
+    """D-CHART as exploded chart tables plus a model index
+    ``(model_id, user_id, period, period_start)``."""
+    ev = chart_events(events).filter(F.col("period").isin(list(periods)))
+    first = F.min(F.struct("ts", "event_id"))
+    models = ev.groupBy("model_id", "user_id", "period", "period_start").agg(
+        F.min(F.struct("ts", "event_id", "event_type")).alias("_f")
+    )
+    meta = models.select(
+        "model_id",
+        F.array(*[F.lit(v) for v in CHART_VARIABLES]).alias("variables"),
+        F.col("_f.event_type").alias("initial_step"),
+    )
+    index = models.select("model_id", "user_id", "period", "period_start")
+
+    st = ev.groupBy("model_id", "event_type").agg(first.alias("_f"))
+    steps = st.select(
+        "model_id",
+        (F.row_number().over(Window.partitionBy("model_id").orderBy("_f")) - 1).alias("ord"),
+        F.col("event_type").alias("name"),
+        F.concat(F.lit("acc := acc + "), F.length("event_type").cast("string"), F.lit("; last := k")).alias("function"),
+    )
+
+    linked = with_next(
+        ev, ["model_id"], ["ts", "event_id"], ["event_type"], F.date_trunc("minute", "ts")
+    ).filter(F.col("_next").isNotNull())
+    guard = F.when(F.col("k") >= GUARD_SPLIT, F.lit(f"k >= {GUARD_SPLIT}")).otherwise(F.lit(f"k < {GUARD_SPLIT}"))
+    tr = linked.select(
+        "model_id", "ts", "event_id",
+        F.col("event_type").alias("s"), F.col("_next.event_type").alias("t"), guard.alias("guard"),
+    ).groupBy("model_id", "s", "t", "guard").agg(first.alias("_f"))
+    transitions = tr.select(
+        "model_id",
+        (F.row_number().over(Window.partitionBy("model_id").orderBy("_f")) - 1).alias("t_idx"),
+        F.array("s").alias("src"),
+        F.array("t").alias("tgt"),
+        "guard",
+    )
+    return Charts(steps, transitions, meta), index
+
+
+def load_event_charts(spark: SparkSession, sf_dir: str, periods=("day", "week")):
+    return event_charts(table(spark, sf_dir, "events"), periods)
+
+
+def day_week_pairs(index: DataFrame) -> DataFrame:
+    """D-PAIR: model 1 = a user's day chart, model 2 = the same user's chart of the previous week."""
+    day = index.filter(F.col("period") == "day").select(
+        "user_id", F.col("model_id").alias("model1"),
+        F.date_sub(F.date_trunc("week", "period_start").cast("date"), 7).alias("_pw"),
+    )
+    week = index.filter(F.col("period") == "week").select(
+        "user_id", F.col("model_id").alias("model2"), F.col("period_start").cast("date").alias("_pw")
+    )
+    return day.join(week, ["user_id", "_pw"]).select(F.col("model1").alias("pair_id"), "model1", "model2")
