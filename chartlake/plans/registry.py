@@ -28,4 +28,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from chartlake.plans import (  # noqa: F401
         q_charts,
+        q_runs,
     )

@@ -118,3 +118,65 @@ def day_week_pairs(index: DataFrame) -> DataFrame:
         "user_id", F.col("model_id").alias("model2"), F.col("period_start").cast("date").alias("_pw")
     )
     return day.join(week, ["user_id", "_pw"]).select(F.col("model1").alias("pair_id"), "model1", "model2")
+
+
+def seq_number(df: DataFrame, keys: list[str], order: list[str], bucket) -> DataFrame:
+    """1-based position of each row in its ``keys`` group by ``order`` as column ``seq``.
+
+    Skew-safe: rows are ranked inside (keys, bucket) and shifted by the row counts of the
+    earlier buckets of the same group (a one-row-per-bucket running sum)."""
+    b = df.withColumn("_b", bucket)
+    inb = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
+    cnt = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    off = cnt.withColumn(
+        "_off",
+        F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).select(*keys, "_b", "_off")
+    return inb.join(off, [*keys, "_b"]).withColumn("seq", (F.col("_r") + F.col("_off")).cast("int")).drop("_b", "_r", "_off")
+
+
+# The five model names of the results sheet, in sheet order.
+MODELS = ["GPT4o", "Gemini", "LLaMA", "Claude", "Perplexity"]
+EXTS = ["txt", "html", "json"]
+ERROR_MESSAGE = "LLM failed to improve code."
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """D-ATTEMPT: one repair-loop attempt per event; job = (user, week)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value", _k(F.col("props")).alias("k"))
+    week = F.date_trunc("week", "ts")
+    ev = ev.select(
+        "*",
+        F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format(week, "yyyy-MM-dd")).alias("job_id"),
+        F.concat(F.lit("chart_"), F.col("user_id").cast("string")).alias("name"),
+        F.concat(F.lit("w"), F.date_format(week, "yyyyMMdd")).alias("type"),
+        F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("user_id") % 5 + 1).cast("int")).alias("model"),
+    )
+    ev = seq_number(ev, ["job_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    return ev.select(
+        "job_id", "name", "type", "model", F.col("seq").alias("attempt_no"),
+        ((F.col("event_type") == "purchase") & (F.col("k") >= 50)).alias("ok"),
+        ((F.col("event_type") == "error") & (F.col("k") < 30)).alias("error"),
+        F.when(F.col("k") % 10 != 0, F.col("k") * 10).cast("bigint").alias("tokens"),
+        F.col("value").alias("secs"),
+        "ts", "event_id",
+    )
+
+
+def load_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts(table(spark, sf_dir, "events"))
+
+
+def artifacts(att: DataFrame) -> DataFrame:
+    """D-ARTIFACT: one output file per attempt,
+    ``outputs/<model>/<success|failed>/<name>_<type>[_<iter>].<ext>``, mtime = attempt time."""
+    it = F.col("attempt_no") - 1
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (F.col("event_id") % 3 + 1).cast("int"))
+    base = F.concat_ws("_", "name", "type")
+    file = F.concat(base, F.when(it > 0, F.concat(F.lit("_"), it.cast("string"))).otherwise(F.lit("")), F.lit("."), ext)
+    status = F.when(F.col("ok"), "success").otherwise("failed")
+    return att.select(
+        F.concat_ws("/", F.lit("outputs"), "model", status, file).alias("path"),
+        file.alias("file"), ext.alias("ext"), "model", status.alias("status"),
+        F.col("ts").alias("mtime"), "attempt_no",
+    )
