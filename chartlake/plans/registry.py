@@ -29,4 +29,5 @@ def load_all() -> None:
     from chartlake.plans import (  # noqa: F401
         q_charts,
         q_runs,
+        q_text,
     )

@@ -180,3 +180,41 @@ def artifacts(att: DataFrame) -> DataFrame:
         file.alias("file"), ext.alias("ext"), "model", status.alias("status"),
         F.col("ts").alias("mtime"), "attempt_no",
     )
+
+
+# Fixed values of the derived document rule (FIXTURES.md, D-DOCS).
+LANG_STRATEGY = {"en": "Cost-Effective", "de": "Sweet Spot", "fr": "Accuracy-Effective", "es": "Semantic-View"}
+FILE_KINDS = ["iterative_prompting.txt", "prompt_refiner.txt", "PromptForUpgrade.txt", "PythonCodePrompt.txt", "notes.txt"]
+
+
+def prompt_docs(documents: DataFrame) -> DataFrame:
+    """D-DOCS: documents as prompt files with a strategy (by language), a version
+    (original / enhanced by doc id parity), an A/B pair key and a file kind (by source)."""
+    strat = F.create_map(*[x for k, v in LANG_STRATEGY.items() for x in (F.lit(k), F.lit(v))])
+    kind = F.element_at(F.array(*[F.lit(k) for k in FILE_KINDS]),
+                        (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 5 + 1).cast("int"))
+    return documents.select(
+        "doc_id", (F.col("doc_id") / 2).cast("bigint").alias("pair_key"),
+        F.coalesce(strat[F.col("lang")], F.lit("Cost-Effective")).alias("strategy"),
+        F.when(F.col("doc_id") % 2 == 0, "original").otherwise("enhanced").alias("version"),
+        F.col("source").alias("prompt_type"), kind.alias("file_name"), "text",
+    )
+
+
+def replies(conversations: DataFrame) -> DataFrame:
+    """D-RESP: assistant turns wrapped as model replies by ``turn % 5``: fenced python with
+    chart lists, bare fence, unfenced ``steps2`` / ``transitions2`` lines, an API error, plain."""
+    c = F.col("conv_id").cast("string")
+    t = F.col("turn").cast("string")
+    r0 = F.concat(
+        F.lit('Here is the fix:\n```python\nsteps2 = [{"name": "S'), c, F.lit('", "function": "x := '), t,
+        F.lit('"}]\ntransitions2 = [{"src": "S'), c, F.lit('", "tgt": "S'), c, F.lit('", "guard": "x >= '), t,
+        F.lit('"}]\n```\n'), F.col("text"))
+    r1 = F.concat(F.lit("```\n"), F.col("text"), F.lit("\n```"))
+    r2 = F.concat(
+        F.lit('steps2 = [\n  {"name": "S'), c, F.lit('", "function": "x := 1"}\n]\ntransitions2 = [{"src": "S'), c,
+        F.lit('", "tgt": "T'), t, F.lit('", "guard": "x >= 1"}]\n'), F.col("text"))
+    r3 = F.concat(F.lit("Error 403: the api key was rejected for request "), c, F.lit(". "), F.col("text"))
+    m = F.col("turn") % 5
+    reply = F.when(m == 0, r0).when(m == 1, r1).when(m == 2, r2).when(m == 3, r3).otherwise(F.col("text"))
+    return conversations.filter(F.col("role") == "assistant").select("conv_id", "turn", reply.alias("reply"))
