@@ -425,9 +425,9 @@ def run_quality_summary(quick: DataFrame, size_col: str = "size_kb") -> DataFram
                     X.grade(F.col("average_score"), GRADE_STATUS, "NEEDS_IMPROVEMENT").alias("status"))
 
 
-def effect_summary(pairs: DataFrame) -> DataFrame:
-    o = score_framework(F.col("orig_text"))
-    e = score_framework(F.col("enh_text"))
+def effect_summary(pairs: DataFrame, quality=None, docs=None, tech=None) -> DataFrame:
+    o = score_framework(F.col("orig_text"), quality, docs, tech)
+    e = score_framework(F.col("enh_text"), quality, docs, tech)
     p = pairs.select("pair_key", o["score"].alias("o"), e["score"].alias("e"),
                      X.char_count(F.col("orig_text")).alias("os"), X.char_count(F.col("enh_text")).alias("es"))
     return p.agg(

@@ -393,3 +393,244 @@ FROM ({_SC}) s LEFT JOIN strat_costs c ON c.strategy = s.strategy""", "strat_cos
 def q_scenario_recommendation(spark, sf):
     r = S.scenario_recommendation(_costs(spark, sf))
     return r.select("scenario", "strategy", F.round("cost_per_prompt", 9).alias("cost_per_prompt"), "mean_quality")
+
+
+# ---- T3-T7 / A10 / R1 ----------------------------------------------------------------------
+def _t3_sql(t="text"):
+    h, b, cb = s_count(t, S.HEADER_RE), s_count(t, S.BULLET_RE), s_count(t, S.CODE_BLOCK_RE)
+    sec = "(" + " + ".join(s_int(s_has(t, PATTERNS[s])) for s in S.STRUCTURE_SECTIONS) + ")"
+    n = f"length({t})"
+    score = (f"((CASE WHEN {h} >= 5 THEN 15 WHEN {h} >= 3 THEN 10 ELSE 5 END) + (CASE WHEN {b} >= 10 THEN 10 WHEN {b} >= 5 THEN 7 ELSE 3 END)"
+             f" + (CASE WHEN {cb} >= 3 THEN 10 WHEN {cb} >= 1 THEN 5 ELSE 0 END) + (CASE WHEN {sec} >= 4 THEN 15 WHEN {sec} >= 3 THEN 10 ELSE 5 END)"
+             f" + (CASE WHEN {n} > 5000 THEN 10 WHEN {n} > 2000 THEN 7 ELSE 3 END))")
+    issues = s_arr([(f"{h} < 3", q("Limited structural organization")), (f"{b} < 5", q("Limited use of structured formatting")),
+                    (f"{cb} < 1", q("No code examples provided")),
+                    (f"{sec} < 3", f"'Limited coverage (' || CAST({sec} AS VARCHAR) || '/5 key sections)'"),
+                    (f"{n} <= 2000", q("May be too brief for comprehensive guidance"))])
+    strengths = f"({s_int(f'{h} >= 3')} + {s_int(f'{b} >= 5')} + {s_int(f'{cb} >= 1')} + {s_int(f'{sec} >= 3')} + {s_int(f'{n} > 2000')} + {sec})"
+    return f"CAST(least({score}, 100) AS DOUBLE)", issues, strengths
+
+
+def _t4_sql(t="text"):
+    found = {k: s_has(t, PATTERNS[k]) for k, _ in S.CONTENT_INDICATORS}
+    pc = "(" + " + ".join(s_int(f"contains(lower({t}), {q(w)})") for w in TERMS) + ")"
+    score = "(" + " + ".join(s_b(found[k], p) for k, p in S.CONTENT_INDICATORS) + f" + (CASE WHEN {pc} >= 10 THEN 10 WHEN {pc} >= 5 THEN 5 ELSE 0 END))"
+    issues = s_arr([(f"NOT {found[k]}", q("Missing " + k.replace("_", " "))) for k, _ in S.CONTENT_INDICATORS]
+                   + [(f"{pc} < 5", f"'Limited professional terminology (' || CAST({pc} AS VARCHAR) || ' terms)'")])
+    strengths = "(" + " + ".join(s_int(found[k]) for k, _ in S.CONTENT_INDICATORS) + f" + {s_int(f'{pc} >= 5')})"
+    return f"CAST(least({score}, 100) AS DOUBLE)", issues, strengths
+
+
+def _t5_sql(t="text"):
+    ex = "(" + " + ".join(s_count(t, p) for p in S.EXPLANATION_RES) + ")"
+    st = "(" + " + ".join(s_count(t, p) for p in S.STEP_RES) + ")"
+    fmt = "(" + " + ".join(s_b(f"contains({t}, {q(e)})", 5) for e in S.MARKDOWN_ELEMENTS) + ")"
+    ln = s_lines(t)
+    score = (f"((CASE WHEN {ex} >= 15 THEN 20 WHEN {ex} >= 10 THEN 15 WHEN {ex} >= 5 THEN 10 ELSE 0 END)"
+             f" + (CASE WHEN {st} >= 5 THEN 20 WHEN {st} >= 3 THEN 15 ELSE 5 END) + least({fmt}, 40)"
+             f" + (CASE WHEN {ln} >= 100 THEN 20 WHEN {ln} >= 50 THEN 15 ELSE 5 END))")
+    issues = s_arr([(f"{ex} < 5", f"'Limited explanatory content (' || CAST({ex} AS VARCHAR) || ' instances)'"),
+                    (f"{st} < 3", f"'Limited step-by-step guidance (' || CAST({st} AS VARCHAR) || ' steps)'"),
+                    (f"{fmt} < 20", q("Limited markdown formatting")), (f"{ln} < 50", q("Documentation may be too brief"))])
+    strengths = f"({s_int(f'{ex} >= 5')} + {s_int(f'{st} >= 3')} + {s_int(f'{fmt} >= 20')} + {s_int(f'{ln} >= 50')})"
+    return f"CAST(least({score}, 100) AS DOUBLE)", issues, strengths
+
+
+def _t6_sql(t="text", name="file_name"):
+    chosen = "CASE " + " ".join(f"WHEN contains({name}, {q(p)}) THEN [" + ", ".join(q(e) for e in els) + "]"
+                                for p, els in S.COMPLETENESS_RULES) + " END"
+    return chosen
+
+
+cte("t3t6", ["ddocs"], f"""
+SELECT doc_id, file_name, text, {_t6_sql()} AS chosen FROM ddocs""")
+
+
+def _t7_sql():
+    s3, i3, n3 = _t3_sql()
+    s4, i4, n4 = _t4_sql()
+    s5, i5, n5 = _t5_sql()
+    k = "len(list_filter(chosen, lambda e: contains(lower(text), e)))"
+    n = "len(chosen)"
+    s6 = f"least({k} * (100.0 / {n}), 100.0)"
+    i6 = (f"list_concat(list_transform(list_filter(chosen, lambda e: NOT contains(lower(text), e)), lambda e: 'Missing ' || e),"
+          f" CASE WHEN {k} < {n} * 0.8 THEN ['Incomplete domain coverage'] ELSE [] END)")
+    n6 = f"({k} + CASE WHEN {k} >= {n} * 0.8 THEN 1 ELSE 0 END)"
+    return f"""
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS file_size, {s_lines('text')} AS line_count, {s_words('text')} AS word_count,
+       {s3} AS structure_score, {s4} AS content_score, {s5} AS documentation_score, {s6} AS completeness_score,
+       ({s3} + {s4} + {s5} + {s6}) / 4 AS overall_score,
+       list_concat(list_concat(list_concat({i3}, {i4}), {i5}), {i6}) AS issues,
+       CAST({n3} + {n4} + {n5} + {n6} AS INTEGER) AS n_strengths
+FROM t3t6"""
+
+
+cte("t7", ["t3t6"], _t7_sql())
+
+
+def _t7(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "file_name", "text")
+    return S.score_overall(d, "text", "file_name", PATTERNS, TERMS).drop("text", "file_name")
+
+
+_T7_COLS = ("doc_id, file_size, line_count, word_count, round(structure_score, 6) AS structure_score, round(content_score, 6) AS content_score, "
+            "round(documentation_score, 6) AS documentation_score, round(completeness_score, 6) AS completeness_score, "
+            "round(overall_score, 6) AS overall_score, array_to_string(issues, ' | ') AS issues_text, n_strengths")
+
+
+@query("score_overall", compose(f"SELECT {_T7_COLS} FROM t7", "t7"))
+def q_score_overall(spark, sf):
+    s = _t7(spark, sf)
+    r = lambda c: F.round(c, 6).alias(c)
+    return s.select("doc_id", "file_size", "line_count", "word_count", r("structure_score"), r("content_score"),
+                    r("documentation_score"), r("completeness_score"), r("overall_score"),
+                    F.array_join("issues", " | ").alias("issues_text"), "n_strengths")
+
+
+for _key, _col, _fn in (("score_structure", "structure_score", lambda t: S.score_structure(t, PATTERNS)),
+                        ("score_content", "content_score", lambda t: S.score_content(t, PATTERNS, TERMS)),
+                        ("score_documentation", "documentation_score", S.score_documentation)):
+    def _mk(col=_col, fn=_fn):
+        def run(spark, sf):
+            d = table(spark, sf, "documents")
+            s = fn(F.col("text"))
+            return d.select("doc_id", s["score"].alias(col), F.size(s["issues"]).cast("int").alias("n_issues"))
+        return run
+
+    _iss = {"structure_score": _t3_sql, "content_score": _t4_sql, "documentation_score": _t5_sql}[_col]()[1]
+    query(_key, compose(
+        f"SELECT t7.doc_id, t7.{_col}, CAST(len({_iss}) AS INTEGER) AS n_issues FROM t7 JOIN ddocs USING (doc_id)",
+        "t7", "ddocs"))(_mk())
+
+
+@query("score_completeness", compose("""
+SELECT doc_id, file_name, round(least(len(list_filter(chosen, lambda e: contains(lower(text), e))) * (100.0 / len(chosen)), 100.0), 6) AS score,
+       CASE WHEN len(list_filter(chosen, lambda e: contains(lower(text), e))) = len(chosen) THEN 'complete'
+            WHEN len(list_filter(chosen, lambda e: contains(lower(text), e))) >= len(chosen) * 0.8 THEN 'good' ELSE 'incomplete' END AS coverage
+FROM t3t6""", "t3t6"))
+def q_score_completeness(spark, sf):
+    d = _docs(spark, sf)
+    c = S.score_completeness(F.col("text"), F.col("file_name"))
+    return d.select("doc_id", "file_name", F.round(c["score"], 6).alias("score"), c["coverage"].alias("coverage"))
+
+
+@query("quality_report", compose("""
+SELECT CAST(count(*) AS BIGINT) AS total_files, round(avg(overall_score), 6) AS average_score, round(avg(file_size), 6) AS average_size,
+       round(avg(line_count), 6) AS average_lines, CAST(sum(len(issues)) AS BIGINT) AS total_issues,
+       CAST(sum(n_strengths) AS BIGINT) AS total_strengths,
+       count(*) FILTER (WHERE overall_score >= 90) AS excellent_files,
+       count(*) FILTER (WHERE overall_score >= 75 AND overall_score < 90) AS good_files,
+       count(*) FILTER (WHERE overall_score >= 60 AND overall_score < 75) AS adequate_files,
+       count(*) FILTER (WHERE overall_score < 60) AS needs_improvement
+FROM t7""", "t7"))
+def q_quality_report(spark, sf):
+    r = S.quality_report(_t7(spark, sf))
+    return r.select("total_files", *[F.round(c, 6).alias(c) for c in ("average_score", "average_size", "average_lines")],
+                    F.col("total_issues").cast("bigint"), F.col("total_strengths").cast("bigint"),
+                    "excellent_files", "good_files", "adequate_files", "needs_improvement")
+
+
+@query("score_grade", compose("""
+SELECT doc_id, CASE WHEN overall_score >= 90 THEN 'excellent' WHEN overall_score >= 75 THEN 'good'
+       WHEN overall_score >= 60 THEN 'adequate' ELSE 'needs_improvement' END AS grade FROM t7""", "t7"))
+def q_score_grade(spark, sf):
+    s = _t7(spark, sf)
+    return s.select("doc_id", X.grade(F.col("overall_score"), S.GRADE_REPORT, "needs_improvement").alias("grade"))
+
+
+_RANK_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, {q(n)} AS ranking, CAST({c} AS DOUBLE) AS score FROM t7" for n, c in S.RANKINGS)
+
+
+@query("rank_by_each_score", compose(f"""
+SELECT doc_id, ranking, round(score, 6) AS score, row_number() OVER (PARTITION BY ranking ORDER BY score DESC, doc_id) AS rank
+FROM ({_RANK_SQL})""", "t7"))
+def q_rank_by_each_score(spark, sf):
+    r = S.rank_by_each_score(_t7(spark, sf))
+    return r.select("doc_id", "ranking", F.round("score", 6).alias("score"), F.col("rank"))
+
+
+# ---- T8 / R2 / A11 -------------------------------------------------------------------------
+def _t8_sql(t="text"):
+    found = "(" + " + ".join(s_int(f"contains(lower({t}), {q(w)})") for w in QUICK_SECTIONS) + ")"
+    ft = "(" + " + ".join(s_int(f"contains(lower({t}), {q(w)})") for w in QUICK_TERMS) + ")"
+    hashes = f"(length({t}) - length(replace({t}, '#', '')))"
+    n = f"length({t})"
+    score = (f"least({s_b(f'{hashes} >= 5', 20)} + {s_b(f'contains({t}, {q(chr(42) * 2)})', 10)} + {s_b(f'contains({t}, {q(chr(96) * 3)})', 15)}"
+             f" + {found} * 10 + (CASE WHEN {n} > 3000 THEN 15 WHEN {n} > 1000 THEN 10 ELSE 0 END) + {ft} * 5, 100)")
+    issues = s_arr([(f"{hashes} < 5", q("Limited header structure")), (f"NOT contains({t}, '**')", q("No bold formatting")),
+                    (f"NOT contains({t}, '```')", q("No code blocks")),
+                    (f"{found} < 3", f"'Only ' || CAST({found} AS VARCHAR) || '/5 key sections found'"),
+                    (f"{n} <= 1000", q("Prompt may be too brief"))])
+    return score, issues
+
+
+cte("t8", ["ddocs"], "SELECT doc_id, CAST({0} AS INTEGER) AS score, {1} AS issues, round(length(text) / 1024.0, 9) AS size_kb FROM ddocs"
+    .format(*_t8_sql()))
+
+
+def _t8(spark, sf):
+    d = _docs(spark, sf)
+    s = S.score_quick(F.col("text"), QUICK_SECTIONS, QUICK_TERMS)
+    return d.select("doc_id", s["score"].cast("int").alias("score"), s["issues"].alias("issues"),
+                    F.round(X.char_count(F.col("text")) / 1024.0, 9).alias("size_kb"))
+
+
+@query("score_quick", compose("SELECT doc_id, score, array_to_string(issues, ' | ') AS issues_text, size_kb FROM t8", "t8"))
+def q_score_quick(spark, sf):
+    return _t8(spark, sf).select("doc_id", "score", F.array_join("issues", " | ").alias("issues_text"), "size_kb")
+
+
+@query("top_k", compose("""
+SELECT doc_id, score, array_to_string(issues[1:3], ' | ') AS first_issues,
+       CASE WHEN len(issues) > 3 THEN '... and ' || CAST(len(issues) - 3 AS VARCHAR) || ' more' END AS more
+FROM t8 ORDER BY score DESC, doc_id LIMIT 3""", "t8"))
+def q_top_k(spark, sf):
+    t = S.top_k(_t8(spark, sf))
+    return t.select("doc_id", "score", F.array_join("first_issues", " | ").alias("first_issues"), "more")
+
+
+@query("run_quality_summary", compose("""
+SELECT CAST(count(*) AS BIGINT) AS files, round(avg(score), 6) AS average_score, round(sum(size_kb), 6) AS total_kb,
+       round(avg(size_kb), 6) AS average_kb, CAST(sum(len(issues)) AS BIGINT) AS total_issues,
+       round(sum(size_kb) / (count(*) * 0.5), 6) AS enhancement_factor,
+       CASE WHEN avg(score) >= 85 THEN 'EXCELLENT' WHEN avg(score) >= 75 THEN 'GOOD' WHEN avg(score) >= 60 THEN 'ADEQUATE'
+            ELSE 'NEEDS_IMPROVEMENT' END AS status
+FROM t8""", "t8"))
+def q_run_quality_summary(spark, sf):
+    r = S.run_quality_summary(_t8(spark, sf))
+    return r.select("files", *[F.round(c, 6).alias(c) for c in ("average_score", "total_kb", "average_kb")],
+                    F.col("total_issues").cast("bigint"), F.round("enhancement_factor", 6).alias("enhancement_factor"), "status")
+
+
+# ---- T9 / A12 --------------------------------------------------------------------------------
+def _t9_sql(t):
+    h = s_count(t, r"(?m)^#+\s+")
+    fq = "(" + " + ".join(s_int(f"contains(lower({t}), {q(w)})") for w in FW_QUALITY) + ")"
+    fd = "(" + " + ".join(s_int(f"contains(lower({t}), {q(w)})") for w in FW_DOCS) + ")"
+    ft = "(" + " + ".join(s_int(f"contains(lower({t}), {q(w)})") for w in FW_TECH) + ")"
+    score = f"CAST(least((CASE WHEN {h} >= 5 THEN 25 WHEN {h} >= 3 THEN 15 ELSE 5 END) + {fq} * 5 + {fd} * 6 + {ft} * 5, 100) AS DOUBLE)"
+    return score, fq, fd, ft
+
+
+@query("score_framework", compose("""
+SELECT doc_id, {0} AS score, {1} >= 4 AS comprehensive_content, {2} >= 3 AS well_documented, {3} >= 4 AS technically_complete
+FROM ddocs""".format(*_t9_sql("text")), "ddocs"))
+def q_score_framework(spark, sf):
+    d = _docs(spark, sf)
+    s = S.score_framework(F.col("text"), FW_QUALITY, FW_DOCS, FW_TECH)
+    return d.select("doc_id", s["score"].alias("score"), s["comprehensive_content"].alias("comprehensive_content"),
+                    s["well_documented"].alias("well_documented"), s["technically_complete"].alias("technically_complete"))
+
+
+@query("effect_summary", compose("""
+SELECT CAST(count(*) AS BIGINT) AS pairs, round(avg(e - o), 6) AS average_quality_improvement,
+       round(avg(es / os), 6) AS average_size_factor,
+       round(avg(CASE WHEN o > 0 THEN (e - o) / o * 100 ELSE 0.0 END), 6) AS average_improvement_pct
+FROM (SELECT {0} AS o, {1} AS e, CAST(length(orig_text) AS DOUBLE) AS os, CAST(length(enh_text) AS DOUBLE) AS es FROM ab_pairs)
+""".format(_t9_sql("orig_text")[0], _t9_sql("enh_text")[0]), "ab_pairs"))
+def q_effect_summary(spark, sf):
+    p = S.ab_pairs(_docs(spark, sf))
+    r = S.effect_summary(p, FW_QUALITY, FW_DOCS, FW_TECH)
+    return r.select("pairs", *[F.round(c, 6).alias(c) for c in (
+        "average_quality_improvement", "average_size_factor", "average_improvement_pct")])
