@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # X5 / X6 ---------------------------------------------------------------------------
 TOKENS_PER_WORD = 1 / 0.75
@@ -96,7 +97,7 @@ def strip_markdown_fence(t: Column) -> Column:
 ARROWS = [("→", "->"), ("←", "<-"), ("⇒", "=>"), ("⇐", "<=")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -190,7 +191,7 @@ def _syntax_error(code: str | None) -> str | None:
         return f"Syntax Error: {e}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def syntax_error(code: pd.Series) -> pd.Series:
     """Parse-only Python syntax check (never executes); NULL when the code parses."""
     return code.map(_syntax_error)

@@ -458,3 +458,97 @@ def scenario_recommendation(costs: DataFrame, scenarios=None) -> DataFrame:
     sc = costs.sparkSession.createDataFrame(scenarios or SCENARIOS, "scenario string, strategy string")
     return F.broadcast(sc).join(costs, "strategy", "left").select(
         "scenario", "strategy", "cost_per_prompt", "mean_quality")
+
+
+# X11 -----------------------------------------------------------------------------
+DICT_STRUCTURE_RE = r"(?s)\{\s*[\"']name[\"']\s*:\s*[\"'].*?[\"'].*?\}"
+
+
+def chart_blocks_validate(code: Column) -> Column:
+    """0-100 structure score (4 x 25) and the issue list of a generated chart reply."""
+    has_eq = code.contains("=")
+    c1 = code.contains("steps") & has_eq
+    c2 = code.contains("transitions") & has_eq
+    c3 = code.rlike(DICT_STRUCTURE_RE)
+    c4 = code.contains('"name"') | code.contains("'name'")
+    score = (_pts(c1, 25) + _pts(c2, 25) + _pts(c3, 25) + _pts(c4, 25)).cast("double")
+    issues = _issues((~c1, "Missing 'steps' definition"), (~c2, "Missing 'transitions' definition"),
+                     (~c3, "Invalid dictionary structure"), (~c4, "Missing proper key quoting"))
+    return F.struct(score.alias("score"), issues.alias("issues"))
+
+
+# X12 -----------------------------------------------------------------------------
+# Per-domain feature rules. Each rule: case-sensitive all / any / none word lists,
+# lower-case any / none lists, and the issue text when it fails.
+DOMAIN_RULES = {
+    "factorial": [
+        dict(any_lc=["temp"], issue="Missing 'temp' variable for loop tracking"),
+        dict(any_lc=["cleanup", "reset"], issue="Missing cleanup mechanism"),
+    ],
+    "dec2hex_r1": [
+        dict(all_cs=["mod 16"], none_cs=["mod 15"], issue="Incorrect modulo operation (should be mod 16)"),
+        dict(none_lc=["float"], none_cs=["/"], issue="Contains floating point operations"),
+    ],
+    "dec2hex_r2": [
+        dict(any_cs=['"Error"', "'Error'"], issue="Missing string-based error handling"),
+        dict(all_cs=["HexValue"], any_lc=["string", "str"], issue="HexValue not properly handled as string"),
+    ],
+}
+
+
+def _rule_ok(code: Column, r: dict) -> Column:
+    lo = F.lower(code)
+    ok = F.lit(True)
+    for w in r.get("all_cs", []):
+        ok = ok & code.contains(w)
+    if r.get("any_cs"):
+        ok = ok & X.has_any(code, r["any_cs"], lower=False)
+    for w in r.get("none_cs", []):
+        ok = ok & ~code.contains(w)
+    if r.get("any_lc"):
+        ok = ok & X.has_any(lo, r["any_lc"], lower=False)
+    for w in r.get("none_lc", []):
+        ok = ok & ~lo.contains(w)
+    return ok
+
+
+def domain_validate(code: Column, domain: Column, n_features: Column | int = 2, rules=None) -> Column:
+    """Points (100 / number of expected features) per satisfied domain rule, plus issues."""
+    rules = rules or DOMAIN_RULES
+    per = F.lit(100.0) / n_features if isinstance(n_features, int) else F.lit(100.0) / n_features
+    score = F.lit(0.0)
+    issues = F.array().cast("array<string>")
+    for dom, rs in rules.items():
+        d_score = sum(_pts(_rule_ok(code, r), 1) for r in rs) * per
+        d_issues = _issues(*[(~_rule_ok(code, r), r["issue"]) for r in rs])
+        score = F.when(domain == dom, d_score).otherwise(score)
+        issues = F.when(domain == dom, d_issues).otherwise(issues)
+    return F.struct(score.cast("double").alias("score"), issues.alias("issues"))
+
+
+# T10 / A9 ----------------------------------------------------------------------------
+def score_reply(code: Column, domain: Column) -> Column:
+    """Mean of syntax (100 / 0), structure and domain scores, with all errors."""
+    err = X.syntax_error(code)
+    syn = F.when(err.isNull(), 100.0).otherwise(0.0)
+    st = chart_blocks_validate(code)
+    dm = domain_validate(code, domain)
+    errors = F.concat(F.when(err.isNull(), F.array().cast("array<string>")).otherwise(F.array(err)), st["issues"], dm["issues"])
+    return F.struct(syn.alias("syntax_valid"), st["score"].alias("structure_score"), dm["score"].alias("domain_score"),
+                    ((syn + st["score"] + dm["score"]) / 3).alias("overall_score"), errors.alias("errors"))
+
+
+def version_compare(scored: DataFrame, version_col: str = "version", original: str = "original") -> DataFrame:
+    """Mean score per version, improvement %, error totals and reduction, recommendation."""
+    is_o = F.col(version_col) == original
+    a = scored.agg(
+        F.avg(F.when(is_o, F.col("overall_score"))).alias("original_score"),
+        F.avg(F.when(~is_o, F.col("overall_score"))).alias("improved_score"),
+        F.sum(F.when(is_o, F.size("errors"))).alias("original_errors"),
+        F.sum(F.when(~is_o, F.size("errors"))).alias("improved_errors"),
+    )
+    pct = F.when(F.col("original_score") > 0,
+                 (F.col("improved_score") - F.col("original_score")) / F.col("original_score") * 100).otherwise(0.0)
+    return a.select("*", pct.alias("improvement_percentage"),
+                    (F.col("original_errors") - F.col("improved_errors")).alias("error_reduction"),
+                    X.grade(pct, [(20, "deploy"), (10, "refine")], "review", strict=True).alias("recommendation"))

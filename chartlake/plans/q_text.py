@@ -634,3 +634,72 @@ def q_effect_summary(spark, sf):
     r = S.effect_summary(p, FW_QUALITY, FW_DOCS, FW_TECH)
     return r.select("pairs", *[F.round(c, 6).alias(c) for c in (
         "average_quality_improvement", "average_size_factor", "average_improvement_pct")])
+
+
+# ---- X3 / X11 / X12 / X13 / T10 / A9 ---------------------------------------------------
+DOMAINS = ["factorial", "dec2hex_r1", "dec2hex_r2"]
+
+
+@query("extract_blocks")
+def q_extract_blocks(spark, sf):
+    r = _resp(spark, sf)
+    return r.select("conv_id", "turn", F.posexplode(X.extract_blocks(F.col("reply"))).alias("pos", "block"))
+
+
+@query("chart_blocks_validate", compose(f"""
+SELECT conv_id, turn, CAST({s_b("contains(reply, 'steps') AND contains(reply, '=')", 25)} + {s_b("contains(reply, 'transitions') AND contains(reply, '=')", 25)}
+       + {s_b(f"regexp_matches(reply, {q(S.DICT_STRUCTURE_RE)})", 25)} + {s_b("contains(reply, '" + '"name"' + "') OR contains(reply, '''name''')", 25)} AS DOUBLE) AS score
+FROM dresp""", "dresp"))
+def q_chart_blocks_validate(spark, sf):
+    r = _resp(spark, sf)
+    return r.select("conv_id", "turn", S.chart_blocks_validate(F.col("reply"))["score"].alias("score"))
+
+
+def _rule_sql(r, t="reply"):
+    parts = [f"contains({t}, {q(w)})" for w in r.get("all_cs", [])]
+    if r.get("any_cs"):
+        parts.append(s_has(t, r["any_cs"], lower=False))
+    parts += [f"NOT contains({t}, {q(w)})" for w in r.get("none_cs", [])]
+    if r.get("any_lc"):
+        parts.append(s_has(t, r["any_lc"]))
+    parts += [f"NOT contains(lower({t}), {q(w)})" for w in r.get("none_lc", [])]
+    return "(" + " AND ".join(parts) + ")"
+
+
+_DOMAIN_SCORE = "CASE " + " ".join(
+    f"WHEN domain = {q(d)} THEN (" + " + ".join(s_int(_rule_sql(r)) for r in rs) + ") * 50.0" for d, rs in S.DOMAIN_RULES.items()
+) + " ELSE 0.0 END"
+_DOMAIN_LIST = "[" + ", ".join(q(d) for d in DOMAINS) + "]"
+
+
+@query("domain_validate", compose(f"""
+SELECT conv_id, turn, domain, CAST({_DOMAIN_SCORE} AS DOUBLE) AS score
+FROM (SELECT *, {_DOMAIN_LIST}[conv_id % 3 + 1] AS domain FROM dresp)""", "dresp"))
+def q_domain_validate(spark, sf):
+    r = _resp(spark, sf).withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), (F.col("conv_id") % 3 + 1).cast("int")))
+    return r.select("conv_id", "turn", "domain", S.domain_validate(F.col("reply"), F.col("domain"))["score"].alias("score"))
+
+
+@query("syntax_valid")
+def q_syntax_valid(spark, sf):
+    c = _resp(spark, sf).select("conv_id", "turn", X.extract_code_block(F.col("reply")).alias("code"))
+    e = X.syntax_error(F.col("code"))
+    return c.select("conv_id", "turn", F.when(e.isNull(), 100.0).otherwise(0.0).alias("syntax_score"), e.alias("error"))
+
+
+def _scored_replies(spark, sf):
+    r = _resp(spark, sf).withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), (F.col("conv_id") % 3 + 1).cast("int")))
+    r = r.withColumn("version", F.when(F.col("conv_id") % 2 == 0, "original").otherwise("improved"))
+    s = S.score_reply(X.extract_code_block(F.col("reply")), F.col("domain"))
+    return r.select("conv_id", "turn", "domain", "version", s.alias("s")).select("conv_id", "turn", "domain", "version", "s.*")
+
+
+@query("score_reply")
+def q_score_reply(spark, sf):
+    return _scored_replies(spark, sf).select("conv_id", "turn", "syntax_valid", "structure_score", "domain_score",
+                                             F.round("overall_score", 6).alias("overall_score"), F.size("errors").alias("n_errors"))
+
+
+@query("version_compare")
+def q_version_compare(spark, sf):
+    return S.version_compare(_scored_replies(spark, sf))
