@@ -121,7 +121,7 @@ def guard_atoms(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
         F.regexp_extract(canon, r"^(?:not )?([^ ]+)", 1).alias("var"),
         F.regexp_extract(canon, r"^(?:not )?[^ ]+ ([^ ]+) ", 1).alias("op"),
         F.regexp_extract(canon, r"^(?:not )?[^ ]+ [^ ]+ (.+)$", 1).alias("val"),
-        canon.startswith("not ").alias("negated"),
+        F.coalesce(canon.startswith("not "), F.lit(False)).alias("negated"),
         canon.isNotNull().alias("parsed"),
     )
 

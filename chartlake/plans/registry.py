@@ -30,4 +30,5 @@ def load_all() -> None:
         q_charts,
         q_runs,
         q_text,
+        q_guards,
     )

@@ -63,9 +63,32 @@ def with_next(df: DataFrame, keys: list[str], order: list[str], payload: list[st
     )
 
 
-def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week")) -> tuple[Charts, DataFrame]:
+def dialect_guard(k, event_type, event_id, nxt):
+    """D-CHART-G guard spelling and target by ``event_id % 9``: plain, ``=``, ``<>``, ``&&``,
+    ``AND`` with the constant first, ``not``, quoted ``'True'``, a bad ``>>`` operator, and a
+    missing guard whose target names an unknown step."""
+    v = event_id % 9
+    ks = k.cast("string")
+    base = F.when(k >= GUARD_SPLIT, F.lit(f"k >= {GUARD_SPLIT}")).otherwise(F.lit(f"k < {GUARD_SPLIT}"))
+    guard = (
+        F.when(v == 1, F.concat(F.lit("k = "), ks))
+        .when(v == 2, F.concat(F.lit("k <> "), ks))
+        .when(v == 3, F.concat(F.lit(f"k >= {GUARD_SPLIT} && is_"), event_type))
+        .when(v == 4, F.concat(ks, F.lit(" < k AND flag")))
+        .when(v == 5, F.concat(F.lit("not k > "), ks))
+        .when(v == 6, F.lit("'True'"))
+        .when(v == 7, F.lit("x >> 1"))
+        .when(v == 8, F.lit(""))
+        .otherwise(base)
+    )
+    tgt = F.when(v == 8, F.concat(F.lit("Unknown_"), nxt)).otherwise(nxt)
+    return guard, tgt
+
+
+def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week"), dialects: bool = False) -> tuple[Charts, DataFrame]:
     """D-CHART as exploded chart tables plus a model index
-    ``(model_id, user_id, period, period_start)``."""
+    ``(model_id, user_id, period, period_start)``; ``dialects=True`` gives D-CHART-G
+    (guards in several spellings, some faulty)."""
     ev = chart_events(events).filter(F.col("period").isin(list(periods)))
     first = F.min(F.struct("ts", "event_id"))
     models = ev.groupBy("model_id", "user_id", "period", "period_start").agg(
@@ -89,10 +112,14 @@ def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week"))
     linked = with_next(
         ev, ["model_id"], ["ts", "event_id"], ["event_type"], F.date_trunc("minute", "ts")
     ).filter(F.col("_next").isNotNull())
-    guard = F.when(F.col("k") >= GUARD_SPLIT, F.lit(f"k >= {GUARD_SPLIT}")).otherwise(F.lit(f"k < {GUARD_SPLIT}"))
+    if dialects:
+        guard, tgt = dialect_guard(F.col("k"), F.col("event_type"), F.col("event_id"), F.col("_next.event_type"))
+    else:
+        guard = F.when(F.col("k") >= GUARD_SPLIT, F.lit(f"k >= {GUARD_SPLIT}")).otherwise(F.lit(f"k < {GUARD_SPLIT}"))
+        tgt = F.col("_next.event_type")
     tr = linked.select(
         "model_id", "ts", "event_id",
-        F.col("event_type").alias("s"), F.col("_next.event_type").alias("t"), guard.alias("guard"),
+        F.col("event_type").alias("s"), tgt.alias("t"), guard.alias("guard"),
     ).groupBy("model_id", "s", "t", "guard").agg(first.alias("_f"))
     transitions = tr.select(
         "model_id",
@@ -104,8 +131,8 @@ def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week"))
     return Charts(steps, transitions, meta), index
 
 
-def load_event_charts(spark: SparkSession, sf_dir: str, periods=("day", "week")):
-    return event_charts(table(spark, sf_dir, "events"), periods)
+def load_event_charts(spark: SparkSession, sf_dir: str, periods=("day", "week"), dialects: bool = False):
+    return event_charts(table(spark, sf_dir, "events"), periods, dialects)
 
 
 def day_week_pairs(index: DataFrame) -> DataFrame:
