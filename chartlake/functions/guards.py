@@ -193,6 +193,31 @@ def fold_assignments(seq: Column) -> Column:
     return F.aggregate(seq, init, step, lambda acc: acc["cur"])
 
 
+def parse_assignments(function: Column) -> Column:
+    """``ARRAY<STRUCT<lhs, rhs>>`` of one step function (fragments without ``:=`` ignored;
+    for a repeated left-hand side within the step the last one wins)."""
+    frags = F.filter(F.transform(F.split(F.coalesce(function, F.lit("")), ";"), lambda s: F.trim(s)),
+                     lambda s: s.contains(":="))
+    pairs = F.transform(frags, lambda a: F.struct(
+        F.trim(F.substring_index(a, ":=", 1)).alias("lhs"),
+        F.trim(F.regexp_extract(a, r"^[^:]*:=(.*)$", 1)).alias("rhs")))
+    return F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, 1 << 20), lambda b: b["lhs"] == a["lhs"]))
+
+
+def fold_functions(fun_seq: Column) -> Column:
+    """Fold an ordered ``ARRAY<STRING>`` of step functions into the final ``MAP<var, expr>``;
+    the assignments of one step are parallel (they see the values from before the step)."""
+    empty = F.create_map().cast("map<string,string>")
+
+    def step(m, f):
+        g = parse_assignments(f)
+        lhs = F.transform(g, lambda a: a["lhs"])
+        new = F.map_from_entries(F.transform(g, lambda a: F.struct(a["lhs"].alias("key"), substitute(a["rhs"], m).alias("value"))))
+        return F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(lhs, k)), new)
+
+    return F.aggregate(fun_seq, empty, step)
+
+
 # E10 / E11 -----------------------------------------------------------------------
 def transform_key(m: Column, allowed: Column | None = None) -> Column:
     """Joinable text of a transform map restricted to ``allowed`` variables:

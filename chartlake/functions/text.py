@@ -50,8 +50,10 @@ def estimate_cost(tokens: Column, per_1k: float = COST_PER_1K) -> Column:
 
 
 # X7 ------------------------------------------------------------------------------
-def has_any(t: Column, words: list[str], lower: bool = True) -> Column:
-    s = F.lower(t) if lower else t
+def has_any(t: Column, words: list[str], lower: bool = True, lt: Column | None = None) -> Column:
+    """Some word occurs (in the lower-cased text unless ``lower=False``); pass ``lt`` when a
+    lower-cased column is already computed."""
+    s = (lt if lt is not None else F.lower(t)) if lower else t
     out = F.lit(False)
     for w in words:
         out = out | s.contains(w)
@@ -68,8 +70,13 @@ def keyword_flags(t: Column, lexicon: dict[str, list[str]]) -> Column:
 
 
 # X9 ------------------------------------------------------------------------------
-def count_matches(t: Column, pattern: str) -> Column:
-    return F.regexp_count(t, F.lit(pattern)).cast("bigint")
+def count_matches(t: Column, pattern: str, gate: list[str] | None = None, lt: Column | None = None) -> Column:
+    """Non-overlapping regex matches. ``gate``: lower-case literals of which every match must
+    contain one; texts containing none of them are 0 without running the regex (exact)."""
+    n = F.regexp_count(t, F.lit(pattern)).cast("bigint")
+    if not gate:
+        return n
+    return F.when(has_any(t, gate, lt=lt), n).otherwise(F.lit(0).cast("bigint"))
 
 
 def count_substr(t: Column, sub: str) -> Column:

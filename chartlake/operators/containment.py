@@ -12,37 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
-from chartlake.functions.guards import assignments, canonical_guard, fold_assignments, transform_key
+from chartlake.functions.guards import canonical_guard, fold_functions, transform_key
 from chartlake.operators import graph
 
 
 def path_semantics(c: Charts, paths: DataFrame) -> DataFrame:
     """Per path: ``cond_key`` (E9: sorted distinct canonical non-true guards joined by
     ``' AND '``, ``'true'`` if none, NULL if a guard is unparsable) and ``xform`` (E8: final
-    ``MAP<var, expr>`` after folding the target steps' assignments in hop order)."""
+    ``MAP<var, expr>`` after folding the target steps' assignments in hop order).
+
+    Canonical guards are computed once per distinct guard text and the fold once per distinct
+    sequence of step functions; both are joined back, so the per-path work is a lookup."""
     hops = paths.select("model_id", "path_key", F.posexplode("transitions").alias("hop", "t_idx"))
-    tr = c.transitions.select("model_id", "t_idx", "guard", "tgt")
+    gcan = c.transitions.select("guard").distinct().select("guard", canonical_guard(F.col("guard")).alias("cg"))
+    tr = c.transitions.select("model_id", "t_idx", "guard", "tgt").join(gcan, "guard")
     h = hops.join(tr, ["model_id", "t_idx"])
-    cg = canonical_guard(F.col("guard"))
     cond = h.groupBy("model_id", "path_key").agg(
-        F.array_sort(F.collect_set(F.when(cg != "true", cg))).alias("_g"),
-        F.max(cg.isNull().cast("int")).alias("_bad"),
+        F.array_sort(F.collect_set(F.when(F.col("cg") != "true", F.col("cg")))).alias("_g"),
+        F.max(F.col("cg").isNull().cast("int")).alias("_bad"),
     ).select(
         "model_id", "path_key",
         F.when(F.col("_bad") == 1, F.lit(None).cast("string"))
         .when(F.size("_g") == 0, F.lit("true"))
         .otherwise(F.array_join("_g", " AND ")).alias("cond_key"),
     )
+    # step functions along the path (duplicate step names: the last definition wins)
+    fn = c.steps.groupBy("model_id", "name").agg(F.max_by("function", "ord").alias("function"))
     tg = h.select("model_id", "path_key", "hop", F.posexplode("tgt").alias("tpos", "name"))
-    asg = assignments(c.steps)
-    seq = tg.join(asg, ["model_id", "name"]).groupBy("model_id", "path_key").agg(
-        F.array_sort(F.collect_list(F.struct(
-            (F.col("hop") * 1000 + F.col("tpos")).cast("int").alias("hop"), "pos", "lhs", "rhs"
-        ))).alias("_seq")
-    ).select("model_id", "path_key", fold_assignments(F.col("_seq")).alias("xform"))
+    seq = tg.join(fn, ["model_id", "name"]).groupBy("model_id", "path_key").agg(
+        F.array_sort(F.collect_list(F.struct("hop", "tpos", F.coalesce("function", F.lit("")).alias("f")))).alias("_s")
+    ).select("model_id", "path_key", F.transform("_s", lambda x: x["f"]).alias("fun_seq"))
+    folds = seq.select("fun_seq").distinct().select("fun_seq", fold_functions(F.col("fun_seq")).alias("xform"))
+    xf = seq.join(folds, "fun_seq").drop("fun_seq")
     return (
         paths.join(cond, ["model_id", "path_key"], "left")
-        .join(seq, ["model_id", "path_key"], "left")
+        .join(xf, ["model_id", "path_key"], "left")
         .withColumn("xform", F.coalesce("xform", F.create_map().cast("map<string,string>")))
     )
 

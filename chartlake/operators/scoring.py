@@ -58,6 +58,10 @@ EXPLANATION_RES = [
     r"(?i)(outlines?|overview|summary|summarizes?)",
 ]
 STEP_RES = [r"(?i)\d+\.\s+\*\*.*?\*\*", r"(?i)Step\s+\d+", r"(?i)Phase\s+\d+", r"(?i)###\s+\d+\."]
+# literal stems every match of the pattern at the same position contains (exact prefilters)
+EXPLANATION_GATES = [["expla", "clarif"], ["descri", "detail"], ["specif", "defin"], ["outline", "overview", "summar"]]
+STEP_GATES = [["**"], ["step"], ["phase"], ["###"]]
+HEADER_GATE, BULLET_GATE, CODE_GATE = ["#"], ["**"], ["```"]
 MARKDOWN_ELEMENTS = ["**", "`", "```", "###", "####", "- **", "1. **"]
 # Required elements chosen by file-name pattern (first match wins; last row = default)
 COMPLETENESS_RULES = [
@@ -119,7 +123,8 @@ def score_cost_accuracy(t: Column, strategy: Column, features=None, semantic=Non
     words = X.word_count(t)
     tokens = X.estimate_tokens(words)
     cost = X.estimate_cost(tokens)
-    f = {k: X.has_any(t, v) for k, v in fe.items()}
+    lo = F.lower(t)
+    f = {k: X.has_any(t, v, lt=lo) for k, v in fe.items()}
     heads = X.has_header_line(t)
     code = t.contains("```")
     edv = f["error_handling"] & f["validation"] & f["documentation"]
@@ -184,12 +189,12 @@ def score_ab(t: Column, is_original: Column, features=None) -> Column:
 
 
 # T3 ------------------------------------------------------------------------------
-def score_structure(t: Column, patterns=None) -> Column:
+def score_structure(t: Column, patterns=None, lt: Column | None = None) -> Column:
     pa = patterns or PATTERNS
-    h = X.count_matches(t, HEADER_RE)
-    b = X.count_matches(t, BULLET_RE)
-    cb = X.count_matches(t, CODE_BLOCK_RE)
-    sec = sum(X.has_any(t, pa[s]).cast("int") for s in STRUCTURE_SECTIONS)
+    h = X.count_matches(t, HEADER_RE, HEADER_GATE, lt)
+    b = X.count_matches(t, BULLET_RE, BULLET_GATE, lt)
+    cb = X.count_matches(t, CODE_BLOCK_RE, CODE_GATE, lt)
+    sec = sum(X.has_any(t, pa[s], lt=lt).cast("int") for s in STRUCTURE_SECTIONS)
     n = X.char_count(t)
     score = (
         F.when(h >= 5, 15).when(h >= 3, 10).otherwise(5)
@@ -211,11 +216,12 @@ def score_structure(t: Column, patterns=None) -> Column:
 
 
 # T4 ------------------------------------------------------------------------------
-def score_content(t: Column, patterns=None, terms=None) -> Column:
+def score_content(t: Column, patterns=None, terms=None, lt: Column | None = None) -> Column:
     pa = patterns or PATTERNS
     te = terms or PROFESSIONAL_TERMS
-    found = {k: X.has_any(t, pa[k]) for k, _ in CONTENT_INDICATORS}
-    pc = sum(F.lower(t).contains(w).cast("int") for w in te)
+    lo = lt if lt is not None else F.lower(t)
+    found = {k: X.has_any(t, pa[k], lt=lo) for k, _ in CONTENT_INDICATORS}
+    pc = sum(lo.contains(w).cast("int") for w in te)
     score = sum(_pts(found[k], p) for k, p in CONTENT_INDICATORS) + F.when(pc >= 10, 10).when(pc >= 5, 5).otherwise(0)
     issues = _issues(*[(~found[k], f"Missing {k.replace('_', ' ')}") for k, _ in CONTENT_INDICATORS],
                      (pc < 5, F.concat(F.lit("Limited professional terminology ("), pc.cast("string"), F.lit(" terms)"))))
@@ -225,9 +231,12 @@ def score_content(t: Column, patterns=None, terms=None) -> Column:
 
 
 # T5 ------------------------------------------------------------------------------
-def score_documentation(t: Column, explanation_res=None) -> Column:
-    ex = sum(X.count_matches(t, p) for p in (explanation_res or EXPLANATION_RES))
-    st = sum(X.count_matches(t, p) for p in STEP_RES)
+def score_documentation(t: Column, explanation_res=None, lt: Column | None = None) -> Column:
+    if explanation_res:
+        ex = sum(X.count_matches(t, p) for p in explanation_res)
+    else:
+        ex = sum(X.count_matches(t, p, g, lt) for p, g in zip(EXPLANATION_RES, EXPLANATION_GATES))
+    st = sum(X.count_matches(t, p, g, lt) for p, g in zip(STEP_RES, STEP_GATES))
     fmt = sum(_pts(t.contains(e), 5) for e in MARKDOWN_ELEMENTS)
     ln = X.line_count(t)
     score = (
@@ -258,14 +267,15 @@ def completeness_elements(name: Column, rules=None) -> Column:
     return out
 
 
-def score_completeness(t: Column, name: Column, rules=None) -> Column:
+def score_completeness(t: Column, name: Column, rules=None, lt: Column | None = None) -> Column:
+    lo = lt if lt is not None else F.lower(t)
     chosen = completeness_elements(name, rules)
-    found = F.filter(chosen, lambda e: F.lower(t).contains(e))
+    found = F.filter(chosen, lambda e: lo.contains(e))
     n = F.size(chosen)
     k = F.size(found)
     score = F.least(k * (F.lit(100.0) / n), F.lit(100.0))
     issues = F.concat(
-        F.transform(F.filter(chosen, lambda e: ~F.lower(t).contains(e)), lambda e: F.concat(F.lit("Missing "), e)),
+        F.transform(F.filter(chosen, lambda e: ~lo.contains(e)), lambda e: F.concat(F.lit("Missing "), e)),
         F.when(k < n * 0.8, F.array(F.lit("Incomplete domain coverage"))).otherwise(F.array().cast("array<string>")),
     )
     cov = F.when(k == n, "complete").when(k >= n * 0.8, "good").otherwise("incomplete")
@@ -277,11 +287,12 @@ def score_completeness(t: Column, name: Column, rules=None) -> Column:
 def score_overall(docs: DataFrame, text_col: str = "text", name_col: str = "file_name", patterns=None,
                   terms=None, rules=None) -> DataFrame:
     t = F.col(text_col)
-    d = docs.select(
-        "*", score_structure(t, patterns).alias("structure"), score_content(t, patterns, terms).alias("content"),
-        score_documentation(t).alias("documentation"),
-        score_completeness(t, F.col(name_col), rules).alias("completeness"),
-    )
+    lt = F.col("_lt")
+    d = docs.withColumn("_lt", F.lower(t)).select(
+        "*", score_structure(t, patterns, lt).alias("structure"), score_content(t, patterns, terms, lt).alias("content"),
+        score_documentation(t, None, lt).alias("documentation"),
+        score_completeness(t, F.col(name_col), rules, lt).alias("completeness"),
+    ).drop("_lt")
     parts = ["structure", "content", "documentation", "completeness"]
     return d.select(
         *docs.columns,

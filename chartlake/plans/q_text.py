@@ -487,13 +487,13 @@ def q_score_overall(spark, sf):
                     F.array_join("issues", " | ").alias("issues_text"), "n_strengths")
 
 
-for _key, _col, _fn in (("score_structure", "structure_score", lambda t: S.score_structure(t, PATTERNS)),
-                        ("score_content", "content_score", lambda t: S.score_content(t, PATTERNS, TERMS)),
-                        ("score_documentation", "documentation_score", S.score_documentation)):
+for _key, _col, _fn in (("score_structure", "structure_score", lambda t, lt: S.score_structure(t, PATTERNS, lt)),
+                        ("score_content", "content_score", lambda t, lt: S.score_content(t, PATTERNS, TERMS, lt)),
+                        ("score_documentation", "documentation_score", lambda t, lt: S.score_documentation(t, None, lt))):
     def _mk(col=_col, fn=_fn):
         def run(spark, sf):
-            d = table(spark, sf, "documents")
-            s = fn(F.col("text"))
+            d = table(spark, sf, "documents").withColumn("_lt", F.lower("text"))
+            s = fn(F.col("text"), F.col("_lt"))
             return d.select("doc_id", s["score"].alias(col), F.size(s["issues"]).cast("int").alias("n_issues"))
         return run
 
