@@ -31,4 +31,6 @@ def load_all() -> None:
         q_runs,
         q_text,
         q_guards,
+        q_files,
+        q_io,
     )

@@ -245,3 +245,16 @@ def replies(conversations: DataFrame) -> DataFrame:
     m = F.col("turn") % 5
     reply = F.when(m == 0, r0).when(m == 1, r1).when(m == 2, r2).when(m == 3, r3).otherwise(F.col("text"))
     return conversations.filter(F.col("role") == "assistant").select("conv_id", "turn", reply.alias("reply"))
+
+
+def file_lists(part: DataFrame) -> DataFrame:
+    """D-FILES: an original and an upgraded file list per folder (``p_brand``); the upgraded
+    list only has the parts larger than size 5, so it is shorter in most folders."""
+    typ = F.lower(F.split("p_type", " ")[0])
+    base = F.regexp_replace("p_name", " ", "_")
+    src = part.select(F.col("p_brand").alias("folder"), F.lit("src").alias("side"),
+                      F.concat(F.lit("/data/new_benchmarks/"), typ, F.lit("/orig/"), base, F.lit(".txt")).alias("path"))
+    mod = part.filter(F.col("p_size") > 5).select(
+        F.col("p_brand").alias("folder"), F.lit("mod").alias("side"),
+        F.concat(F.lit("/data/new_benchmarks/"), typ, F.lit("/mod/"), base, F.lit("_SFC2.txt")).alias("path"))
+    return src.unionByName(mod)
