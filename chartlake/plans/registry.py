@@ -33,4 +33,5 @@ def load_all() -> None:
         q_guards,
         q_files,
         q_io,
+        q_misc,
     )
