@@ -34,4 +34,5 @@ def load_all() -> None:
         q_files,
         q_io,
         q_misc,
+        q_stream,
     )
