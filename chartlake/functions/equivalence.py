@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 INT_RE = r"^-?[0-9]+$"
 IDENT_RE = r"^[A-Za-z_][A-Za-z0-9_.]*$"
 DEFAULT_CAP = 4096
-ZERO_ONE = F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
+
+
+def _zero_one() -> Column:
+    return F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
 
 
 def cond_terms(cond: Column) -> Column:
@@ -68,10 +71,10 @@ def _with_grid(df: DataFrame, atoms_col: str, cap: int, varvar: bool) -> DataFra
     def values(v):
         own = F.array_distinct(F.flatten(F.transform(
             F.filter(atoms, lambda a: (a["var"] == v) & a["val"].rlike(INT_RE)), trip)))
-        out = F.when(F.size(own) > 0, own).otherwise(ZERO_ONE)
+        out = F.when(F.size(own) > 0, own).otherwise(_zero_one())
         if varvar:
             vv = F.exists(atoms, lambda a: ((a["var"] == v) | (a["val"] == v)) & a["val"].rlike(IDENT_RE) & (a["op"] != ""))
-            out = F.when(vv, F.array_distinct(F.concat(F.col("_consts"), ZERO_ONE))).otherwise(out)
+            out = F.when(vv, F.array_distinct(F.concat(F.col("_consts"), _zero_one()))).otherwise(out)
         return out
 
     df = df.withColumn("_vals", F.transform("_vars", values))

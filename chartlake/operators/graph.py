@@ -259,6 +259,8 @@ def _cut_paths_loop(c: Charts, cuts: DataFrame, mode: str) -> DataFrame:
             )
             nxt = cut_lineage(nxt) if rounds % CHECKPOINT_EVERY == 0 else nxt.persist()
             done = done.unionByName(nxt.filter("dst_cut"))
+            if rounds % CHECKPOINT_EVERY == 0:
+                done = cut_lineage(done)
             frontier = nxt.filter("not dst_cut")
     return done.select("model_id", "from_place", "dst", "transitions")
 
