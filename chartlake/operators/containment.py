@@ -66,7 +66,7 @@ def pair_paths(c: Charts, pairs: DataFrame, mode: str = "multi_hop") -> tuple[Da
     pair's common variables: ``(pair_id, path_key, from_place, to_place, cond_key, xform_key)``."""
     paths = graph.cut_paths(c, mode=mode)
     sem = path_semantics(c, paths).persist()
-    cv = common_variables(c, pairs)
+    cv = common_variables(c, pairs).persist()
 
     def side(model_col):
         s = sem.withColumnRenamed("model_id", model_col)
@@ -75,7 +75,7 @@ def pair_paths(c: Charts, pairs: DataFrame, mode: str = "multi_hop") -> tuple[Da
             transform_key(F.col("xform"), F.col("common_vars")).alias("xform_key"),
         )
 
-    return side("model1"), side("model2")
+    return side("model1").persist(), side("model2").persist()
 
 
 # J4 / J5 / A5 --------------------------------------------------------------------

@@ -187,6 +187,16 @@ def _finish_paths(done: DataFrame, keep_loops: bool) -> DataFrame:
     )
 
 
+def _row_cut_points(E, P, init):
+    """Cut points of one chart inside its row: initial, out-degree 0 or > 1 among declared
+    places, and places on a cycle."""
+    outdeg = lambda p: F.size(F.array_distinct(F.transform(F.filter(E, lambda e: e["src"] == p), lambda e: e["t_idx"])))
+    R = _closure_expr(E)
+    cyc = F.transform(F.filter(R, lambda r: r["src"] == r["dst"]), lambda r: r["src"])
+    first = F.when(F.coalesce(init, F.lit("")) != "", F.array(init)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(first, F.filter(P, lambda p: outdeg(p) != 1), cyc))
+
+
 def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop", keep_loops: bool = False) -> DataFrame:
     """Paths between cut-points whose interior places are not cut-points.
 
@@ -197,11 +207,18 @@ def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop",
     Small charts: one row per chart, paths grown inside the row (interior places have one
     way out unless a transition has several targets, so growth is linear). Large charts:
     the distributed frontier loop."""
-    cuts = cuts if cuts is not None else cut_points(c)
     el = _edge_lists(c)
-    cl = cuts.groupBy("model_id").agg(F.collect_set("place").alias("C"))
-    small = el.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).join(cl, "model_id", "left").withColumn(
-        "C", F.coalesce("C", F.array().cast("array<string>")))
+    if cuts is None:
+        # cut points computed in the same row as the paths (no separate degree / closure jobs)
+        pl = c.steps.groupBy("model_id").agg(F.collect_set("name").alias("P"))
+        small = (el.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).join(pl, "model_id", "left")
+                 .join(c.meta.select("model_id", "initial_step"), "model_id", "left"))
+        small = small.withColumn("C", _row_cut_points(F.col("E"), F.coalesce("P", F.array().cast("array<string>")),
+                                                      F.col("initial_step")))
+    else:
+        cl = cuts.groupBy("model_id").agg(F.collect_set("place").alias("C"))
+        small = el.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).join(cl, "model_id", "left").withColumn(
+            "C", F.coalesce("C", F.array().cast("array<string>")))
     E, C = F.col("E"), F.col("C")
     start = F.transform(
         F.filter(E, lambda e: F.array_contains(C, e["src"])),
@@ -230,7 +247,7 @@ def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop",
         return _finish_paths(small_paths, keep_loops)
     big_c = Charts(c.steps.join(big, "model_id", "left_semi"), c.transitions.join(big, "model_id", "left_semi"),
                    c.meta.join(big, "model_id", "left_semi"))
-    big_cuts = cuts.join(big, "model_id", "left_semi")
+    big_cuts = (cuts if cuts is not None else cut_points(big_c)).join(big, "model_id", "left_semi")
     return _finish_paths(small_paths.unionByName(_cut_paths_loop(big_c, big_cuts, mode)), keep_loops)
 
 

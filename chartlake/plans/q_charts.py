@@ -14,7 +14,7 @@ from chartlake.sources.derived import day_week_pairs, load_event_charts
 
 def _charts(spark, sf):
     c, idx = load_event_charts(spark, sf)
-    return c.persist(), idx
+    return c.persist(), idx.persist()
 
 
 # P1 --------------------------------------------------------------------------------

@@ -151,6 +151,7 @@ FROM c_p1 a JOIN c_p2 b ON b.pair_id = a.pair_id AND b.xform_key = a.xform_key A
 WHERE NOT EXISTS (SELECT 1 FROM c_match m WHERE m.pair_id = a.pair_id AND m.path_key = a.path_key)""", "c_p1", "c_p2", "c_match"))
 def q_guard_equivalent(spark, sf):
     c, idx = load_event_charts(spark, sf)
+    idx = idx.persist()
     p1, p2 = ct.pair_paths(c.persist(), day_week_pairs(idx))
     un = ct.path_unmatched(p1, ct.path_match(p1, p2))
     cand = p2.select("pair_id", "xform_key", F.col("path_key").alias("cand_key"), F.col("cond_key").alias("cand_cond"))

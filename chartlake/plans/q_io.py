@@ -177,6 +177,7 @@ SELECT a.pair_id, a.path_key, CASE WHEN m.match_key IS NULL THEN 'unmatched' ELS
 FROM c_p1 a LEFT JOIN c_match m ON m.pair_id = a.pair_id AND m.path_key = a.path_key""", "c_p1", "c_match"))
 def q_containment_report_rows(spark, sf):
     c, idx = load_event_charts(spark, sf)
+    idx = idx.persist()
     p1, p2 = ct.pair_paths(c.persist(), day_week_pairs(idx))
     j = p1.join(ct.path_match(p1, p2), ["pair_id", "path_key"], "left")
     td = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
@@ -191,6 +192,7 @@ def q_containment_report_rows(spark, sf):
 def q_containment_report_json(spark, sf):
     from chartlake.sinks.reports import containment_report
     c, idx = load_event_charts(spark, sf)
+    idx = idx.persist()
     return containment_report(c.persist(), day_week_pairs(idx))
 
 

@@ -103,6 +103,7 @@ JOIN code_of c1 ON c1.model_id = d.model1 JOIN code_of c2 ON c2.model_id = d.mod
 
 def _prompts(spark, sf):
     c, idx = load_event_charts(spark, sf)
+    idx = idx.persist()
     c = c.persist()
     pairs = day_week_pairs(idx)
     p1, p2 = ct.pair_paths(c, pairs)

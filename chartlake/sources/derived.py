@@ -16,6 +16,9 @@ from chartlake.session import table
 # Fixed values of the derived-chart rule (FIXTURES.md, D-CHART).
 CHART_VARIABLES = ["k", "acc", "last"]
 GUARD_SPLIT = 50
+# Sort bucket of the next-event link: a hot user's day chart is sorted in 24 parallel pieces,
+# a week chart in 168 (finer units spread further at the price of a larger bucket summary).
+NEXT_BUCKET = "hour"
 
 
 def _k(props):
@@ -110,7 +113,7 @@ def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week"),
     )
 
     linked = with_next(
-        ev, ["model_id"], ["ts", "event_id"], ["event_type"], F.date_trunc("minute", "ts")
+        ev, ["model_id"], ["ts", "event_id"], ["event_type"], F.date_trunc(NEXT_BUCKET, "ts")
     ).filter(F.col("_next").isNotNull())
     if dialects:
         guard, tgt = dialect_guard(F.col("k"), F.col("event_type"), F.col("event_id"), F.col("_next.event_type"))
