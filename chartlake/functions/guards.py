@@ -8,8 +8,10 @@ condition" becomes an equi-join.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chartlake.charts import Charts
 
@@ -109,6 +111,20 @@ def canonical_guard(g: Column) -> Column:
     return F.when(n == "true", F.lit("true")).when(~bad, joined)
 
 
+def canonical_guards(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
+    """``(guard, cg)`` over the *distinct* guard texts: flat guards in Spark SQL; only the
+    remaining guards with parentheses go through the vectorised DNF helper."""
+    d = guards.select(F.col(guard_col).alias("guard")).distinct().select(
+        "guard", canonical_guard(F.col("guard")).alias("cg"), normalize_guard(F.col("guard")).alias("_n"))
+    nested = F.col("cg").isNull() & F.col("_n").contains("(") & ~F.col("_n").rlike(r"[-+*/%;]|>>|<<")
+    d = d.persist()
+    done = d.filter(~nested).select("guard", "cg")
+    if d.filter(nested).isEmpty():      # the Python stage only runs when there is work for it
+        return done
+    rest = d.filter(nested).select("guard", nested_canonical(F.col("_n")).alias("cg"))
+    return done.unionByName(rest)
+
+
 def guard_atoms(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
     """Flat DNF rows ``(guard, clause, atom_pos, var, op, val, negated)`` of the distinct guards."""
     d = guards.select(F.col(guard_col).alias("guard")).distinct()
@@ -241,3 +257,89 @@ def transform_map(key: Column) -> Column:
 def transform_equal(m1: Column, m2: Column, allowed: Column) -> Column:
     """Same value (or both absent) for every allowed variable."""
     return F.forall(allowed, lambda v: F.element_at(m1, v).eqNullSafe(F.element_at(m2, v)))
+
+
+# E3 (nested) ---------------------------------------------------------------------
+MAX_DNF_CLAUSES = 64
+_CMP = {"Eq": "==", "NotEq": "!=", "Lt": "<", "LtE": "<=", "Gt": ">", "GtE": ">="}
+
+
+def _atom_text(var: str, op: str, val: str) -> str:
+    if op in ("==", "!=") and val in ("true", "false"):
+        return var if (op == "==") == (val == "true") else f"not {var}"
+    return f"{var} {op} {val}"
+
+
+def _dnf(node):
+    """Python AST of a normalised guard -> list of clauses (sets of canonical atoms), or None."""
+    import ast
+
+    def lit(n):
+        if isinstance(n, ast.Name):
+            return n.id, False
+        if isinstance(n, ast.Constant) and isinstance(n.value, bool):
+            return str(n.value).lower(), True
+        if isinstance(n, ast.Constant) and isinstance(n.value, int):
+            return str(n.value), True
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub) and isinstance(n.operand, ast.Constant) \
+                and isinstance(n.operand.value, int) and not isinstance(n.operand.value, bool):
+            return f"-{n.operand.value}", True
+        return None, False
+
+    def go(n, neg):
+        if isinstance(n, ast.BoolOp):
+            is_and = isinstance(n.op, ast.And) != neg
+            parts = [go(v, neg) for v in n.values]
+            if any(p is None for p in parts):
+                return None
+            if not is_and:
+                return [c for p in parts for c in p]
+            out = [frozenset()]
+            for p in parts:
+                out = [a | b for a in out for b in p]
+                if len(out) > MAX_DNF_CLAUSES:
+                    return None
+            return out
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+            return go(n.operand, not neg)
+        if isinstance(n, ast.Compare) and len(n.ops) == 1:
+            op = _CMP.get(type(n.ops[0]).__name__)
+            (lv, lc), (rv, rc) = lit(n.left), lit(n.comparators[0])
+            if op is None or lv is None or rv is None:
+                return None
+            if lc and not rc:
+                lv, rv, op = rv, lv, {">": "<", "<": ">", ">=": "<=", "<=": ">="}.get(op, op)
+            if neg:
+                op = {">": "<=", "<": ">=", ">=": "<", "<=": ">", "==": "!=", "!=": "=="}[op]
+            return [frozenset([_atom_text(lv, op, rv)])]
+        v, is_lit = lit(n)
+        if v is not None and not is_lit:
+            return [frozenset([f"not {v}" if neg else v])]
+        if v in ("true", "false"):
+            return [frozenset()] if (v == "true") != neg else []
+        return None
+
+    return go(node, False)
+
+
+def nested_canonical_text(n: str | None) -> str | None:
+    """Canonical key of a normalised guard with parentheses (same format as ``canonical_guard``)."""
+    import ast
+
+    if n is None:
+        return None
+    try:
+        tree = ast.parse(n, mode="eval").body
+    except (SyntaxError, ValueError):
+        return None
+    d = _dnf(tree)
+    if d is None or not d:
+        return None
+    if any(len(c) == 0 for c in d):
+        return "true"
+    return " or ".join(sorted({" and ".join(sorted(c)) for c in d}))
+
+
+@F.pandas_udf(StringType())
+def nested_canonical(n: pd.Series) -> pd.Series:
+    return n.map(nested_canonical_text)

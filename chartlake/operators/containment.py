@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
-from chartlake.functions.guards import canonical_guard, fold_functions, transform_key
+from chartlake.functions.guards import canonical_guards, fold_functions, transform_key
 from chartlake.operators import graph
 
 
@@ -24,7 +24,7 @@ def path_semantics(c: Charts, paths: DataFrame) -> DataFrame:
     Canonical guards are computed once per distinct guard text and the fold once per distinct
     sequence of step functions; both are joined back, so the per-path work is a lookup."""
     hops = paths.select("model_id", "path_key", F.posexplode("transitions").alias("hop", "t_idx"))
-    gcan = c.transitions.select("guard").distinct().select("guard", canonical_guard(F.col("guard")).alias("cg"))
+    gcan = canonical_guards(c.transitions)
     tr = c.transitions.select("model_id", "t_idx", "guard", "tgt").join(gcan, "guard")
     h = hops.join(tr, ["model_id", "t_idx"])
     cond = h.groupBy("model_id", "path_key").agg(

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chartlake.functions.equivalence import guard_equivalent
-from chartlake.functions.guards import canonical_guard, guard_atoms, infer_var_types, normalize_guard
+from chartlake.functions.guards import canonical_guards, guard_atoms, infer_var_types, normalize_guard
 from chartlake.operators import containment as ct
 from chartlake.operators import quality as L
 from chartlake.plans.registry import query
@@ -53,7 +53,7 @@ def q_normalize_guard(spark, sf):
 
 @query("canonical_guard", compose("SELECT DISTINCT guard, canon AS canonical FROM evg", "evg"))
 def q_canonical_guard(spark, sf):
-    return _guards(spark, sf).select("guard", canonical_guard(F.col("guard")).alias("canonical"))
+    return canonical_guards(_guards(spark, sf)).select("guard", F.col("cg").alias("canonical"))
 
 
 @query("guard_atoms", compose("""

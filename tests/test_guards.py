@@ -11,17 +11,28 @@ CASES = [
     ("lvl >= 3 and lvl < 9", "lvl < 9 and lvl >= 3"), ("9 > lvl and 3 <= lvl", "lvl < 9 and lvl >= 3"),
     ("c > limit", "c > limit"), ("not k > 5", "k <= 5"), ("x == true", "x"), ("x == false", "not x"),
     ("x - 1 >= 0", None), ("(>= i 0)", None), ("x > 0; i := i - 1", None), ("x >> 1", None), ("a &&& b", None),
-    ("not (s == 'True')", None),
+    ("not (s == 'True')", "not s"), ("(a and b) or c", "a and b or c"), ("not (k > 5 or x)", "k <= 5 and not x"),
+    ("(x - 1) >= 0", None),
 ]
 
 
 def test_canonical_guards(spark):
+    from chartlake.functions.guards import canonical_guards
     df = spark.createDataFrame([(g,) for g, _ in CASES], "g string")
-    got = {r["g"]: r["c"] for r in df.select("g", canonical_guard(F.col("g")).alias("c")).collect()}
+    got = {r["guard"]: r["cg"] for r in canonical_guards(df, "g").collect()}
     for g, want in CASES:
         assert got[g] == want, g
 
 
+def test_nested_path_agrees_with_flat_path(spark):
+    from chartlake.functions.guards import nested_canonical_text
+    flat = [g for g, c in CASES if c is not None and "(" not in g]
+    df = spark.createDataFrame([(g,) for g in flat], "g string")
+    for r in df.select("g", normalize_guard(F.col("g")).alias("n"), canonical_guard(F.col("g")).alias("c")).collect():
+        if r["c"] != "true":
+            assert nested_canonical_text(r["n"]) == r["c"], r["g"]
+
+
 def test_normalize(spark):
     df = spark.createDataFrame([("a&&b",), ("x<>1",), ("k=3",), ("A AND NOT b",)], "g string")
     got = [r[0] for r in df.select(normalize_guard(F.col("g"))).collect()]
@@ -61,5 +72,5 @@ def test_equivalence_agrees_with_canonical_keys(spark):
     df = spark.createDataFrame([(a, b) for a in gs for b in gs], "a string, b string").select(
         canonical_guard(F.col("a")).alias("c1"), canonical_guard(F.col("b")).alias("c2")).distinct()
     for r in guard_equivalent(df, "c1", "c2").collect():
-        if r["c1"] == r["c2"]:
+        if r["c1"] is not None and r["c1"] == r["c2"]:
             assert r["verdict"] in ("equivalent", "not_refuted")
