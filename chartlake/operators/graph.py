@@ -81,12 +81,16 @@ def sink_places(c: Charts, degrees: DataFrame | None = None) -> DataFrame:
 
 
 # G6 ------------------------------------------------------------------------------
-def _edge_lists(c: Charts) -> DataFrame:
+def _edge_lists(c: Charts) -> tuple[DataFrame, DataFrame]:
+    """``(small, big)``: edge arrays of the charts with at most ``ARRAY_EDGE_CAP`` edge rows
+    (counted first, so no large chart is ever collected into a row) and the ids of the rest."""
     e = place_edges(c)
-    return e.groupBy("model_id").agg(
-        F.collect_list(F.struct("src", "t_idx", "dst")).alias("E"),
-        F.countDistinct("src", "dst").alias("n_edges"),
-    )
+    cnt = e.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    small_ids = cnt.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).select("model_id")
+    big = cnt.filter(F.col("n_edges") > ARRAY_EDGE_CAP).select("model_id")
+    small = e.join(small_ids, "model_id", "left_semi").groupBy("model_id").agg(
+        F.collect_list(F.struct("src", "t_idx", "dst")).alias("E"))
+    return small, big
 
 
 def _closure_expr(E):
@@ -106,11 +110,10 @@ def _closure_expr(E):
 
 def reachability(c: Charts, max_rounds: int | None = None) -> DataFrame:
     """Transitive closure ``(model_id, src, dst)`` over paths of length >= 1."""
-    el = _edge_lists(c)
-    small = el.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).select(
+    el, big = _edge_lists(c)
+    small = el.select(
         "model_id", F.explode(_closure_expr(F.col("E"))).alias("r")
     ).select("model_id", F.col("r.src").alias("src"), F.col("r.dst").alias("dst"))
-    big = el.filter(F.col("n_edges") > ARRAY_EDGE_CAP).select("model_id")
     if big.isEmpty():
         return small
     big_c = Charts(c.steps.join(big, "model_id", "left_semi"), c.transitions.join(big, "model_id", "left_semi"),
@@ -207,17 +210,17 @@ def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop",
     Small charts: one row per chart, paths grown inside the row (interior places have one
     way out unless a transition has several targets, so growth is linear). Large charts:
     the distributed frontier loop."""
-    el = _edge_lists(c)
+    el, big = _edge_lists(c)
     if cuts is None:
         # cut points computed in the same row as the paths (no separate degree / closure jobs)
         pl = c.steps.groupBy("model_id").agg(F.collect_set("name").alias("P"))
-        small = (el.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).join(pl, "model_id", "left")
+        small = (el.join(pl, "model_id", "left")
                  .join(c.meta.select("model_id", "initial_step"), "model_id", "left"))
         small = small.withColumn("C", _row_cut_points(F.col("E"), F.coalesce("P", F.array().cast("array<string>")),
                                                       F.col("initial_step")))
     else:
         cl = cuts.groupBy("model_id").agg(F.collect_set("place").alias("C"))
-        small = el.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).join(cl, "model_id", "left").withColumn(
+        small = el.join(cl, "model_id", "left").withColumn(
             "C", F.coalesce("C", F.array().cast("array<string>")))
     E, C = F.col("E"), F.col("C")
     start = F.transform(
@@ -242,7 +245,6 @@ def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop",
         res = init["done"]
     small_paths = small.select("model_id", F.explode(res).alias("p")).select(
         "model_id", "p.from_place", "p.dst", "p.transitions")
-    big = el.filter(F.col("n_edges") > ARRAY_EDGE_CAP).select("model_id")
     if big.isEmpty():
         return _finish_paths(small_paths, keep_loops)
     big_c = Charts(c.steps.join(big, "model_id", "left_semi"), c.transitions.join(big, "model_id", "left_semi"),
