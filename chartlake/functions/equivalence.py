@@ -1,4 +1,4 @@
-"""Bounded-domain guard equivalence (E6) and branch overlap (L4) as staged projections.
+"""Bounded-domain guard equivalence (E6) and branch overlap (L4).
 
 A condition key (``' AND '`` of canonical guards, each ``' or '`` of ``' and '`` atoms) is
 evaluated on a test grid: for every variable the values c-1, c, c+1 of each integer it is
@@ -7,113 +7,140 @@ region of the number line, so agreement on the grid is exact equivalence. Variab
 atoms only allow ``different`` / ``not_refuted``; grids above ``cap`` points and unparsable
 conditions are ``unknown``.
 
-Work is row-local (one row = one condition pair, or one step's guard list) and done in
-stages — atoms, grid axes, grid points, verdict — so each piece is computed once per row.
-Callers pass *distinct* condition pairs and join the verdicts back.
+Spark reduces the input to the *distinct* condition pairs (or distinct guard lists of a step),
+evaluates them in Arrow batches with ``mapInPandas`` (a small helper per distinct key, bounded
+by ``cap`` grid points) and joins the verdicts back; nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INT_RE = r"^-?[0-9]+$"
-IDENT_RE = r"^[A-Za-z_][A-Za-z0-9_.]*$"
 DEFAULT_CAP = 4096
-
-
-def _zero_one() -> Column:
-    return F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
-
-
-def cond_terms(cond: Column) -> Column:
-    """``ARRAY<ARRAY<ARRAY<STRUCT<neg, var, op, val>>>>`` (AND of OR of AND); empty for true."""
-    def atom(a):
-        return F.struct(
-            a.startswith("not ").alias("neg"),
-            F.regexp_extract(a, r"^(?:not )?(\S+)", 1).alias("var"),
-            F.regexp_extract(a, r"^(?:not )?\S+ (\S+) ", 1).alias("op"),
-            F.regexp_extract(a, r"^(?:not )?\S+ \S+ (\S+)$", 1).alias("val"),
-        )
-
-    guards = F.filter(F.split(cond, " AND "), lambda g: g != "true")
-    return F.transform(guards, lambda g: F.transform(F.split(g, " or "), lambda c: F.transform(F.split(c, " and "), atom)))
-
-
-def _truth(a, m) -> Column:
-    lhs = F.element_at(m, a["var"])
-    rhs = F.when(a["val"].rlike(INT_RE), a["val"].cast("bigint")).otherwise(F.element_at(m, a["val"]))
-    op = a["op"]
-    return (
-        F.when(op == "", F.when(a["neg"], lhs == 0).otherwise(lhs != 0))
-        .when(op == "==", lhs == rhs).when(op == "!=", lhs != rhs)
-        .when(op == ">=", lhs >= rhs).when(op == "<=", lhs <= rhs)
-        .when(op == ">", lhs > rhs).when(op == "<", lhs < rhs)
-    )
-
-
-def _eval(terms: Column, m: Column) -> Column:
-    return F.forall(terms, lambda g: F.exists(g, lambda c: F.forall(c, lambda a: _truth(a, m))))
-
-
-def _with_grid(df: DataFrame, atoms_col: str, cap: int, varvar: bool) -> DataFrame:
-    """Adds ``_vars``, ``_n`` (grid size) and ``_points`` (ARRAY<MAP<var, value>>, at most
-    ``cap`` entries) from the flat atom array column."""
-    atoms = F.col(atoms_col)
-    refs = F.transform(atoms, lambda a: a["var"])
+_INT = re.compile(r"^-?[0-9]+$")
+_IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_.]*$")
+_ATOM = re.compile(r"^(not )?(\S+)(?: (\S+) (\S+))?$")
+_OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">=": lambda a, b: a >= b,
+        "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+
+
+def parse_cond(cond: str | None):
+    """AND of OR of AND of atoms ``(neg, var, op, val)``; ``[]`` for true; None if unparsable."""
+    if cond is None:
+        return None
+    out = []
+    for g in cond.split(" AND "):
+        if g == "true":
+            continue
+        clauses = []
+        for c in g.split(" or "):
+            atoms = []
+            for a in c.split(" and "):
+                m = _ATOM.match(a)
+                if not m or not _IDENT.match(m.group(2)) or (m.group(3) and m.group(3) not in _OPS):
+                    return None
+                atoms.append((bool(m.group(1)), m.group(2), m.group(3) or "", m.group(4) or ""))
+            clauses.append(atoms)
+        out.append(clauses)
+    return out
+
+
+def _atoms(terms):
+    return [a for g in terms for c in g for a in c]
+
+
+def _grid(atoms, varvar: bool):
+    refs = {a[1] for a in atoms}
     if varvar:
-        refs = F.concat(refs, F.transform(F.filter(atoms, lambda a: a["val"].rlike(IDENT_RE) & (a["op"] != "")),
-                                          lambda a: a["val"]))
-    df = df.withColumn("_vars", F.array_sort(F.array_distinct(refs)))
-    trip = lambda a: F.array(a["val"].cast("bigint") - 1, a["val"].cast("bigint"), a["val"].cast("bigint") + 1)
-    df = df.withColumn("_consts", F.array_distinct(F.flatten(F.transform(F.filter(atoms, lambda a: a["val"].rlike(INT_RE)), trip))))
-
-    def values(v):
-        own = F.array_distinct(F.flatten(F.transform(
-            F.filter(atoms, lambda a: (a["var"] == v) & a["val"].rlike(INT_RE)), trip)))
-        out = F.when(F.size(own) > 0, own).otherwise(_zero_one())
-        if varvar:
-            vv = F.exists(atoms, lambda a: ((a["var"] == v) | (a["val"] == v)) & a["val"].rlike(IDENT_RE) & (a["op"] != ""))
-            out = F.when(vv, F.array_distinct(F.concat(F.col("_consts"), _zero_one()))).otherwise(out)
-        return out
-
-    df = df.withColumn("_vals", F.transform("_vars", values))
-    df = df.withColumn("_sizes", F.transform("_vals", lambda x: F.size(x).cast("bigint")))
-    df = df.withColumn("_n", F.aggregate("_sizes", F.lit(1).cast("bigint"), lambda acc, x: acc * x))
-    df = df.withColumn("_radix", F.transform("_sizes", lambda _, j: F.aggregate(
-        F.slice(F.col("_sizes"), 1, j), F.lit(1).cast("bigint"), lambda acc, x: acc * x)))
-    idx = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_n"), F.lit(cap).cast("bigint")) - 1)
-    pts = F.when(F.col("_n") <= cap, F.transform(idx, lambda i: F.map_from_arrays(F.col("_vars"), F.transform(
-        F.col("_vals"), lambda vv, j: F.element_at(
-            vv, ((i / F.element_at(F.col("_radix"), j + 1)).cast("bigint") % F.size(vv) + 1).cast("int"))))))
-    return df.withColumn("_points", pts).drop("_consts", "_vals", "_sizes", "_radix")
+        refs |= {a[3] for a in atoms if a[2] and _IDENT.match(a[3])}
+    names = sorted(refs)
+    consts = sorted({int(a[3]) + d for a in atoms if _INT.match(a[3]) for d in (-1, 0, 1)})
+    axes = []
+    for v in names:
+        own = sorted({int(a[3]) + d for a in atoms if a[1] == v and _INT.match(a[3]) for d in (-1, 0, 1)})
+        vv = varvar and any((a[1] == v or a[3] == v) and a[2] and _IDENT.match(a[3]) for a in atoms)
+        axes.append(sorted(set(consts) | {0, 1}) if vv else (own or [0, 1]))
+    return names, axes
+
+
+def _truth(atom, point) -> bool:
+    neg, var, op, val = atom
+    lhs = point[var]
+    if op == "":
+        return (lhs == 0) if neg else (lhs != 0)
+    rhs = int(val) if _INT.match(val) else point[val]
+    return _OPS[op](lhs, rhs)
+
+
+def _eval(terms, point) -> bool:
+    return all(any(all(_truth(a, point) for a in c) for c in g) for g in terms)
+
+
+def _size(axes) -> int:
+    n = 1
+    for a in axes:
+        n *= len(a)
+    return n
+
+
+def equivalence_verdict(c1: str | None, c2: str | None, cap: int = DEFAULT_CAP) -> tuple[str, int | None]:
+    t1, t2 = parse_cond(c1), parse_cond(c2)
+    if t1 is None or t2 is None:
+        return "unknown", None
+    atoms = _atoms(t1) + _atoms(t2)
+    names, axes = _grid(atoms, varvar=True)
+    n = _size(axes)
+    if n > cap:
+        return "unknown", n
+    for values in itertools.product(*axes):
+        p = dict(zip(names, values))
+        if _eval(t1, p) != _eval(t2, p):
+            return "different", n
+    exact = all(a[2] == "" or _INT.match(a[3]) for a in atoms)
+    return ("equivalent" if exact else "not_refuted"), n
+
+
+def overlap_of(conds, cap: int = DEFAULT_CAP) -> bool | None:
+    """Some grid point makes at least two of the (parsable) conditions true."""
+    terms = [t for t in (parse_cond(c) for c in conds if c is not None) if t is not None]
+    atoms = [a for t in terms for a in _atoms(t)]
+    names, axes = _grid(atoms, varvar=False)
+    if _size(axes) > cap:
+        return None
+    for values in itertools.product(*axes):
+        p = dict(zip(names, values))
+        if sum(1 for t in terms if _eval(t, p)) >= 2:
+            return True
+    return False
 
 
 def guard_equivalent(df: DataFrame, c1: str, c2: str, cap: int = DEFAULT_CAP) -> DataFrame:
-    """Adds ``verdict`` (equivalent / different / not_refuted / unknown) and ``grid_points``
-    for the condition-key columns ``c1`` and ``c2``."""
-    d = df.withColumn("_t1", cond_terms(F.col(c1))).withColumn("_t2", cond_terms(F.col(c2)))
-    d = d.withColumn("_atoms", F.concat(F.flatten(F.flatten("_t1")), F.flatten(F.flatten("_t2"))))
-    d = _with_grid(d, "_atoms", cap, varvar=True)
-    differs = F.exists("_points", lambda m: _eval(F.col("_t1"), m) != _eval(F.col("_t2"), m))
-    exact = F.forall("_atoms", lambda a: (a["op"] == "") | a["val"].rlike(INT_RE))
-    parsed = F.forall("_atoms", lambda a: a["var"].rlike(IDENT_RE))
-    verdict = (
-        F.when(F.col(c1).isNull() | F.col(c2).isNull() | ~parsed, F.lit("unknown"))
-        .when(F.col("_n") > cap, F.lit("unknown"))
-        .when(differs, F.lit("different"))
-        .when(exact, F.lit("equivalent"))
-        .otherwise(F.lit("not_refuted"))
-    )
-    return d.withColumn("verdict", verdict).withColumn("grid_points", F.col("_n")).drop(
-        "_t1", "_t2", "_atoms", "_vars", "_n", "_points")
+    """Adds ``verdict`` (equivalent / different / not_refuted / unknown) and ``grid_points``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            res = [equivalence_verdict(x, y, cap) for x, y in zip(b["_c1"], b["_c2"])]
+            yield pd.DataFrame({"_c1": b["_c1"], "_c2": b["_c2"], "verdict": [r[0] for r in res],
+                                "grid_points": pd.array([r[1] for r in res], dtype="Int64")})
+
+    keys = df.select(F.col(c1).alias("_c1"), F.col(c2).alias("_c2")).distinct()
+    v = keys.mapInPandas(run, "_c1 string, _c2 string, verdict string, grid_points bigint")
+    cond = F.col(c1).eqNullSafe(v["_c1"]) & F.col(c2).eqNullSafe(v["_c2"])
+    return df.join(v, cond).drop("_c1", "_c2")
 
 
 def branch_overlap(df: DataFrame, conds: str, cap: int = DEFAULT_CAP) -> DataFrame:
-    """Adds ``overlap``: some grid point makes at least two of the conditions in the array
-    column ``conds`` true (NULL when the grid exceeds ``cap``)."""
-    d = df.withColumn("_terms", F.transform(F.filter(conds, lambda x: x.isNotNull()), cond_terms))
-    d = d.withColumn("_atoms", F.flatten(F.transform("_terms", lambda t: F.flatten(F.flatten(t)))))
-    d = _with_grid(d, "_atoms", cap, varvar=False)
-    hit = F.exists("_points", lambda m: F.size(F.filter(F.col("_terms"), lambda t: _eval(t, m))) >= 2)
-    return d.withColumn("overlap", F.when(F.col("_n") <= cap, hit)).drop("_terms", "_atoms", "_vars", "_n", "_points")
+    """Adds ``overlap`` for the array column ``conds`` (NULL when the grid exceeds ``cap``)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"_k": b["_k"], "overlap": pd.array(
+                [overlap_of(list(x) if x is not None else [], cap) for x in b["_k"]], dtype="boolean")})
+
+    keyed = df.withColumn("_k", F.array_sort(F.filter(F.col(conds), lambda x: x.isNotNull())))
+    v = keyed.select("_k").distinct().mapInPandas(run, "_k array<string>, overlap boolean")
+    return keyed.join(v, "_k").drop("_k")
