@@ -640,10 +640,38 @@ def q_effect_summary(spark, sf):
 DOMAINS = ["factorial", "dec2hex_r1", "dec2hex_r2"]
 
 
-@query("extract_blocks")
+
+
+# X3 oracle: the same priority rules written with DuckDB list functions
+cte("x3_s", ['dresp'], r"""
+SELECT conv_id, turn, regexp_replace(replace(replace(replace(replace(coalesce(reply, ''), '→', '->'), '←', '<-'), '⇒', '=>'), '⇐', '<='),
+         '[\x00-\x08\x0B-\x1F\x{10FFFF}]', '', 'g') AS o FROM dresp""")
+cte("x3_b", ['x3_s'], r"""
+SELECT conv_id, turn, o,
+    list_filter(list_transform(regexp_extract_all(o, '```(?:\w*\n)?([\s\S]*?)```', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS fenced,
+    list_filter(list_transform(regexp_extract_all(o, '(?:^|\n)((?: {4}.+(?:\n|$))+)', 1),
+                lambda x: regexp_replace(regexp_replace(x, '(?m)^ {4}', '', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ind,
+    regexp_extract(o, '(?i)(steps\s*=\s*\[([\s\S]*?)\])', 1) AS st,
+    list_filter([regexp_replace(regexp_extract(o, '(?i)(steps\s*=\s*\[([\s\S]*?)\])', 1), '^\s+|\s+$', '', 'g'),
+                 regexp_replace(regexp_extract(o, '(?i)(transitions\s*=\s*\[([\s\S]*?)\])', 1), '^\s+|\s+$', '', 'g'),
+                 regexp_replace(regexp_extract(o, '(?i)(variables\s*=\s*\[([\s\S]*?)\])', 1), '^\s+|\s+$', '', 'g'),
+                 regexp_replace(regexp_extract(o, '(?i)(initial_step\s*=\s*[''"].+?[''"])', 1), '^\s+|\s+$', '', 'g')], lambda x: x <> '') AS parts,
+    list_filter(string_split_regex(o, '\r\n|\r|\n'), lambda ln: contains(ln, 'STEP') OR contains(ln, 'STATE') OR contains(ln, 'TRANSITION')
+                OR contains(ln, 'IF') OR contains(ln, 'THEN') OR contains(ln, 'ELSE') OR contains(ln, ':=') OR contains(ln, '=')) AS lines
+  FROM x3_s""")
+cte("x3_c", ['x3_b'], r"""
+SELECT conv_id, turn, lines,
+         list_concat(list_concat(CASE WHEN st <> '' THEN [array_to_string(parts, chr(10) || chr(10))] ELSE [] END, fenced), ind) AS blocks FROM x3_b""")
+cte("x3_d", ['x3_c'], r"""
+SELECT conv_id, turn, CASE WHEN len(blocks) = 0 AND len(lines) >= 3 THEN [array_to_string(lines, chr(10))] ELSE blocks END AS blocks FROM x3_c""")
+X3_SQL = compose(r"""SELECT conv_id, turn, CAST(generate_subscripts(blocks, 1) - 1 AS INTEGER) AS pos, unnest(blocks) AS block FROM x3_d""", "x3_d")
+
+
+@query("extract_blocks", X3_SQL)
 def q_extract_blocks(spark, sf):
     r = _resp(spark, sf)
-    return r.select("conv_id", "turn", F.posexplode(X.extract_blocks(F.col("reply"))).alias("pos", "block"))
+    return r.select("conv_id", "turn", F.posexplode(X.extract_blocks(F.col("reply"))).alias("pos", "block")).select(
+        "conv_id", "turn", F.col("pos").cast("int"), "block")
 
 
 @query("chart_blocks_validate", compose(f"""
