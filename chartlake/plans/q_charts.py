@@ -171,3 +171,50 @@ def q_containment_summary(spark, sf):
 def q_canonical_guard_charts(spark, sf):
     c, _ = _charts(spark, sf)
     return c.transitions.select("guard").distinct().select("guard", canonical_guard(F.col("guard")).alias("canonical"))
+
+
+# E7 / E10 / E11 --------------------------------------------------------------------------
+@query("substitute", compose("""
+SELECT t.model_id, CAST(t.t_idx AS INTEGER) AS t_idx,
+       '(acc + ' || CAST(length(t.src) AS VARCHAR) || ') + ' || CAST(length(t.tgt) AS VARCHAR) AS acc_after
+FROM ch_trans t""", "ch_trans"))
+def q_substitute(spark, sf):
+    """E7 per transition: the target step's ``acc`` right-hand side with the source step's value put in."""
+    from chartlake.functions.guards import assignments as asg, substitute
+    c, _ = _charts(spark, sf)
+    a = asg(c.steps).filter(F.col("lhs") == "acc").select("model_id", "name", "rhs")
+    t = c.transitions.select("model_id", "t_idx", F.col("src")[0].alias("src"), F.col("tgt")[0].alias("tgt"))
+    j = (t.join(a.withColumnRenamed("name", "src").withColumnRenamed("rhs", "src_rhs"), ["model_id", "src"])
+         .join(a.withColumnRenamed("name", "tgt").withColumnRenamed("rhs", "tgt_rhs"), ["model_id", "tgt"]))
+    return j.select("model_id", F.col("t_idx").cast("int"),
+                    substitute(F.col("tgt_rhs"), F.create_map(F.lit("acc"), F.col("src_rhs"))).alias("acc_after"))
+
+
+@query("transform_map", compose("""
+SELECT model_id, path_key, 2 AS n_vars, split_part(split_part(xform_key, '; last=', 1), 'acc=', 2) AS acc_expr,
+       'k' AS last_expr FROM g_sem""", "g_sem"))
+def q_transform_map(spark, sf):
+    """Transform keys back to maps."""
+    from chartlake.functions.guards import transform_map
+    c, _ = _charts(spark, sf)
+    s = ct.path_semantics(c, graph.cut_paths(c)).join(c.meta.select("model_id", "variables"), "model_id")
+    m = s.select("model_id", "path_key", transform_map(transform_key(F.col("xform"), F.col("variables"))).alias("m"))
+    return m.select("model_id", "path_key", F.size("m").alias("n_vars"), F.col("m")["acc"].alias("acc_expr"),
+                    F.col("m")["last"].alias("last_expr"))
+
+
+@query("transform_equal", compose("""
+SELECT d.pair_id, a.path_key, a.xform_key = b.xform_key AS same_transform
+FROM d_pair d JOIN g_sem a ON a.model_id = d.model1 JOIN g_sem b ON b.model_id = d.model2 AND b.path_key = a.path_key""",
+                                  "d_pair", "g_sem"))
+def q_transform_equal(spark, sf):
+    """The transform of each model-1 path against the model-2 path with the same key, on the common variables."""
+    from chartlake.functions.guards import transform_equal
+    c, idx = _charts(spark, sf)
+    pairs = day_week_pairs(idx)
+    sem = ct.path_semantics(c, graph.cut_paths(c)).select("model_id", "path_key", "xform").persist()
+    cv = ct.common_variables(c, pairs)
+    a = sem.withColumnRenamed("model_id", "model1").withColumnRenamed("xform", "m1")
+    b = sem.withColumnRenamed("model_id", "model2").withColumnRenamed("xform", "m2")
+    j = cv.join(a, "model1").join(b, ["model2", "path_key"])
+    return j.select("pair_id", "path_key", transform_equal(F.col("m1"), F.col("m2"), F.col("common_vars")).alias("same_transform"))
