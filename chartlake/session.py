@@ -3,8 +3,10 @@ checkpoint folder used to cut lineage in iterative plans."""
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,31 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python once a context, so that a driver may run from any folder."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(sc, "_chartlake_shipped", False) or not os.path.isdir(os.path.join(root, "chartlake")):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "chartlake")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    folder = tempfile.mkdtemp(prefix="chartlake-ship-")  # read by the driver alone, which serves it to the executors
+    path = os.path.join(folder, "chartlake.zip")
+    with open(path, "wb") as f:
+        f.write(data.getvalue())
+    sc.addPyFile(path)
+    sc._chartlake_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; only when none is configured
     (local tests) set a scratch one."""
