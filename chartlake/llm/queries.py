@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartlake.llm.bpe import encode
 from chartlake.llm.mixing import mix_sources
 from chartlake.llm.pii import BASE, find_pii
+from chartlake.llm.substring_dedup import substring_dedup
 from chartlake.session import table
 
 
+def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), keep=("doc_id",), ids=False)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "_mix.copies")
@@ -27,5 +33,11 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mixing, op7_pii_spans)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe_roundtrip, op4_source_mixing, op7_pii_spans, op10_substring_dedup,
+)}
 ORACLE: dict[str, str] = {}
