@@ -196,7 +196,9 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
             cols += [pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got], pa.string()),
                      pa.array([sha(g[2]) for g in got], pa.string())]
             if ids:
-                cols.append(pa.array([[int(x) for x in g[1].split()] for g in got], pa.list_(pa.int32())))
+                flat = np.fromstring(" ".join([g[1] for g in got if g[0]]), np.int32, sep=" ")
+                off = np.cumsum([0] + [g[0] for g in got])
+                cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32())))
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

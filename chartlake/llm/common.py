@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,3 +126,11 @@ def window_hashes(h: np.ndarray, first: np.ndarray, n: int, seed: int = 0x2545F4
     for j in range(n):
         acc = acc * mul + h[j:total - n + 1 + j]
     return at, mix64(acc[at])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared checkpoint folder (compressed, columnar) and read it back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartlake.llm.bpe import encode
+from chartlake.llm.class_lm import score_texts
+from chartlake.llm.html_extract import extract_main_text
 from chartlake.llm.mixing import mix_sources
+from chartlake.llm.multi_index_hashing import nearest
+from chartlake.llm.near_dedup import near_duplicates
 from chartlake.llm.pii import BASE, find_pii
+from chartlake.llm.quality import score_quality
 from chartlake.llm.substring_dedup import substring_dedup
+from chartlake.llm.voronoi_knn import exact_top_k
 from chartlake.session import table
 
 
@@ -16,11 +22,27 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), keep=("doc_id",), ids=False)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "_mix.copies")
 
 
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -33,11 +55,20 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         _joined(F.col("spans")).alias("spans"))
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe_roundtrip, op4_source_mixing, op7_pii_spans, op10_substring_dedup,
+    op1_bpe_roundtrip, op2_minhash_near_dedup, op3_voronoi_top_k, op4_source_mixing, op5_class_lm, op6_html_main_text,
+    op7_pii_spans, op8_multi_index_hashing, op9_quality_rules, op10_substring_dedup,
 )}
 ORACLE: dict[str, str] = {}
