@@ -50,7 +50,7 @@ def statistics(text: str = "text") -> dict[str, Column]:
     }
 
 
-FEATURES = tuple(statistics())
+FEATURES = ("chars", "upper", "digits", "marks", "symbols", "bars", "stops", "lines", "word_length", "distinct_words", "distinct_lines")
 #: A rule: conditions (feature, is_above, cut); above means greater than the cut.
 Rule = tuple[tuple[int, bool, float], ...]
 

@@ -1,6 +1,6 @@
 """Exact substring dedup by fixed-block anchors.
 
-A repeat of ``window`` words holds a whole aligned block of ``window // 2 + 1`` words of the document it repeats.
+A repeat of ``window`` words holds a whole aligned block of ``(window + 1) // 2`` words of the document it repeats.
 So the non-overlapping blocks of every document are indexed, every rolling run of that many words probes the
 index, and only windows that hold a hit are compared exactly; windows that touch add up to maximal repeats.
 
@@ -95,7 +95,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", t
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = max(12, math.ceil(total / GROUP_BYTES))
     bits = max(4, math.ceil(math.log2(max(1, total / RANGE_BYTES))))
-    block = window // 2 + 1
+    block = (window + 1) // 2
     low = np.uint64(32 - bits)
     grouped = src.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)))
 
