@@ -1,146 +1,252 @@
-"""Bounded-domain guard equivalence (E6) and branch overlap (L4).
-
-A condition key (``' AND '`` of canonical guards, each ``' or '`` of ``' and '`` atoms) is
-evaluated on a test grid: for every variable the values c-1, c, c+1 of each integer it is
-compared with ({0, 1} when it has none). For ``var op integer`` atoms the grid hits every
-region of the number line, so agreement on the grid is exact equivalence. Variable-to-variable
-atoms only allow ``different`` / ``not_refuted``; grids above ``cap`` points and unparsable
-conditions are ``unknown``.
-
-Spark reduces the input to the *distinct* condition pairs (or distinct guard lists of a step),
-evaluates them in Arrow batches with ``mapInPandas`` (a small helper per distinct key, bounded
-by ``cap`` grid points) and joins the verdicts back; nothing is collected to the driver.
+"""Guard equivalence (E6), condition keys and branch overlap (L4).
+
+A condition (``' AND '`` of canonical guards, each ``' or '`` of ``' and '`` atoms) is a function of its
+variables. For every variable the numbers it is compared with cut the number line into regions in which no atom
+changes: integers need c-1, c, c+1; where a decimal occurs, c and the middles between; strings need each string
+and one other; a bare variable needs 0 and 1 beside. The condition is evaluated at one point of every region at
+once, as an array with one axis a variable. Equal arrays mean equal conditions.
+
+``condition_keys`` turns that into a key: axes along which nothing changes are dropped, neighbouring regions that
+agree are merged, and what is left (cuts and truth values) is the same for all ways to write a condition. So
+equivalence is an equi-join on the key, without pairs.
+
+A comparison of two variables is one more axis (less, equal, greater). That is sound for "equivalent by key";
+``guard_equivalent`` then says ``not_refuted``. What cannot be decided is ``unknown`` with a reason: ``unparsable``,
+``types`` (a variable compared with both numbers and strings) or ``size`` (more than ``POINTS`` regions).
 """
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_CAP = 4096
-_INT = re.compile(r"^-?[0-9]+$")
+#: Regions evaluated for one condition or pair at most; beyond, the verdict is ``unknown`` for the reason ``size``.
+POINTS = 1 << 18
+_NUM = re.compile(r"^-?[0-9]+(\.[0-9]+)?$")
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_.]*$")
-_ATOM = re.compile(r"^(not )?(\S+)(?: (\S+) (\S+))?$")
-_OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">=": lambda a, b: a >= b,
-        "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+_STR = re.compile(r"^('[^']*'|\"[^\"]*\")$")
+_ATOM = re.compile(r"^(not )?(\S+)(?: (==|!=|>=|<=|>|<) (.+))?$")
+_OPS = {"==": np.equal, "!=": np.not_equal, ">=": np.greater_equal, "<=": np.less_equal, ">": np.greater, "<": np.less}
+_TURN = {"==": "==", "!=": "!=", ">=": "<=", "<=": ">=", ">": "<", "<": ">"}
+
 
+class Unknown(Exception):
+    """A condition that cannot be decided; the reason is its text."""
 
-def parse_cond(cond: str | None):
-    """AND of OR of AND of atoms ``(neg, var, op, val)``; ``[]`` for true; None if unparsable."""
+
+def parse_cond(cond: str | None) -> list[list[list[tuple]]]:
+    """AND of OR of AND of atoms ``(negated, variable, op, kind, value)``; ``[]`` for true."""
     if cond is None:
-        return None
+        raise Unknown("unparsable")
     out = []
     for g in cond.split(" AND "):
         if g == "true":
             continue
-        clauses = []
-        for c in g.split(" or "):
-            atoms = []
-            for a in c.split(" and "):
-                m = _ATOM.match(a)
-                if not m or not _IDENT.match(m.group(2)) or (m.group(3) and m.group(3) not in _OPS):
-                    return None
-                atoms.append((bool(m.group(1)), m.group(2), m.group(3) or "", m.group(4) or ""))
-            clauses.append(atoms)
-        out.append(clauses)
+        out.append([[_atom(a) for a in c.split(" and ")] for c in g.split(" or ")])
+    return out
+
+
+def _atom(text: str) -> tuple:
+    m = _ATOM.match(text)
+    if not m or not _IDENT.match(m.group(2)):
+        raise Unknown("unparsable")
+    neg, var, op, val = bool(m.group(1)), m.group(2), m.group(3) or "", m.group(4) or ""
+    if not op:
+        return neg, var, "", "bare", ""
+    if _NUM.match(val):
+        return neg, var, op, "num", Fraction(val)
+    if _STR.match(val):
+        if op not in ("==", "!="):
+            raise Unknown("types")
+        return neg, var, op, "str", val[1:-1]
+    if _IDENT.match(val) and val not in ("true", "false"):
+        # one axis for both ways to write the comparison
+        return (neg, f"{val}?{var}", _TURN[op], "rel", "") if val < var else (neg, f"{var}?{val}", op, "rel", "")
+    raise Unknown("unparsable")
+
+
+def _axes(atoms: list[tuple]) -> dict[str, list]:
+    """Points of every variable in order; numbers are Fractions, a point after a decimal c is (c, 1)."""
+    use: dict[str, dict] = {}
+    for _, var, _, kind, val in atoms:
+        use.setdefault(var, {}).setdefault(kind, set()).add(val)
+    out: dict[str, list] = {}
+    for var in sorted(use):
+        kinds = use[var]
+        if "rel" in kinds:
+            out[var] = [Fraction(-1), Fraction(0), Fraction(1)]
+        elif "str" in kinds:
+            if "num" in kinds or "bare" in kinds:
+                raise Unknown("types")
+            out[var] = [*sorted(kinds["str"]), None]
+        elif "num" not in kinds:
+            out[var] = [Fraction(0), Fraction(1)]
+        else:
+            cuts = sorted(kinds["num"] | ({Fraction(0)} if "bare" in kinds else set()))
+            if all(c.denominator == 1 for c in cuts):
+                out[var] = sorted({c + d for c in cuts for d in (-1, 0, 1)})
+            else:
+                middles = [(a + b) / 2 for a, b in zip(cuts, cuts[1:])]
+                out[var] = sorted([*cuts, *middles, cuts[0] - 1, cuts[-1] + 1])
+    size = 1
+    for p in out.values():
+        size *= len(p)
+    if size > POINTS:
+        raise Unknown("size")
     return out
 
 
-def _atoms(terms):
+def _truth(terms, axes: dict[str, list]) -> np.ndarray:
+    """Truth values at all points, one axis a variable."""
+    names = list(axes)
+    shape = tuple(len(axes[v]) for v in names)
+
+    def atom(a) -> np.ndarray:
+        neg, var, op, kind, val = a
+        points = axes[var]
+        if kind == "bare":
+            t = np.array([p != 0 for p in points])
+        elif kind == "str":
+            t = np.array([(p == val) == (op == "==") for p in points])
+        else:
+            t = np.array([bool(_OPS[op](p, Fraction(0) if kind == "rel" else val)) for p in points])
+        t = ~t if neg else t
+        return t.reshape([len(points) if v == var else 1 for v in names])
+
+    out = np.ones(shape, bool)
+    for g in terms:
+        group = np.zeros(shape, bool)
+        for c in g:
+            clause = np.ones(shape, bool)
+            for a in c:
+                clause = clause & atom(a)
+            group |= clause
+        out &= group
+    return out
+
+
+def _atoms(terms) -> list[tuple]:
     return [a for g in terms for c in g for a in c]
 
 
-def _grid(atoms, varvar: bool):
-    refs = {a[1] for a in atoms}
-    if varvar:
-        refs |= {a[3] for a in atoms if a[2] and _IDENT.match(a[3])}
-    names = sorted(refs)
-    consts = sorted({int(a[3]) + d for a in atoms if _INT.match(a[3]) for d in (-1, 0, 1)})
-    axes = []
-    for v in names:
-        own = sorted({int(a[3]) + d for a in atoms if a[1] == v and _INT.match(a[3]) for d in (-1, 0, 1)})
-        vv = varvar and any((a[1] == v or a[3] == v) and a[2] and _IDENT.match(a[3]) for a in atoms)
-        axes.append(sorted(set(consts) | {0, 1}) if vv else (own or [0, 1]))
-    return names, axes
-
-
-def _truth(atom, point) -> bool:
-    neg, var, op, val = atom
-    lhs = point[var]
-    if op == "":
-        return (lhs == 0) if neg else (lhs != 0)
-    rhs = int(val) if _INT.match(val) else point[val]
-    return _OPS[op](lhs, rhs)
-
-
-def _eval(terms, point) -> bool:
-    return all(any(all(_truth(a, point) for a in c) for c in g) for g in terms)
-
-
-def _size(axes) -> int:
-    n = 1
-    for a in axes:
-        n *= len(a)
-    return n
-
-
-def equivalence_verdict(c1: str | None, c2: str | None, cap: int = DEFAULT_CAP) -> tuple[str, int | None]:
-    t1, t2 = parse_cond(c1), parse_cond(c2)
-    if t1 is None or t2 is None:
-        return "unknown", None
-    atoms = _atoms(t1) + _atoms(t2)
-    names, axes = _grid(atoms, varvar=True)
-    n = _size(axes)
-    if n > cap:
-        return "unknown", n
-    for values in itertools.product(*axes):
-        p = dict(zip(names, values))
-        if _eval(t1, p) != _eval(t2, p):
-            return "different", n
-    exact = all(a[2] == "" or _INT.match(a[3]) for a in atoms)
-    return ("equivalent" if exact else "not_refuted"), n
-
-
-def overlap_of(conds, cap: int = DEFAULT_CAP) -> bool | None:
-    """Some grid point makes at least two of the (parsable) conditions true."""
-    terms = [t for t in (parse_cond(c) for c in conds if c is not None) if t is not None]
-    atoms = [a for t in terms for a in _atoms(t)]
-    names, axes = _grid(atoms, varvar=False)
-    if _size(axes) > cap:
-        return None
-    for values in itertools.product(*axes):
-        p = dict(zip(names, values))
-        if sum(1 for t in terms if _eval(t, p)) >= 2:
-            return True
-    return False
-
-
-def guard_equivalent(df: DataFrame, c1: str, c2: str, cap: int = DEFAULT_CAP) -> DataFrame:
-    """Adds ``verdict`` (equivalent / different / not_refuted / unknown) and ``grid_points``."""
+def condition_key(cond: str | None) -> tuple[str | None, str | None]:
+    """(key, reason): equal keys mean equivalent conditions. Where the reason is ``size`` or ``types`` the key is the text
+    itself, so that equal texts still match; an unparsable condition has no key."""
+    try:
+        terms = parse_cond(cond)
+        axes = _axes(_atoms(terms))
+        t = _truth(terms, axes)
+    except Unknown as e:
+        return (None if str(e) == "unparsable" else f"text:{cond}"), str(e)
+    parts = []
+    for k, (var, points) in reversed(list(enumerate(axes.items()))):
+        rows = np.moveaxis(t, k, 0)
+        if points[-1] is None:  # strings that act like any other one are dropped
+            keep = [i for i in range(len(points) - 1) if (rows[i] != rows[-1]).any()] + [len(points) - 1]
+            names = [repr(points[i]) for i in keep[:-1]]
+        else:
+            keep = [0] + [i for i in range(1, len(points)) if (rows[i] != rows[i - 1]).any()]
+            decimal = any(p.denominator != 1 for p in points)
+            # a region begins at a number or, where decimals occur, just after the number before it
+            names = [f"{points[i]}" if not decimal or (i % 2 == 1) else f">{points[i - 1]}" for i in keep[1:]]
+        t = np.take(t, keep, axis=k)
+        if len(keep) == 1:
+            t = np.squeeze(t, axis=k)
+        else:
+            parts.append(f"{var}:{','.join(names)}")
+    if not parts:
+        return ("true" if bool(t) else "false"), None
+    bits = "".join("1" if x else "0" for x in t.reshape(-1))
+    text = ";".join(reversed(parts)) + "|" + bits
+    return (text if len(text) <= 200 else "md5:" + hashlib.md5(text.encode()).hexdigest()), None
+
+
+def equivalence_verdict(c1: str | None, c2: str | None) -> tuple[str, int | None, str | None]:
+    """(verdict, points evaluated, reason of ``unknown``)."""
+    try:
+        t1, t2 = parse_cond(c1), parse_cond(c2)
+        atoms = _atoms(t1) + _atoms(t2)
+        axes = _axes(atoms)
+        a, b = _truth(t1, axes), _truth(t2, axes)
+    except Unknown as e:
+        return "unknown", None, str(e)
+    n = int(np.prod([len(p) for p in axes.values()], dtype=np.int64))
+    related = any(x[3] == "rel" for x in atoms)
+    if (a == b).all():
+        return ("not_refuted" if related else "equivalent"), n, None
+    # with two compared variables a difference may lie where the comparisons contradict each other
+    mixed = related and len({x[1] for x in atoms}) > 1
+    return ("unknown", n, "related") if mixed else ("different", n, None)
+
+
+def overlap_of(conds) -> tuple[bool | None, str | None]:
+    """(overlap, reason): whether two of the conditions hold together somewhere; None with a reason if that is not known."""
+    truths, reason = [], None
+    terms = []
+    for c in conds:
+        try:
+            terms.append(parse_cond(c))
+        except Unknown as e:
+            reason = str(e)
+    try:
+        axes = _axes([a for t in terms for a in _atoms(t)])
+        truths = [_truth(t, axes) for t in terms]
+    except Unknown as e:
+        # too many regions together: pair by pair, each with its own axes
+        reason = str(e) if str(e) != "size" else reason
+        for i, x in enumerate(terms):
+            for y in terms[:i]:
+                try:
+                    axes = _axes(_atoms(x) + _atoms(y))
+                    if (_truth(x, axes) & _truth(y, axes)).any():
+                        return True, None
+                except Unknown as e2:
+                    reason = str(e2)
+        return (None, reason) if reason else (False, None)
+    if len(truths) > 1 and (np.sum([t.astype(np.int32) for t in truths], axis=0) >= 2).any():
+        return True, None
+    return (None, reason) if reason else (False, None)
+
+
+def condition_keys(conds: DataFrame, col: str = "cond_key") -> DataFrame:
+    """``(col, cond_sem, cond_reason)`` of the distinct conditions of a table."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [condition_key(x) for x in b[col]]
+            yield pd.DataFrame({col: b[col], "cond_sem": [g[0] for g in got], "cond_reason": [g[1] for g in got]})
+
+    return conds.select(col).distinct().mapInPandas(run, f"{col} string, cond_sem string, cond_reason string")
+
+
+def guard_equivalent(df: DataFrame, c1: str, c2: str) -> DataFrame:
+    """Adds ``verdict`` (equivalent / different / not_refuted / unknown), ``grid_points`` and ``reason``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            res = [equivalence_verdict(x, y, cap) for x, y in zip(b["_c1"], b["_c2"])]
+            res = [equivalence_verdict(x, y) for x, y in zip(b["_c1"], b["_c2"])]
             yield pd.DataFrame({"_c1": b["_c1"], "_c2": b["_c2"], "verdict": [r[0] for r in res],
-                                "grid_points": pd.array([r[1] for r in res], dtype="Int64")})
+                                "grid_points": pd.array([r[1] for r in res], dtype="Int64"), "reason": [r[2] for r in res]})
 
     keys = df.select(F.col(c1).alias("_c1"), F.col(c2).alias("_c2")).distinct()
-    v = keys.mapInPandas(run, "_c1 string, _c2 string, verdict string, grid_points bigint")
+    v = keys.mapInPandas(run, "_c1 string, _c2 string, verdict string, grid_points bigint, reason string")
     cond = F.col(c1).eqNullSafe(v["_c1"]) & F.col(c2).eqNullSafe(v["_c2"])
     return df.join(v, cond).drop("_c1", "_c2")
 
 
-def branch_overlap(df: DataFrame, conds: str, cap: int = DEFAULT_CAP) -> DataFrame:
-    """Adds ``overlap`` for the array column ``conds`` (NULL when the grid exceeds ``cap``)."""
+def branch_overlap(df: DataFrame, conds: str) -> DataFrame:
+    """Adds ``overlap`` (NULL where it is not known) and ``reason`` for the array column ``conds``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_k": b["_k"], "overlap": pd.array(
-                [overlap_of(list(x) if x is not None else [], cap) for x in b["_k"]], dtype="boolean")})
+            got = [overlap_of(list(x)) for x in b["_k"]]
+            yield pd.DataFrame({"_k": b["_k"], "overlap": pd.array([g[0] for g in got], dtype="boolean"),
+                                "reason": [g[1] for g in got]})
 
-    keyed = df.withColumn("_k", F.array_sort(F.filter(F.col(conds), lambda x: x.isNotNull())))
-    v = keyed.select("_k").distinct().mapInPandas(run, "_k array<string>, overlap boolean")
+    keyed = df.withColumn("_k", F.array_sort(F.coalesce(F.col(conds), F.expr("cast(array() as array<string>)"))))
+    v = keyed.select("_k").distinct().mapInPandas(run, "_k array<string>, overlap boolean, reason string")
     return keyed.join(v, "_k").drop("_k")

@@ -22,7 +22,9 @@ INT_NAME_HINTS = ["cnt", "count", "timer", "num", "val", "level", "temp", "press
 # Whole guards meaning "always true".
 TRUE_GUARDS = ["", "true", "always", "init"]
 
-ATOM_RE = r"^(not )?([A-Za-z_][A-Za-z0-9_.]*|-?[0-9]+)(?: (==|!=|>=|<=|>|<) (.+))?$"
+_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
+_STRING = r"'[^' ()]*'|\"[^\" ()]*\""
+ATOM_RE = rf"^(not )?([A-Za-z_][A-Za-z0-9_.]*|{_NUMBER}|{_STRING})(?: (==|!=|>=|<=|>|<) (.+))?$"
 FLIP = {">": "<", "<": ">", ">=": "<=", "<=": ">=", "==": "==", "!=": "!="}
 NEGATE = {">": "<=", "<": ">=", ">=": "<", "<=": ">", "==": "!=", "!=": "=="}
 
@@ -65,7 +67,7 @@ def normalize_guard(g: Column) -> Column:
     s = F.regexp_replace(s, r"\(\s+", "(")
     s = F.regexp_replace(s, r"\s+\)", ")")
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.when(F.lower(s).isin(TRUE_GUARDS), F.lit("true")).otherwise(s)
+    return F.when(F.lower(s).isin([*TRUE_GUARDS, "1"]), F.lit("true")).when(s == "0", F.lit("false")).otherwise(s)
 
 
 def _atom_canonical(a: Column) -> Column:
@@ -75,8 +77,9 @@ def _atom_canonical(a: Column) -> Column:
     op = F.regexp_extract(a, ATOM_RE, 3)
     rhs = F.regexp_extract(a, ATOM_RE, 4)
     ok = a.rlike(ATOM_RE) & ~rhs.rlike(r"[ ()]") & (lhs != "")
-    lhs_num = lhs.rlike(r"^-?[0-9]+$")
-    rhs_num = rhs.rlike(r"^-?[0-9]+$")
+    literal = rf"^({_NUMBER}|{_STRING})$"
+    lhs_num = lhs.rlike(literal)
+    rhs_num = rhs.rlike(literal)
     flip_map = F.create_map(*[x for k, v in FLIP.items() for x in (F.lit(k), F.lit(v))])
     neg_map = F.create_map(*[x for k, v in NEGATE.items() for x in (F.lit(k), F.lit(v))])
     # put the variable on the left: 5 < x -> x > 5
@@ -107,8 +110,13 @@ def canonical_guard(g: Column) -> Column:
     clauses = F.split(n, " or ")
     atoms = F.transform(clauses, lambda c: F.array_distinct(F.array_sort(F.transform(F.split(c, " and "), _atom_canonical))))
     bad = F.exists(atoms, lambda c: F.exists(c, lambda a: a.isNull())) | n.contains("(") | n.contains(")")
-    joined = F.array_join(F.array_sort(F.array_distinct(F.transform(atoms, lambda c: F.array_join(c, " and ")))), " or ")
-    return F.when(n == "true", F.lit("true")).when(~bad, joined)
+    # constants: a false atom drops its clause, a true one is dropped from it; no clause left is false
+    no, yes = F.array(F.lit("false"), F.lit("0"), F.lit("not true"), F.lit("not 1")), F.array(
+        F.lit("true"), F.lit("1"), F.lit("not false"), F.lit("not 0"))
+    live = F.transform(F.filter(atoms, lambda c: ~F.arrays_overlap(c, no)), lambda c: F.array_except(c, yes))
+    joined = F.array_join(F.array_sort(F.array_distinct(F.transform(live, lambda c: F.array_join(c, " and ")))), " or ")
+    folded = F.when(F.size(live) == 0, F.lit("false")).when(F.exists(live, lambda c: F.size(c) == 0), F.lit("true")).otherwise(joined)
+    return F.when(n == "true", F.lit("true")).when(~bad, folded)
 
 
 def canonical_guards(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
@@ -117,10 +125,7 @@ def canonical_guards(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
     d = guards.select(F.col(guard_col).alias("guard")).distinct().select(
         "guard", canonical_guard(F.col("guard")).alias("cg"), normalize_guard(F.col("guard")).alias("_n"))
     nested = F.col("cg").isNull() & F.col("_n").contains("(") & ~F.col("_n").rlike(r"[-+*/%;]|>>|<<")
-    d = d.persist()
     done = d.filter(~nested).select("guard", "cg")
-    if d.filter(nested).isEmpty():      # the Python stage only runs when there is work for it
-        return done
     rest = d.filter(nested).select("guard", nested_canonical(F.col("_n")).alias("cg"))
     return done.unionByName(rest)
 
@@ -129,6 +134,10 @@ def guard_atoms(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
     """Flat DNF rows ``(guard, clause, atom_pos, var, op, val, negated)`` of the distinct guards."""
     d = guards.select(F.col(guard_col).alias("guard")).distinct()
     n = d.select("guard", normalize_guard(F.col("guard")).alias("n")).filter("n <> 'true'")
+    # bracketed guards are read in their canonical form, where that exists
+    bracketed = F.col("n").contains("(") & ~F.col("n").rlike(r"[-+*/%;]|>>|<<")
+    n = n.filter(~bracketed).unionByName(n.filter(bracketed).select(
+        "guard", F.coalesce(nested_canonical(F.col("n")), F.col("n")).alias("n")).filter("n <> 'true'"))
     cl = n.select("guard", F.posexplode(F.split("n", " or ")).alias("clause", "c"))
     at = cl.select("guard", "clause", F.posexplode(F.split("c", " and ")).alias("atom_pos", "a"))
     canon = _atom_canonical(F.col("a"))
@@ -154,13 +163,16 @@ def name_type(var: Column) -> Column:
     return F.when(is_b, "Bool").when(is_i, "Int").otherwise("Bool")
 
 
+_ARITH = r"[-+*/%]"
+
+
 def infer_var_types(c: Charts) -> DataFrame:
     """Bool / Int per (model, variable): ordering comparison or arithmetic => Int; bare use
     under and/or/not => Bool; otherwise the name heuristic."""
     g = c.transitions.select("model_id", "guard", normalize_guard(F.col("guard")).alias("n"))
     toks = g.select(
         "model_id", "n",
-        F.regexp_extract_all("n", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:<=|>=|<|>)|(?:<=|>=|<|>)\s*([A-Za-z_][A-Za-z0-9_]*)"), 0).alias("cmp"),
+        F.regexp_extract_all("n", F.lit(rf"([A-Za-z_][A-Za-z0-9_]*)(?=\s*(?:<=|>=|<|>|{_ARITH}))|(?<=[<>+*/%-]|[<>]=)\s*([A-Za-z_][A-Za-z0-9_]*)"), 0).alias("cmp"),
     )
     ints = toks.select("model_id", F.explode("cmp").alias("m")).select(
         "model_id", F.regexp_extract("m", r"([A-Za-z_][A-Za-z0-9_]*)", 1).alias("var")
@@ -217,7 +229,7 @@ def parse_assignments(function: Column) -> Column:
     pairs = F.transform(frags, lambda a: F.struct(
         F.trim(F.substring_index(a, ":=", 1)).alias("lhs"),
         F.trim(F.regexp_extract(a, r"^[^:]*:=(.*)$", 1)).alias("rhs")))
-    return F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, 1 << 20), lambda b: b["lhs"] == a["lhs"]))
+    return F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda b: b["lhs"] == a["lhs"]))
 
 
 def fold_functions(fun_seq: Column) -> Column:
@@ -260,7 +272,6 @@ def transform_equal(m1: Column, m2: Column, allowed: Column) -> Column:
 
 
 # E3 (nested) ---------------------------------------------------------------------
-MAX_DNF_CLAUSES = 64
 _CMP = {"Eq": "==", "NotEq": "!=", "Lt": "<", "LtE": "<=", "Gt": ">", "GtE": ">="}
 
 
@@ -270,19 +281,30 @@ def _atom_text(var: str, op: str, val: str) -> str:
     return f"{var} {op} {val}"
 
 
+def _minimal(clauses):
+    """Clauses without those that another one's atoms already imply; no cap, as absorbed clauses never multiply."""
+    kept = []
+    for c in sorted(clauses, key=lambda c: (len(c), sorted(c))):
+        if not any(k <= c for k in kept):
+            kept.append(c)
+    return kept
+
+
 def _dnf(node):
     """Python AST of a normalised guard -> list of clauses (sets of canonical atoms), or None."""
     import ast
 
     def lit(n):
         if isinstance(n, ast.Name):
-            return n.id, False
+            return n.id, n.id in ("true", "false")
         if isinstance(n, ast.Constant) and isinstance(n.value, bool):
             return str(n.value).lower(), True
-        if isinstance(n, ast.Constant) and isinstance(n.value, int):
+        if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)):
             return str(n.value), True
+        if isinstance(n, ast.Constant) and isinstance(n.value, str) and not set(n.value) & set(" ()'"):
+            return f"'{n.value}'", True
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.USub) and isinstance(n.operand, ast.Constant) \
-                and isinstance(n.operand.value, int) and not isinstance(n.operand.value, bool):
+                and isinstance(n.operand.value, (int, float)) and not isinstance(n.operand.value, bool):
             return f"-{n.operand.value}", True
         return None, False
 
@@ -293,12 +315,10 @@ def _dnf(node):
             if any(p is None for p in parts):
                 return None
             if not is_and:
-                return [c for p in parts for c in p]
+                return _minimal({c for p in parts for c in p})
             out = [frozenset()]
             for p in parts:
-                out = [a | b for a in out for b in p]
-                if len(out) > MAX_DNF_CLAUSES:
-                    return None
+                out = _minimal({a | b for a in out for b in p})
             return out
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
             return go(n.operand, not neg)
@@ -315,8 +335,8 @@ def _dnf(node):
         v, is_lit = lit(n)
         if v is not None and not is_lit:
             return [frozenset([f"not {v}" if neg else v])]
-        if v in ("true", "false"):
-            return [frozenset()] if (v == "true") != neg else []
+        if v in ("true", "false", "1", "0"):
+            return [frozenset()] if (v in ("true", "1")) != neg else []
         return None
 
     return go(node, False)
@@ -333,8 +353,10 @@ def nested_canonical_text(n: str | None) -> str | None:
     except (SyntaxError, ValueError):
         return None
     d = _dnf(tree)
-    if d is None or not d:
+    if d is None:
         return None
+    if not d:
+        return "false"
     if any(len(c) == 0 for c in d):
         return "true"
     return " or ".join(sorted({" and ".join(sorted(c)) for c in d}))

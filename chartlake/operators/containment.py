@@ -1,9 +1,9 @@
 """Behaviour containment between chart pairs.
 
 For every pair (model1, model2): each cut-point path of model 1 must have a path in model 2
-with the same condition and the same data transform on the common variables. The match is
-an equi-join on (pair, condition key, transform key) — no nested loop, no solver; guards
-that only a solver could equate are reported by ``guard_equivalent`` instead.
+with an equivalent condition and the same data transform on the common variables. Conditions are turned
+into keys that are equal for equivalent conditions (``functions.equivalence``), so the match is an equi-join on
+(pair, condition key, transform key) — no nested loop, no solver, no pairs.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
+from chartlake.functions.equivalence import condition_keys
 from chartlake.functions.guards import canonical_guards, fold_functions, transform_key
 from chartlake.operators import graph
+from chartlake.session import cut_lineage
 
 
 def path_semantics(c: Charts, paths: DataFrame) -> DataFrame:
@@ -24,8 +26,9 @@ def path_semantics(c: Charts, paths: DataFrame) -> DataFrame:
     Canonical guards are computed once per distinct guard text and the fold once per distinct
     sequence of step functions; both are joined back, so the per-path work is a lookup."""
     hops = paths.select("model_id", "path_key", F.posexplode("transitions").alias("hop", "t_idx"))
-    gcan = canonical_guards(c.transitions)
-    tr = c.transitions.select("model_id", "t_idx", "guard", "tgt").join(gcan, "guard")
+    given = c.transitions.withColumn("guard", F.coalesce("guard", F.lit("")))  # no guard: always true
+    gcan = canonical_guards(given)
+    tr = given.select("model_id", "t_idx", "guard", "tgt").join(gcan, "guard")
     h = hops.join(tr, ["model_id", "t_idx"])
     cond = h.groupBy("model_id", "path_key").agg(
         F.array_sort(F.collect_set(F.when(F.col("cg") != "true", F.col("cg")))).alias("_g"),
@@ -64,29 +67,29 @@ def common_variables(c: Charts, pairs: DataFrame) -> DataFrame:
 def pair_paths(c: Charts, pairs: DataFrame, mode: str = "multi_hop") -> tuple[DataFrame, DataFrame]:
     """Semantic paths of both sides of each pair with the transform key restricted to the
     pair's common variables: ``(pair_id, path_key, from_place, to_place, cond_key, xform_key)``."""
-    paths = graph.cut_paths(c, mode=mode)
-    sem = path_semantics(c, paths).persist()
-    cv = common_variables(c, pairs).persist()
+    used = cut_lineage(pairs.select(F.explode(F.array("model1", "model2")).alias("model_id")).distinct())
+    c = Charts(*[t.join(used, "model_id", "left_semi") for t in (c.steps, c.transitions, c.meta)])
+    sem = path_semantics(c, graph.cut_paths(c, mode=mode))
+    sem = cut_lineage(sem.join(condition_keys(sem), "cond_key", "left"))
+    cv = cut_lineage(common_variables(c, pairs))
 
     def side(model_col):
         s = sem.withColumnRenamed("model_id", model_col)
         return s.join(cv.select("pair_id", model_col, "common_vars"), model_col).select(
-            "pair_id", "path_key", "from_place", "to_place", "cond_key",
+            "pair_id", "path_key", "from_place", "to_place", "cond_key", "cond_sem", "cond_reason",
             transform_key(F.col("xform"), F.col("common_vars")).alias("xform_key"),
         )
 
-    return side("model1").persist(), side("model2").persist()
+    return side("model1"), side("model2")
 
 
 # J4 / J5 / A5 --------------------------------------------------------------------
 def path_match(p1: DataFrame, p2: DataFrame) -> DataFrame:
-    """For each model-1 path the first (smallest ``path_key``) model-2 path with equal keys."""
-    k2 = p2.select("pair_id", "cond_key", "xform_key", F.col("path_key").alias("match_key"))
-    return (
-        p1.join(k2, ["pair_id", "cond_key", "xform_key"])
-        .groupBy("pair_id", "path_key")
-        .agg(F.min("match_key").alias("match_key"))
-    )
+    """For each model-1 path the first (smallest ``path_key``) model-2 path with an equivalent condition and the same
+    transform. Paths whose condition cannot be read (``cond_sem`` NULL) match nothing."""
+    key = ["pair_id", "cond_sem", "xform_key"]
+    k2 = p2.groupBy(*key).agg(F.min("path_key").alias("match_key"))
+    return p1.join(k2, key).select("pair_id", "path_key", "match_key")
 
 
 def path_unmatched(p1: DataFrame, matches: DataFrame) -> DataFrame:

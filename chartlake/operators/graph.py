@@ -1,8 +1,8 @@
 """Graph operators over chart tables (G1-G10): Petri-net arcs, degrees, cut-points,
 reachability and cut-point paths for every model at once.
 
-All operators are keyed by ``model_id``; the iterative ones (reachability, paths) run a
-frontier loop whose depth is bounded by the largest chart, not by the number of charts.
+All operators are keyed by ``model_id``; the iterative ones (reachability, paths) double path lengths
+each round, so the rounds grow with the logarithm of the longest path, not with the number of charts.
 """
 
 from __future__ import annotations
@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 from chartlake.charts import Charts
 from chartlake.session import cut_lineage
 
-CHECKPOINT_EVERY = 4
-# Charts with at most this many distinct place->place edges are solved inside one row with
-# array functions (one shuffle by model, no job per round); larger charts take the
-# distributed frontier loop. Both give the same rows.
-ARRAY_EDGE_CAP = 256
-
 
 def t_name(idx_col="t_idx"):
     return F.concat(F.lit("t_"), F.col(idx_col).cast("string"))
@@ -81,76 +75,27 @@ def sink_places(c: Charts, degrees: DataFrame | None = None) -> DataFrame:
 
 
 # G6 ------------------------------------------------------------------------------
-def _edge_lists(c: Charts) -> tuple[DataFrame, DataFrame]:
-    """``(small, big)``: edge arrays of the charts with at most ``ARRAY_EDGE_CAP`` edge rows
-    (counted first, so no large chart is ever collected into a row) and the ids of the rest."""
-    e = place_edges(c)
-    cnt = e.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    small_ids = cnt.filter(F.col("n_edges") <= ARRAY_EDGE_CAP).select("model_id")
-    big = cnt.filter(F.col("n_edges") > ARRAY_EDGE_CAP).select("model_id")
-    small = e.join(small_ids, "model_id", "left_semi").groupBy("model_id").agg(
-        F.collect_list(F.struct("src", "t_idx", "dst")).alias("E"))
-    return small, big
-
-
-def _closure_expr(E):
-    """Closure of the edge array ``E`` by repeated relational composition; the number of
-    rounds is the number of distinct places, enough for the longest simple path."""
-    E2 = F.array_distinct(F.transform(E, lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"))))
-    n = F.size(F.array_distinct(F.concat(F.transform(E2, lambda e: e["src"]), F.transform(E2, lambda e: e["dst"]))))
-
-    def round_(R, i):
-        ext = F.flatten(F.transform(R, lambda r: F.transform(
-            F.filter(E2, lambda e: e["src"] == r["dst"]),
-            lambda e: F.struct(r["src"].alias("src"), e["dst"].alias("dst")))))
-        return F.array_distinct(F.concat(R, ext))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), E2, round_)
-
-
-def reachability(c: Charts, max_rounds: int | None = None) -> DataFrame:
-    """Transitive closure ``(model_id, src, dst)`` over paths of length >= 1."""
-    el, big = _edge_lists(c)
-    small = el.select(
-        "model_id", F.explode(_closure_expr(F.col("E"))).alias("r")
-    ).select("model_id", F.col("r.src").alias("src"), F.col("r.dst").alias("dst"))
-    if big.isEmpty():
-        return small
-    big_c = Charts(c.steps.join(big, "model_id", "left_semi"), c.transitions.join(big, "model_id", "left_semi"),
-                   c.meta.join(big, "model_id", "left_semi"))
-    return small.unionByName(reachability_loop(big_c, max_rounds))
-
-
-def reachability_loop(c: Charts, max_rounds: int | None = None) -> DataFrame:
-    """Transitive closure for large charts.
-
-    Semi-naive frontier loop: each round joins only the newly found pairs with the edge
-    table and anti-joins what is known; it stops when a round adds nothing. Lineage is cut
-    into the shared checkpoint folder every few rounds."""
-    edges = place_edges(c).select("model_id", "src", "dst").distinct().persist()
-    closure = edges
-    frontier = edges
-    rounds = 0
-    while True:
-        rounds += 1
-        step = (
-            frontier.alias("f")
-            .join(edges.alias("e"), (F.col("f.model_id") == F.col("e.model_id")) & (F.col("f.dst") == F.col("e.src")))
-            .select(F.col("f.model_id").alias("model_id"), F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
-            .distinct()
+def reachability(c: Charts) -> DataFrame:
+    """Transitive closure ``(model_id, src, dst)`` over paths of length >= 1.
+
+    Path doubling for all charts at once: a round joins the pairs found so far with themselves, so a
+    longest shortest path of ``d`` hops needs about ``log2(d)`` rounds. Each round ends in the shared
+    checkpoint folder; the loop stops when a round adds no pair."""
+    pairs = cut_lineage(place_edges(c).select("model_id", "src", "dst").distinct())
+    size = pairs.count()
+    while size:
+        pairs = cut_lineage(
+            pairs.unionByName(
+                pairs.alias("a").join(
+                    pairs.alias("b"),
+                    (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.dst") == F.col("b.src")),
+                ).select(F.col("a.model_id").alias("model_id"), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+            ).distinct()
         )
-        new = step.join(closure, ["model_id", "src", "dst"], "left_anti")
-        if rounds % CHECKPOINT_EVERY == 0:
-            new = cut_lineage(new)
-        else:
-            new = new.persist()
-        if new.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        before, size = size, pairs.count()
+        if size == before:
             break
-        closure = closure.unionByName(new)
-        if rounds % CHECKPOINT_EVERY == 0:
-            closure = cut_lineage(closure)
-        frontier = new
-    return closure
+    return pairs
 
 
 # G7 ------------------------------------------------------------------------------
@@ -190,16 +135,6 @@ def _finish_paths(done: DataFrame, keep_loops: bool) -> DataFrame:
     )
 
 
-def _row_cut_points(E, P, init):
-    """Cut points of one chart inside its row: initial, out-degree 0 or > 1 among declared
-    places, and places on a cycle."""
-    outdeg = lambda p: F.size(F.array_distinct(F.transform(F.filter(E, lambda e: e["src"] == p), lambda e: e["t_idx"])))
-    R = _closure_expr(E)
-    cyc = F.transform(F.filter(R, lambda r: r["src"] == r["dst"]), lambda r: r["src"])
-    first = F.when(F.coalesce(init, F.lit("")) != "", F.array(init)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(first, F.filter(P, lambda p: outdeg(p) != 1), cyc))
-
-
 def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop", keep_loops: bool = False) -> DataFrame:
     """Paths between cut-points whose interior places are not cut-points.
 
@@ -207,81 +142,32 @@ def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop",
     ``transitions`` holds t indices in hop order and ``path_key`` is a deterministic
     text id. ``mode='compat'`` keeps single-hop paths only.
 
-    Small charts: one row per chart, paths grown inside the row (interior places have one
-    way out unless a transition has several targets, so growth is linear). Large charts:
-    the distributed frontier loop."""
-    el, big = _edge_lists(c)
-    if cuts is None:
-        # cut points computed in the same row as the paths (no separate degree / closure jobs)
-        pl = c.steps.groupBy("model_id").agg(F.collect_set("name").alias("P"))
-        small = (el.join(pl, "model_id", "left")
-                 .join(c.meta.select("model_id", "initial_step"), "model_id", "left"))
-        small = small.withColumn("C", _row_cut_points(F.col("E"), F.coalesce("P", F.array().cast("array<string>")),
-                                                      F.col("initial_step")))
-    else:
-        cl = cuts.groupBy("model_id").agg(F.collect_set("place").alias("C"))
-        small = el.join(cl, "model_id", "left").withColumn(
-            "C", F.coalesce("C", F.array().cast("array<string>")))
-    E, C = F.col("E"), F.col("C")
-    start = F.transform(
-        F.filter(E, lambda e: F.array_contains(C, e["src"])),
-        lambda e: F.struct(e["src"].alias("from_place"), e["dst"].alias("dst"), F.array(e["t_idx"]).alias("transitions")),
-    )
-    is_cut = lambda p: F.array_contains(C, p["dst"])
-    init = F.struct(F.filter(start, is_cut).alias("done"), F.filter(start, lambda p: ~is_cut(p)).alias("open"))
-
-    def round_(s, i):
-        ext = F.flatten(F.transform(s["open"], lambda p: F.transform(
-            F.filter(E, lambda e: e["src"] == p["dst"]),
-            lambda e: F.struct(p["from_place"].alias("from_place"), e["dst"].alias("dst"),
-                               F.concat(p["transitions"], F.array(e["t_idx"])).alias("transitions")))))
-        return F.struct(F.concat(s["done"], F.filter(ext, is_cut)).alias("done"),
-                        F.filter(ext, lambda p: ~is_cut(p)).alias("open"))
-
-    if mode == "multi_hop":
-        n = F.size(F.array_distinct(F.transform(E, lambda e: e["dst"])))
-        res = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, round_, lambda s: s["done"])
-    else:
-        res = init["done"]
-    small_paths = small.select("model_id", F.explode(res).alias("p")).select(
-        "model_id", "p.from_place", "p.dst", "p.transitions")
-    if big.isEmpty():
-        return _finish_paths(small_paths, keep_loops)
-    big_c = Charts(c.steps.join(big, "model_id", "left_semi"), c.transitions.join(big, "model_id", "left_semi"),
-                   c.meta.join(big, "model_id", "left_semi"))
-    big_cuts = (cuts if cuts is not None else cut_points(big_c)).join(big, "model_id", "left_semi")
-    return _finish_paths(small_paths.unionByName(_cut_paths_loop(big_c, big_cuts, mode)), keep_loops)
-
-
-def _cut_paths_loop(c: Charts, cuts: DataFrame, mode: str) -> DataFrame:
-    cutf = cuts.select("model_id", F.col("place").alias("dst"), F.lit(True).alias("dst_cut"))
-    edges = place_edges(c).persist()
-    start = (
-        edges.join(cuts.select("model_id", F.col("place").alias("src")), ["model_id", "src"], "left_semi")
-        .join(cutf, ["model_id", "dst"], "left")
-        .select("model_id", F.col("src").alias("from_place"), "dst",
-                F.array("t_idx").alias("transitions"), F.coalesce("dst_cut", F.lit(False)).alias("dst_cut"))
+    Segments start as edges; a round appends to every segment that ends inside a path all segments
+    that start there, so segments double in length and ``log2`` of the longest path rounds suffice."""
+    cuts = cut_lineage(cuts if cuts is not None else cut_points(c))
+    is_cut = cuts.select("model_id", F.col("place").alias("dst"), F.lit(True).alias("at_cut"))
+    begins = cuts.select("model_id", F.col("place").alias("from_place"))
+    segments = (
+        place_edges(c).join(is_cut, ["model_id", "dst"], "left")
+        .select("model_id", F.col("src").alias("from_place"), "dst", F.array("t_idx").alias("transitions"),
+                F.coalesce("at_cut", F.lit(False)).alias("at_cut"))
     )
-    done = start.filter("dst_cut")
-    frontier = start.filter("not dst_cut")
+    rounds = 0
     if mode == "multi_hop":
-        rounds = 0
-        while not frontier.isEmpty():
-            rounds += 1
-            nxt = (
-                frontier.drop("dst_cut").alias("f")
-                .join(edges.alias("e"), (F.col("f.model_id") == F.col("e.model_id")) & (F.col("f.dst") == F.col("e.src")))
-                .select(F.col("f.model_id").alias("model_id"), "from_place", F.col("e.dst").alias("dst"),
-                        F.concat("transitions", F.array("e.t_idx")).alias("transitions"))
-                .join(cutf, ["model_id", "dst"], "left")
-                .withColumn("dst_cut", F.coalesce("dst_cut", F.lit(False)))
-            )
-            nxt = cut_lineage(nxt) if rounds % CHECKPOINT_EVERY == 0 else nxt.persist()
-            done = done.unionByName(nxt.filter("dst_cut"))
-            if rounds % CHECKPOINT_EVERY == 0:
-                done = cut_lineage(done)
-            frontier = nxt.filter("not dst_cut")
-    return done.select("model_id", "from_place", "dst", "transitions")
+        segments = cut_lineage(segments)
+        longest = segments.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        rounds = longest.bit_length() + 1  # what is open after that runs in a cycle that the given cuts leave out
+    for _ in range(rounds):
+        inside = segments.filter("not at_cut")
+        if inside.isEmpty():
+            break
+        longer = inside.alias("a").join(
+            segments.alias("b"), (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.dst") == F.col("b.from_place"))
+        ).select(F.col("a.model_id").alias("model_id"), F.col("a.from_place").alias("from_place"), F.col("b.dst").alias("dst"),
+                 F.concat("a.transitions", "b.transitions").alias("transitions"), F.col("b.at_cut").alias("at_cut"))
+        segments = cut_lineage(segments.filter("at_cut").unionByName(longer))
+    done = segments.filter("at_cut").join(begins, ["model_id", "from_place"], "left_semi")
+    return _finish_paths(done.select("model_id", "from_place", "dst", "transitions"), keep_loops)
 
 
 def cut_paths_compat(c: Charts, cuts: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
 from chartlake.functions.equivalence import branch_overlap
-from chartlake.functions.guards import canonical_guard, normalize_guard
+from chartlake.functions.guards import canonical_guards, normalize_guard
 from chartlake.operators import graph
 
 KEYWORDS = ["and", "or", "not", "true", "false"]
@@ -45,13 +45,22 @@ def no_exit_steps(c: Charts) -> DataFrame:
 
 # L4 ------------------------------------------------------------------------------
 def overlapping_branches(c: Charts) -> DataFrame:
-    """Steps with two outgoing transitions whose guards hold together at some grid point.
-    One row per step with its (bounded) list of outgoing guards; no pairs are emitted."""
+    """``(model_id, place, verdict, reason)`` of steps with two outgoing transitions whose guards hold together
+    somewhere (``overlap``), or of which that is not known (``unknown``, with the reason). One row a step with its
+    distinct outgoing guards, of which those on more than one transition overlap if they can hold at all; no pairs
+    are emitted."""
     ai, _ = graph.chart_arcs(c)
-    per = ai.join(graph.places(c), ["model_id", "place"], "left_semi").groupBy("model_id", "place").agg(
-        F.collect_list(canonical_guard(F.col("guard"))).alias("conds"), F.count(F.lit(1)).alias("n_out"))
-    per = per.filter(F.col("n_out") >= 2)
-    return branch_overlap(per, "conds").filter("overlap").select("model_id", "place")
+    given = ai.withColumn("guard", F.coalesce("guard", F.lit(""))).join(graph.places(c), ["model_id", "place"], "left_semi")
+    per = given.join(canonical_guards(given), "guard").groupBy("model_id", "place", "cg").agg(F.countDistinct("t_idx").alias("n"))
+    per = per.groupBy("model_id", "place").agg(
+        F.sum("n").alias("n_out"), F.max((F.col("cg").isNull()).cast("int")).alias("unread"),
+        F.flatten(F.collect_list(F.when(F.col("cg").isNotNull(), F.expr("array_repeat(cg, cast(least(n, 2) as int))")))).alias("conds"))
+    got = branch_overlap(per.filter("n_out >= 2"), "conds")
+    return got.select(
+        "model_id", "place",
+        F.when(F.col("overlap"), "overlap").when(F.col("overlap").isNull() | (F.col("unread") == 1), "unknown").alias("verdict"),
+        F.when(F.col("overlap"), F.lit(None).cast("string")).otherwise(F.coalesce("reason", F.lit("unparsable"))).alias("reason"),
+    ).filter(F.col("verdict").isNotNull())
 
 
 # L5 ------------------------------------------------------------------------------

@@ -134,7 +134,7 @@ SELECT DISTINCT t.model_id, t.src AS place FROM ch_trans t JOIN g_places p ON p.
 GROUP BY t.model_id, t.src, t.guard HAVING count(*) >= 2""", "ch_trans", "g_places"))
 def q_overlapping_branches(spark, sf):
     c, _ = load_event_charts(spark, sf)
-    return L.overlapping_branches(c.persist())
+    return L.overlapping_branches(c.persist()).filter("verdict = 'overlap'").select("model_id", "place")
 
 
 # E6 on the containment leftovers --------------------------------------------------------

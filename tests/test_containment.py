@@ -37,3 +37,24 @@ def test_semantics_of_simple_path(spark):
     row = p1.collect()[0]
     assert row["cond_key"] == "counter >= 3"
     assert row["xform_key"] == "counter=counter + 1; done=True"
+
+
+def test_equivalent_conditions_match(spark):
+    def one(guard):
+        return dict(steps=[("S", ""), ("E", "a := 1")], transitions=[("S", "E", guard)], variables=["a"], initial="S")
+
+    c = chart_df(spark, {"x": one("k > 49"), "y": one("k >= 50"), "z": one("k >= 51"), "bad": one("k >> 1"), "n": one(None), "t": one("true")})
+    got = {r["pair_id"]: r["contained"] for r in ct.containment(c, _pairs(spark, [
+        ("xy", "x", "y"), ("yx", "y", "x"), ("xz", "x", "z"), ("bad", "bad", "bad"), ("nt", "n", "t")])).collect()}
+    assert got == {"xy": True, "yx": True, "xz": False, "bad": False, "nt": True}
+
+
+def test_missing_guard_keeps_the_assignments(spark):
+    from chartlake.charts import Charts
+    c = chart_df(spark, {"m": dict(steps=[("S", ""), ("M", "b := 2"), ("E", "c := 3")],
+                                   transitions=[("S", "M", "g"), ("M", "E", "x > 1")], variables=["b", "c"], initial="S")})
+    from pyspark.sql import functions as F
+    c = Charts(c.steps, c.transitions.withColumn("guard", F.when(F.col("t_idx") == 1, F.col("guard"))), c.meta)
+    from chartlake.operators import graph
+    row = ct.path_semantics(c, graph.cut_paths(c)).collect()[0]
+    assert row["xform"] == {"b": "2", "c": "3"} and row["cond_key"] == "x > 1"

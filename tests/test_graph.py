@@ -29,14 +29,32 @@ def test_reachability_and_cycles(spark):
     assert _rows(graph.cycle_places(c), "place") == [("Check",), ("Increment",), ("Multiply",)]
 
 
-def test_array_and_loop_paths_agree(spark, monkeypatch):
-    c = chart_df(spark, {"fact": FACTORIAL, "simple": SIMPLE, "traffic": TRAFFIC})
-    a = set(_rows(graph.cut_paths(c), "model_id", "path_key"))
-    ra = set(_rows(graph.reachability(c), "model_id", "src", "dst"))
-    monkeypatch.setattr(graph, "ARRAY_EDGE_CAP", -1)       # force the distributed frontier loops
-    b = set(_rows(graph.cut_paths(c), "model_id", "path_key"))
-    rb = set(_rows(graph.reachability(c), "model_id", "src", "dst"))
-    assert a == b and ra == rb
+def test_second_transition_without_target_is_a_branch(spark):
+    c = chart_df(spark, {"m": dict(
+        steps=[("S", ""), ("M", ""), ("E", "")],
+        transitions=[("S", "M", "a"), ("M", "E", "b"), ("M", [], "d")], variables=[], initial="S")})
+    assert _rows(graph.cut_points(c), "place") == [("E",), ("M",), ("S",)]
+    assert _rows(graph.cut_paths(c), "path_key") == [("t_0>M",), ("t_1>E",)]
+
+
+def test_ring_of_many_steps(spark):
+    n = 500
+    names = [f"p{i}" for i in range(n)]
+    ring = dict(steps=[(x, "") for x in names], transitions=[(names[i], names[(i + 1) % n], "g") for i in range(n)],
+                variables=[], initial="p0")
+    line = dict(steps=[(x, "") for x in names], transitions=[(names[i], names[i + 1], "g") for i in range(n - 1)],
+                variables=[], initial="p0")
+    c = chart_df(spark, {"ring": ring, "line": line})
+    got = {r["model_id"]: r["count"] for r in graph.reachability(c).groupBy("model_id").count().collect()}
+    assert got == {"ring": n * n, "line": n * (n - 1) // 2}
+    paths = graph.cut_paths(c).filter("model_id = 'line'").collect()
+    assert [(p["from_place"], p["to_place"], len(p["transitions"])) for p in paths] == [("p0", "p499", n - 1)]
+
+
+def test_cycle_without_given_cuts_ends(spark):
+    c = chart_df(spark, {"t": TRAFFIC})
+    cuts = spark.createDataFrame([("t", "Cleanup")], "model_id string, place string")
+    assert graph.cut_paths(c, cuts).collect() == []
 
 
 def test_degrees(spark):
@@ -50,3 +68,15 @@ def test_quality_checks(spark):
     assert _rows(quality.dangling_refs(c), "model_id", "role", "ref") == [("invalid", "tgt", "NonExistentStep")]
     assert _rows(quality.unreachable_steps(c), "model_id", "place") == [("traffic", "Cleanup")]
     assert _rows(quality.no_exit_steps(c), "model_id", "place") == []
+
+
+def test_overlap_sees_brackets_and_tells_unknown(spark):
+    def one(*guards):
+        return dict(steps=[("S", ""), ("E", "")], transitions=[("S", "E", g) for g in guards], variables=[], initial="S")
+
+    c = chart_df(spark, {"br": one("(x > 5)", "(x > 3)"), "no": one("x > 5", "x <= 5"), "vv": one("x > y", "x <= y"), "bad": one("x >> 1", "x"),
+                         "dec": one("x > 2.5", "x == 2.5"), "str": one("s == 'a'", "s != 'b'"), "two": one("k", "k"), "null": one(None, "k"),
+                         "grid": one(*[f"v{i} > {i}" for i in range(12)])})
+    got = {r["model_id"]: (r["verdict"], r["reason"]) for r in quality.overlapping_branches(c).collect()}
+    assert got == {"br": ("overlap", None), "bad": ("unknown", "unparsable"), "str": ("overlap", None), "two": ("overlap", None),
+                   "null": ("overlap", None), "grid": ("overlap", None)}
