@@ -74,11 +74,11 @@ def long_to_sheet(runs: DataFrame, models: list[str] = MODELS) -> DataFrame:
     """Finished runs to the wide sheet ``Benchmark Name, Type, <M>_iter, <M>_tokens, <M>_time``."""
     r = runs.filter(F.col("status") != "open").select(
         F.col("name").alias("Benchmark Name"), F.col("type").alias("Type"), "model",
-        iter_cell().alias("iter"), F.col("tokens").cast("double").alias("tokens"), F.col("secs").alias("time"),
-    )
-    p = r.groupBy("Benchmark Name", "Type").pivot("model", models).agg(
-        F.first("iter").alias("iter"), F.first("tokens").alias("tokens"), F.first("time").alias("time")
+        iter_cell().alias("iter"), F.col("tokens").cast("double").alias("tokens"), F.col("secs").alias("time"), F.col("job_id").alias("_job"),
     )
+    # of several runs of one cell the one of the latest job counts
+    last = lambda c: F.max_by(c, F.struct("_job", "iter", "tokens", "time")).alias(c)
+    p = r.groupBy("Benchmark Name", "Type").pivot("model", models).agg(last("iter"), last("tokens"), last("time"))
     cols = ["Benchmark Name", "Type"]
     for kind in ("iter", "tokens", "time"):
         cols += [F.col(f"{m}_{kind}").alias(f"{m}_{kind}") for m in models]
@@ -88,13 +88,14 @@ def long_to_sheet(runs: DataFrame, models: list[str] = MODELS) -> DataFrame:
 # W5 / J6 ---------------------------------------------------------------------------
 def sheet_upsert(old: DataFrame, new: DataFrame, models: list[str] = MODELS) -> DataFrame:
     """Update-or-insert by (Benchmark Name, Type): a cell of ``new`` replaces the old cell
-    when present; rows only in ``new`` are appended."""
+    when present; rows only in ``new`` are appended; columns of either sheet stay."""
     key = ["Benchmark Name", "Type"]
     o = old.select(*key, *[F.col(c).alias(f"__o_{c}") for c in old.columns if c not in key])
     n = new.select(*key, *[F.col(c).alias(f"__n_{c}") for c in new.columns if c not in key])
     j = o.join(n, key, "full")
-    vals = [c for c in new.columns if c not in key]
-    return j.select(*key, *[F.coalesce(F.col(f"__n_{c}"), F.col(f"__o_{c}")).alias(c) for c in vals])
+    vals = list(dict.fromkeys(c for c in [*new.columns, *old.columns] if c not in key))
+    cell = lambda c: [F.col(f"__{k}_{c}") for k, d in (("n", new), ("o", old)) if c in d.columns]
+    return j.select(*key, *[F.coalesce(*cell(c)).alias(c) for c in vals])
 
 
 def sheet_lookup(old: DataFrame, new: DataFrame) -> DataFrame:

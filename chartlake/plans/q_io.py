@@ -85,41 +85,66 @@ def q_scan_text_corpus(spark, sf):
 
 @query("scan_chart_text", compose(SUMMARY_SQL.format(steps="steps_text"), "wk_summary"))
 def q_scan_chart_text(spark, sf):
-    return summary(S.parse_chart_text(_read_back(spark, _chart_files(spark, sf)).drop("ext")))
+    feed = W.write_feed(W.render_chart_text(_week_charts(spark, sf)), W.io_root(spark, "chart-text"))
+    return summary(S.split_parsed(S.parse_chart_text(S.read_feed(spark, feed)))[0])
+
+
+# S2 with faults: every third user's charts in another layout, one user in seven with a broken list
+_FAULT_SQL = "CAST(split_part(model_id, '/', 1) AS BIGINT)"
+
+
+def _faulty_feed(spark, sf):
+    docs = W.render_chart_text(_week_charts(spark, sf))
+    user = F.substring_index("model_id", "/", 1).cast("bigint")
+    other = F.regexp_replace(F.col("content"), r"\]\n\ntransitions = \[", "],\n  # next list\n  transitions2=[")
+    broken = F.regexp_replace(F.col("content"), r'\{"name": "', '{"name: "')
+    docs = docs.withColumn("content", F.when(user % 7 == 3, broken).when(user % 3 == 1, other).otherwise(F.col("content")))
+    return S.read_feed(spark, W.write_feed(docs, W.io_root(spark, "chart-faults")))
+
+
+@query("scan_chart_text_status", compose(f"""
+SELECT model_id, CASE WHEN {_FAULT_SQL} % 7 = 3 THEN 'steps malformed' ELSE '' END AS issues,
+       CASE WHEN {_FAULT_SQL} % 7 = 3 THEN NULL ELSE n_steps END AS n_steps, n_transitions, initial_step FROM wk_summary""", "wk_summary"))
+def q_scan_chart_text_status(spark, sf):
+    got = S.parse_chart_text(_faulty_feed(spark, sf))
+    return got.select("model_id", F.array_join("issues", ",").alias("issues"),
+                      F.when(F.col("steps").isNotNull(), F.size("steps")).cast("int").alias("n_steps"),
+                      F.size("transitions").cast("int").alias("n_transitions"), "initial_step")
+
+
+@query("type_check_faults", compose(f"""
+SELECT model_id, {_FAULT_SQL} % 7 <> 3 AS steps_ok, true AS transitions_ok, {_FAULT_SQL} % 7 <> 3 AS ok FROM wk_summary""", "wk_summary"))
+def q_type_check_faults(spark, sf):
+    from chartlake.operators.typecheck import type_check
+    return type_check(S.parse_chart_text(_faulty_feed(spark, sf))).select("model_id", "steps_ok", "transitions_ok", "ok")
 
 
 @query("detect_dialect", compose("""
 SELECT 'chart' AS dialect, count(*) AS n_files FROM wk_meta UNION ALL SELECT 'st', count(*) FROM wk_meta""", "wk_meta"))
 def q_detect_dialect(spark, sf):
-    charts = _week_charts(spark, sf).persist()
-    root = W.io_root(spark, "mixed")
-    W.write_per_model(W.render_chart_text(charts), root + "/chart")
-    W.write_per_model(W.render_st_a(charts), root + "/st")
-    f = S.scan_text_corpus(spark, root)
+    charts = _week_charts(spark, sf)
+    feed = W.write_feed(W.render_chart_text(charts).unionByName(W.render_st_a(charts)), W.io_root(spark, "mixed"))
+    f = S.read_feed(spark, feed)
     return f.groupBy(S.detect_dialect(F.col("content")).alias("dialect")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 # S4 / S5 / S6 --------------------------------------------------------------------------
 @query("scan_st_dialect_a", compose(SUMMARY_SQL.format(steps="steps_text"), "wk_summary"))
 def q_scan_st_dialect_a(spark, sf):
-    root = W.io_root(spark, "st-a")
-    W.write_per_model(W.render_st_a(_week_charts(spark, sf)), root)
-    return summary(S.parse_st_dialect_a(_read_back(spark, root).drop("ext")))
+    feed = W.write_feed(W.render_st_a(_week_charts(spark, sf)), W.io_root(spark, "st-a"))
+    return summary(S.parse_st_dialect_a(S.read_feed(spark, feed)))
 
 
 @query("scan_st_dialect_b", compose(SUMMARY_SQL.format(steps="actions_text"), "wk_summary"))
 def q_scan_st_dialect_b(spark, sf):
-    root = W.io_root(spark, "st-b")
-    W.write_per_model(W.render_st_b(_week_charts(spark, sf)), root)
-    return summary(S.parse_st_dialect_b(_read_back(spark, root).drop("ext")))
+    feed = W.write_feed(W.render_st_b(_week_charts(spark, sf)), W.io_root(spark, "st-b"))
+    return summary(S.parse_st_dialect_b(S.read_feed(spark, feed)))
 
 
 @query("scan_plcopen_xml", compose(SUMMARY_SQL.format(steps="steps_text"), "wk_summary"))
 def q_scan_plcopen_xml(spark, sf):
-    root = W.io_root(spark, "plcopen")
-    W.write_per_model(W.wrap_plcopen(W.render_st_a(_week_charts(spark, sf))), root)
-    st = S.extract_plcopen_st(_read_back(spark, root).drop("ext"))
-    return summary(S.parse_st_dialect_a(st))
+    feed = W.write_feed(W.wrap_plcopen(W.render_st_a(_week_charts(spark, sf))), W.io_root(spark, "plcopen"))
+    return summary(S.parse_st_dialect_a(S.extract_plcopen_st(S.read_feed(spark, feed))))
 
 
 # S3 ---------------------------------------------------------------------------------------

@@ -104,6 +104,12 @@ def io_root(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/chartlake-io/{name}-{uuid.uuid4().hex}"
 
 
+def write_feed(docs: DataFrame, path: str) -> str:
+    """Charts with their id in a column, many to a file; returns ``path``."""
+    docs.select("model_id", "content").write.mode("errorifexists").json(path)
+    return path
+
+
 def safe_key(model_id: Column) -> Column:
     return F.regexp_replace(model_id, "/", "__")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Defaults of the optional configuration keys, and the names ``all`` expands to.
 CONFIG_DEFAULTS = {"max_tokens": 1000, "max_retries": 3, "temperature": 0.0, "top_p": 1.0, "top_k": 0, "n": 1, "stop": None}
@@ -13,9 +15,14 @@ CONFIG_SCHEMA = ("entry_id bigint, llm_name string, model_name string, api_key s
 
 
 def read_model_config(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records (one per line, or ``multiLine`` arrays); entries missing ``llm_name``,
+    """JSON records, as one array (in any layout) or one a line; entries missing ``llm_name``,
     ``model_name`` or ``api_key`` are dropped, optional keys get their defaults."""
-    raw = spark.read.schema(CONFIG_SCHEMA).json(path)
+    whole = spark.read.text(path, wholetext=True)
+    listed = F.trim("value").startswith("[")
+    one = F.regexp_extract_all("value", F.lit(r"(?m)^\s*(\{.*\})\s*,?\s*$"), 1)
+    entry = f"struct<{', '.join(c.strip().replace(' ', ':') for c in CONFIG_SCHEMA.split(','))}>"
+    entries = F.when(listed, F.from_json("value", f"array<{entry}>")).otherwise(F.transform(one, lambda x: F.from_json(x, entry)))
+    raw = whole.select(F.explode(entries).alias("e")).select("e.*")
     ok = raw.filter(F.col("llm_name").isNotNull() & F.col("model_name").isNotNull() & F.col("api_key").isNotNull())
     cols = [F.coalesce(F.col(k), F.lit(v).cast(raw.schema[k].dataType)).alias(k) for k, v in CONFIG_DEFAULTS.items()]
     return ok.select("entry_id", "llm_name", "model_name", "api_key", *cols)
@@ -31,15 +38,30 @@ def select_models(config: DataFrame, requested: list[str]) -> DataFrame:
     return F.broadcast(req).join(last, "name").filter(F.trim(F.col("c.api_key")) != "").select("req_ord", "name", "c.*")
 
 
-def read_result_sheets(spark: SparkSession, root: str, default: str | None = None) -> DataFrame:
-    """Every ``batch_report_*.csv`` under ``root`` (else the default sheet, else nothing),
-    tagged with its file name as ``source``; malformed lines are dropped."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/batch_report_*.csv")
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(hpath)
-    paths = [root.rstrip("/") + "/batch_report_*.csv"] if found is not None and len(found) > 0 else ([default] if default else [])
-    if not paths:
-        return spark.createDataFrame([], "source string")
-    df = spark.read.option("header", "true").option("mode", "DROPMALFORMED").csv(paths)
-    return df.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), r"(batch_report_[^/]*\.csv|[^/]+\.csv)", 1))
+def read_result_sheets(spark: SparkSession, root: str, default: str | None = None, faults: bool = False) -> DataFrame:
+    """Every ``batch_report_*.csv`` under ``root`` (else the default sheet, else nothing), tagged with its file
+    name as ``source``. Sheets are read by their own headers and joined by column name; lines with more or fewer
+    cells than their header are left out, and with ``faults`` given instead as (source, line, first cell)."""
+    sheets = None
+    for path in [root.rstrip("/") + "/batch_report_*.csv", *([default] if default else [])]:
+        try:
+            sheets = spark.read.text(path, wholetext=True)
+            break
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    heads = [] if sheets is None else sheets.select(F.col("_metadata.file_path").alias("path"),
+                          F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")).alias("head")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in heads:
+        groups.setdefault(r["head"], []).append(r["path"])
+    source = F.regexp_extract(F.col("_metadata.file_path"), r"(batch_report_[^/]*\.csv|[^/]+\.csv)", 1)
+    out = None
+    for head, paths in sorted(groups.items()):
+        names = [c.strip().strip('"') for c in head.split(",")]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
+        df = spark.read.schema(schema).option("header", "true").option("columnNameOfCorruptRecord", "_bad").option(
+            "columnPruning", "false").csv(paths).withColumn("source", source)
+        df = df.filter("_bad is not null").select("source", F.col("_bad").alias("line"), F.col(f"`{names[0]}`").alias("first")) if faults else df.filter("_bad is null").drop("_bad")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "source string, line string, first string" if faults else "source string")

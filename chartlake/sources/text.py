@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.charts import CHART_SCHEMA
 from chartlake.functions.text import strip_ws
 
 # Extensions treated as text (extensionless files are kept too).
@@ -19,7 +18,7 @@ TRANS_RAW_T = "array<struct<src:string,tgt:string,guard:string>>"
 
 # S1 ------------------------------------------------------------------------------
 def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, ext, content)`` for every text file below ``root`` (recursive), sorted by path.
+    """``(path, ext, content)`` for every text file below ``root`` (recursive), in no order.
     Each file is one row (``wholetext``)."""
     df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
@@ -40,33 +39,51 @@ def _strip_comments(block: Column) -> Column:
 
 
 def _section(content: Column, name: str) -> Column:
-    """The list assigned to ``name`` (``name1``, ``name2`` … too), ending at the ``]`` that is
-    followed by the next section or the end of the text."""
-    pat = rf"(?s){name}\d*\s*=\s*(\[.*?\])\s*(?=\n\s*[A-Za-z_]+\d*\s*=|\z)"
+    """The list assigned to ``name`` (``name1``, ``name2`` … too), ending at the ``]`` that is followed by the next
+    assignment, a closing bracket or the end of the text; a comma and comment lines may stand between."""
+    pat = rf"(?s)\b{name}\d*\s*=\s*(\[.*?\])\s*,?\s*(?:#[^\n]*\s*)*(?=[A-Za-z_]+\d*\s*=(?!=)|\)|\z)"
     return F.regexp_extract(content, pat, 1)
 
 
+def _opened(content: Column, name: str) -> Column:
+    return content.rlike(rf"\b{name}\d*\s*=\s*\[")
+
+
 def _ends(c: Column) -> Column:
     return F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
 
 
 def parse_chart_text(docs: DataFrame, content: str = "content") -> DataFrame:
-    """Chart text to the chart layout; a missing section gives an empty list / NULL."""
+    """Chart text to the chart layout plus ``issues``.
+
+    A missing section gives an empty list / NULL as before. A section that is there but cannot be read gives NULL and
+    an issue (``steps malformed``, …): such a chart failed, and must not be taken for an empty one (``split_parsed``)."""
     t = F.col(content)
-    st = F.from_json(F.when(_section(t, "steps") != "", _strip_comments(_section(t, "steps"))), STEPS_T,
-                     {"allowSingleQuotes": "true"})
-    tr = F.from_json(F.when(_section(t, "transitions") != "", _strip_comments(_section(t, "transitions"))), TRANS_RAW_T,
-                     {"allowSingleQuotes": "true"})
-    va = F.from_json(F.when(_section(t, "variables") != "", _strip_comments(_section(t, "variables"))), "array<string>",
-                     {"allowSingleQuotes": "true"})
+    single = {"allowSingleQuotes": "true"}
+
+    def read(name: str, kind: str) -> Column:
+        block = _section(t, name)
+        return F.when(block != "", F.from_json(_strip_comments(block), kind, single)).when(
+            ~_opened(t, name), F.expr(f"cast(array() as {kind})"))
+
+    st, tr, va = read("steps", STEPS_T), read("transitions", TRANS_RAW_T), read("variables", "array<string>")
     init = F.regexp_extract(t, r"initial_step\s*=\s*[\"']([^\"']+)[\"']", 1)
-    empty_s = F.expr(f"cast(array() as {STEPS_T})")
-    trans = F.transform(F.coalesce(tr, F.expr(f"cast(array() as {TRANS_RAW_T})")), lambda x: F.struct(
-        _ends(x["src"]).alias("src"), _ends(x["tgt"]).alias("tgt"), x["guard"].alias("guard")))
     cols = [c for c in docs.columns if c != content]
-    return docs.select(*cols, F.coalesce(st, empty_s).alias("steps"), trans.alias("transitions"),
-                       F.coalesce(va, F.array().cast("array<string>")).alias("variables"),
-                       F.when(init != "", init).alias("initial_step"))
+    got = docs.select(*cols, st.alias("steps"), tr.alias("_tr"), va.alias("variables"), F.when(init != "", init).alias("initial_step"))
+    bad = lambda c, name: F.when(c.isNull() | F.exists(c, lambda x: x.isNull()), F.lit(f"{name} malformed"))
+    trans = F.transform("_tr", lambda x: F.struct(_ends(x["src"]).alias("src"), _ends(x["tgt"]).alias("tgt"), x["guard"].alias("guard")))
+    issues = F.array_compact(F.array(bad(F.col("steps"), "steps"), bad(F.col("_tr"), "transitions"), bad(F.col("variables"), "variables")))
+    return got.select(*cols, "steps", trans.alias("transitions"), "variables", "initial_step", issues.alias("issues"))
+
+
+def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(charts that were read, rows for the quarantine table) of ``parse_chart_text``'s output."""
+    return parsed.filter(F.size("issues") == 0).drop("issues"), parsed.filter(F.size("issues") > 0)
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """``(model_id, content)`` of a feed with many charts a file (``sinks.text.write_feed``)."""
+    return spark.read.schema("model_id string, content string").json(path)
 
 
 # S4 ------------------------------------------------------------------------------
@@ -155,7 +172,3 @@ def parse_chart_map(docs: DataFrame, content: str = "value") -> DataFrame:
     m = F.from_json(F.col(content), MAP_T)
     return docs.select(F.explode(m).alias("model_id", "c")).select(
         "model_id", "c.steps", "c.transitions", "c.variables", "c.initial_step")
-
-
-def chart_schema() -> str:
-    return CHART_SCHEMA

@@ -47,3 +47,37 @@ def test_structured_text_dialects(spark):
     x = S.parse_st_dialect_a(S.extract_plcopen_st(W.wrap_plcopen(W.render_st_a(charts)))).collect()[0]
     assert [t["guard"] for t in x["transitions"]] == [t["guard"] for t in a["transitions"]]
     assert S.parse_st_dialect_a(W.render_st_a(charts)).select(S.detect_dialect(F.lit("PROGRAM x END_PROGRAM"))).first()[0] == "st"
+
+
+def test_chart_text_layouts_and_faults(spark):
+    from chartlake.sources.text import parse_chart_text, split_parsed
+    lists = '[\n {"name": "A", "function": "x := 1"},\n {"name": "B", "function": ""}\n]', '[{"src": "A", "tgt": ["B", "C"], "guard": "x[1] == 2"}]'
+    docs = spark.createDataFrame([
+        ("comma", f" steps={lists[0]},\n # c\n transitions={lists[1]},\n variables=['x', 'y'],\n initial_step='A'\n"),
+        ("call", f"steps1 = {lists[0]}\n transitions1 = {lists[1]}\n sfc1 = SFC(\n steps=steps1,\n variables=[\"x\"],\n transitions=transitions1,\n initial_step=\"A\"\n)\n"),
+        ("broken", f"steps = [{{'name: 'A'}}]\ntransitions = {lists[1]}\nvariables = ['x']\n"),
+        ("open", f"steps = {lists[0]}\ntransitions = [ {{'src'\n"), ("none", "nothing here"),
+    ], "model_id string, content string")
+    parsed = parse_chart_text(docs)
+    good, bad = split_parsed(parsed)
+    got = {r["model_id"]: (len(r["steps"]), len(r["transitions"]), r["variables"], r["initial_step"]) for r in good.collect()}
+    assert got == {"comma": (2, 1, ["x", "y"], "A"), "call": (2, 1, ["x"], "A"), "none": (0, 0, [], None)}
+    assert {r["model_id"]: r["issues"] for r in bad.collect()} == {"broken": ["steps malformed"], "open": ["transitions malformed"]}
+
+
+def test_config_array_sheets_and_upsert_columns(spark, tmp_path):
+    from chartlake.operators.runs import sheet_upsert
+    from chartlake.sources.config import read_model_config, read_result_sheets
+    (tmp_path / "c.json").write_text('[\n  {"llm_name": "GPT4o", "model_name": "m",\n   "api_key": "k", "n": 2},\n  {"llm_name": "x"}\n]\n')
+    (tmp_path / "l.json").write_text('{"llm_name": "GPT4o", "model_name": "m", "api_key": "k"}\n{"llm_name": "B", "model_name": "m", "api_key": "k"}\n')
+    assert [(r["llm_name"], r["n"]) for r in read_model_config(spark, str(tmp_path / "c.json")).collect()] == [("GPT4o", 2)]
+    assert read_model_config(spark, str(tmp_path / "l.json")).count() == 2
+    (tmp_path / "batch_report_1.csv").write_text("Benchmark Name,Type,GPT4o_iter\na,t,2\nb,t,3,9\n")
+    (tmp_path / "batch_report_2.csv").write_text("Benchmark Name,Claude_iter,Type\nc,5,t\n")
+    rows = {r["Benchmark Name"]: (r["GPT4o_iter"], r["Claude_iter"], r["source"]) for r in read_result_sheets(spark, str(tmp_path)).collect()}
+    assert rows == {"a": ("2", None, "batch_report_1.csv"), "c": (None, "5", "batch_report_2.csv")}
+    assert [(r["source"], r["line"]) for r in read_result_sheets(spark, str(tmp_path), faults=True).collect()] == [("batch_report_1.csv", "b,t,3,9")]
+    old = spark.createDataFrame([("a", "t", 1, 5)], "`Benchmark Name` string, Type string, x int, y int")
+    new = spark.createDataFrame([("a", "t", 2, 7)], "`Benchmark Name` string, Type string, x int, z int")
+    r = sheet_upsert(old, new).collect()[0]
+    assert (r["x"], r["y"], r["z"]) == (2, 5, 7)
