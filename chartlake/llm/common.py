@@ -69,7 +69,7 @@ def utf8_parts(col) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices with about ``most`` bytes of text (one document at least)."""
     for b in batches:
         if not b.num_rows:

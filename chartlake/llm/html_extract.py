@@ -435,7 +435,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = PathVectors()
-        for b in slices(batches, "html", 4 << 20):
+        for b in slices(batches, "html", 1 << 20):
             got = [blocks_of(p or "") for p in b.column("html").to_pylist()]
             marks = label_pages(net, got, vectors)
             text = [" ".join([x[1] for x, keep in zip(p, m, strict=True) if keep]) for p, m in zip(got, marks, strict=True)]
