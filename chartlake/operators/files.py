@@ -3,14 +3,15 @@ the unpaired report and the test type taken from a path segment."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartlake.operators.ranking import positions
+
 
 def ranked(files: DataFrame, side: str) -> DataFrame:
     """Position of each path in its folder's sorted listing."""
-    w = Window.partitionBy("folder").orderBy("path")
-    return files.filter(F.col("side") == side).select("folder", "path", F.row_number().over(w).alias("rank"))
+    return positions(files.filter(F.col("side") == side).select("folder", "path"), ["folder"], ["path"])
 
 
 def pair_by_position(files: DataFrame) -> DataFrame:

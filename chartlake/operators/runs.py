@@ -8,30 +8,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartlake.sources.derived import ERROR_MESSAGE, MODELS
+from chartlake.sources.derived import MODELS
 
 MAX_ITERATIONS = 10
 COST_PER_MTOKEN = 5.0
 
 
-def first_k(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
-    """Rows with ``order`` <= k per group, computed as a filter (``order`` is already a
-    position), so no group is collected."""
-    return df.filter(F.col(order) <= k)
-
-
 # A4 ------------------------------------------------------------------------------
 def run_rollup(att: DataFrame, cap: int = MAX_ITERATIONS) -> DataFrame:
     """Fold attempts into runs: success at the first passing verification (that attempt adds
     no tokens / seconds), error at the first failed repair (its tokens / seconds count),
     timeout after ``cap`` attempts, ``open`` when fewer than ``cap`` attempts and no
     terminal one. Only the first ``cap`` attempts of a job are read."""
-    a = first_k(att, ["job_id"], "attempt_no", cap)
+    a = att.filter(F.col("attempt_no") <= cap)
+    text = F.col("message") if "message" in att.columns else F.lit(None).cast("string")
     term = F.when(F.col("ok") | F.col("error"), F.col("attempt_no"))
     g = a.groupBy("job_id", "name", "type", "model").agg(
         F.min(term).alias("_t"),
         F.count(F.lit(1)).alias("_n"),
         F.array_sort(F.collect_list(F.struct("attempt_no", "ok", "error", "tokens", "secs"))).alias("_a"),
+        # the error text of the first failed attempt, as the attempt told it
+        F.min(F.when(F.col("error"), F.struct("attempt_no", text.alias("text")))).alias("_e"),
     )
     t = F.col("_t")
     first_ok = F.exists("_a", lambda x: (x["attempt_no"] == t) & x["ok"])
@@ -56,7 +53,7 @@ def run_rollup(att: DataFrame, cap: int = MAX_ITERATIONS) -> DataFrame:
         iters.cast("int").alias("iterations"),
         tokens.alias("tokens"),
         F.round(secs, 2).alias("secs"),
-        F.when(F.col("status") == "error", F.lit("ERROR: " + ERROR_MESSAGE[:100])).alias("message"),
+        F.when(F.col("status") == "error", F.concat(F.lit("ERROR: "), F.substring(F.coalesce("_e.text", F.lit("")), 1, 100))).alias("message"),
     )
 
 
@@ -65,7 +62,7 @@ def iter_cell(status: str = "status") -> F.Column:
     return (
         F.when(F.col(status) == "success", F.col("iterations").cast("string"))
         .when(F.col(status) == "timeout", F.lit("Timeout"))
-        .when(F.col(status) == "error", F.substring(F.concat(F.lit("ERROR: "), F.lit(ERROR_MESSAGE)), 1, 107))
+        .when(F.col(status) == "error", F.substring("message", 1, 107))
     )
 
 

@@ -7,10 +7,11 @@ thresholds are parameters (``F1 rule_tables``); the defaults are the fixed value
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.functions import text as X
+from chartlake.operators.ranking import positions
 
 # ---- fixed values ------------------------------------------------------------------
 STRATEGIES = ["Cost-Effective", "Sweet Spot", "Accuracy-Effective", "Semantic-View"]
@@ -346,14 +347,20 @@ def best_by_metric(scored: DataFrame, group: str = "prompt_type") -> DataFrame:
     so = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
     s = scored.withColumn("_so", so)
 
-    def pick(order, name):
-        w = Window.partitionBy(group).orderBy(*order, "_so", "doc_id")
-        return s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(
-            group, F.lit(name).alias("metric"), "strategy", "doc_id", "quality_score", "cost_estimate", "quality_per_token")
+    shown = [c for c in ("strategy", "doc_id", "quality_score", "cost_estimate", "quality_per_token")]
 
-    return (pick([F.desc("quality_score")], "best_quality")
-            .unionByName(pick([F.asc("cost_estimate")], "most_cost_effective"))
-            .unionByName(pick([F.desc("quality_per_token")], "best_efficiency")))
+    def pick(first, name):
+        # the least row by (first, strategy order, doc id), combined in each task before the shuffle
+        row = F.struct(first.isNull().alias("none"), first.alias("first"), F.col("_so").alias("so"), F.col("doc_id").alias("id"),
+                       F.struct(*shown).alias("row"))
+        return F.min(row).alias(name)
+
+    best = s.groupBy(group).agg(
+        pick(-F.col("quality_score"), "best_quality"), pick(F.col("cost_estimate"), "most_cost_effective"),
+        pick(-F.col("quality_per_token"), "best_efficiency"))
+    names = ("best_quality", "most_cost_effective", "best_efficiency")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}.row").alias("row")) for n in names]))
+    return best.select(group, each.alias("e")).select(group, "e.metric", *[F.col(f"e.row.{c}").alias(c) for c in shown])
 
 
 # A8 / J7 ---------------------------------------------------------------------------
@@ -416,8 +423,7 @@ def rank_by_each_score(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     """Five descending rankings in long form; ties keep input (key) order."""
     st = F.explode(F.array(*[F.struct(F.lit(n).alias("ranking"), F.col(c).cast("double").alias("score")) for n, c in RANKINGS]))
     long = scored.select(key, st.alias("s")).select(key, "s.ranking", "s.score")
-    w = Window.partitionBy("ranking").orderBy(F.desc("score"), key)
-    return long.withColumn("rank", F.row_number().over(w))
+    return positions(long, ["ranking"], [F.desc("score"), F.col(key)])
 
 
 def top_k(quick: DataFrame, k: int = 3, key: str = "doc_id") -> DataFrame:

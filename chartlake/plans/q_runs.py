@@ -88,7 +88,7 @@ def _parity(col_type):
 
 
 def _runs(spark, sf):
-    return R.run_rollup(load_attempts(spark, sf))
+    return R.run_rollup(load_attempts(spark, sf, first=R.MAX_ITERATIONS))
 
 
 def _sheets(spark, sf):

@@ -150,11 +150,12 @@ def day_week_pairs(index: DataFrame) -> DataFrame:
     return day.join(week, ["user_id", "_pw"]).select(F.col("model1").alias("pair_id"), "model1", "model2")
 
 
-def seq_number(df: DataFrame, keys: list[str], order: list[str], bucket) -> DataFrame:
+def seq_number(df: DataFrame, keys: list[str], order: list[str], bucket, first: int | None = None) -> DataFrame:
     """1-based position of each row in its ``keys`` group by ``order`` as column ``seq``.
 
     Skew-safe: rows are ranked inside (keys, bucket) and shifted by the row counts of the
-    earlier buckets of the same group (a one-row-per-bucket running sum)."""
+    earlier buckets of the same group (a one-row-per-bucket running sum). With ``first`` only the
+    first rows of each group are returned; later rows of a bucket are cut before any join."""
     b = df.withColumn("_b", bucket)
     inb = b.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
     cnt = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -162,7 +163,10 @@ def seq_number(df: DataFrame, keys: list[str], order: list[str], bucket) -> Data
         "_off",
         F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).select(*keys, "_b", "_off")
-    return inb.join(off, [*keys, "_b"]).withColumn("seq", (F.col("_r") + F.col("_off")).cast("int")).drop("_b", "_r", "_off")
+    if first is not None:
+        inb, off = inb.filter(F.col("_r") <= first), off.filter(F.col("_off") < first)
+    out = inb.join(off, [*keys, "_b"]).withColumn("seq", (F.col("_r") + F.col("_off")).cast("int")).drop("_b", "_r", "_off")
+    return out if first is None else out.filter(F.col("seq") <= first)
 
 
 # The five model names of the results sheet, in sheet order.
@@ -171,8 +175,10 @@ EXTS = ["txt", "html", "json"]
 ERROR_MESSAGE = "LLM failed to improve code."
 
 
-def attempts(events: DataFrame) -> DataFrame:
-    """D-ATTEMPT: one repair-loop attempt per event; job = (user, week)."""
+def attempts(events: DataFrame, first: int | None = None) -> DataFrame:
+    """D-ATTEMPT: one repair-loop attempt per event; job = (user, week). ``first``: only so many attempts of each job.
+
+    A failed attempt carries its own error text in ``message``."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", _k(F.col("props")).alias("k"))
     week = F.date_trunc("week", "ts")
     ev = ev.select(
@@ -182,19 +188,20 @@ def attempts(events: DataFrame) -> DataFrame:
         F.concat(F.lit("w"), F.date_format(week, "yyyyMMdd")).alias("type"),
         F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("user_id") % 5 + 1).cast("int")).alias("model"),
     )
-    ev = seq_number(ev, ["job_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    ev = seq_number(ev, ["job_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), first)
     return ev.select(
         "job_id", "name", "type", "model", F.col("seq").alias("attempt_no"),
         ((F.col("event_type") == "purchase") & (F.col("k") >= 50)).alias("ok"),
         ((F.col("event_type") == "error") & (F.col("k") < 30)).alias("error"),
         F.when(F.col("k") % 10 != 0, F.col("k") * 10).cast("bigint").alias("tokens"),
         F.col("value").alias("secs"),
+        F.when((F.col("event_type") == "error") & (F.col("k") < 30), F.lit(ERROR_MESSAGE)).alias("message"),
         "ts", "event_id",
     )
 
 
-def load_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attempts(table(spark, sf_dir, "events"))
+def load_attempts(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    return attempts(table(spark, sf_dir, "events"), first)
 
 
 def artifacts(att: DataFrame) -> DataFrame:

@@ -16,16 +16,16 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from chartlake.operators import runs as R
-from chartlake.sources.derived import ERROR_MESSAGE
 
 ATTEMPT_SCHEMA = ("job_id string, name string, type string, model string, attempt_no int, ok boolean, error boolean, "
-                  "tokens bigint, secs double")
+                  "tokens bigint, secs double, message string")
 RUN_OUT = StructType([
     StructField("job_id", StringType()), StructField("name", StringType()), StructField("type", StringType()),
     StructField("model", StringType()), StructField("status", StringType()), StructField("iterations", IntegerType()),
@@ -38,9 +38,11 @@ RUN_STATE = StructType([
 ])
 
 
+
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, cap: int = R.MAX_ITERATIONS) -> Iterator[pd.DataFrame]:
     """One job: merge new attempts with the buffered ones and fold the contiguous prefix."""
     (job_id,) = key
+    message = None
     if state.exists:
         name, typ, model, next_no, status, iters, tokens, secs, pending = state.get
         pend = {int(k): v for k, v in json.loads(pending).items()}
@@ -53,9 +55,10 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, cap: int =
             if r.attempt_no >= next_no and r.attempt_no <= cap:
                 pend[int(r.attempt_no)] = [bool(r.ok), bool(r.error),
                                            None if pd.isna(r.tokens) else int(r.tokens),
-                                           None if pd.isna(r.secs) else float(r.secs)]
+                                           None if pd.isna(r.secs) else float(r.secs),
+                                           None if pd.isna(r.message) else str(r.message)]
     while status == "open" and next_no in pend:
-        ok, err, tk, sc = pend.pop(next_no)
+        ok, err, tk, sc, said = pend.pop(next_no)
         if ok:
             status, iters = "success", next_no
         else:
@@ -63,16 +66,19 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, cap: int =
             secs += sc or 0.0
             iters = next_no
             if err:
-                status = "error"
+                status, message = "error", "ERROR: " + (said or "")[:100]
             elif next_no >= cap:
                 status = "timeout"
         next_no += 1
+    told = state.exists and state.get[4] != "open"
     if status != "open":
         pend = {}
     state.update((name, typ, model, next_no, status, iters, tokens, secs, json.dumps(pend)))
+    if told:  # finished before: its row has been written
+        return
     yield pd.DataFrame([{
         "job_id": job_id, "name": name, "type": typ, "model": model, "status": status, "iterations": iters,
-        "tokens": tokens, "secs": secs, "message": ("ERROR: " + ERROR_MESSAGE[:100]) if status == "error" else None,
+        "tokens": tokens, "secs": secs, "message": message,
     }])
 
 
@@ -99,18 +105,23 @@ def sheet_upsert_stream(spark: SparkSession, runs_path: str, out_path: str, runs
                         files_per_trigger: int = 1) -> DataFrame:
     """ST1: after every micro-batch of finished runs, upsert them into the sheet and write the
     result as snapshot ``out_path/v=<batch_id>``; return the final snapshot."""
-    latest: dict[str, str] = {}
+    def snapshot(batch_id: int) -> str:
+        return f"{out_path}/v={batch_id:09d}"
 
     def sink(df: DataFrame, batch_id: int) -> None:
+        # batch ids go on after a restart, so the sheet before is always the one of the id before
         new = R.long_to_sheet(df)
-        prev = latest.get("path")
-        merged = R.sheet_upsert(spark.read.parquet(prev), new) if prev else new
-        path = f"{out_path}/v={batch_id:09d}"
-        merged.write.mode("overwrite").parquet(path)
-        latest["path"] = path
+        merged = R.sheet_upsert(spark.read.parquet(snapshot(batch_id - 1)), new) if batch_id > 0 else new
+        merged.write.mode("overwrite").parquet(snapshot(batch_id))
 
     src = spark.readStream.schema(runs_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(runs_path)
     q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out_path}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(latest["path"]) if latest else R.long_to_sheet(spark.read.schema(runs_schema).parquet(runs_path))
+    try:
+        last = spark.read.parquet(f"{out_path}/v=*").select(F.max(F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1))).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return R.long_to_sheet(spark.read.schema(runs_schema).parquet(runs_path))
+    return spark.read.parquet(snapshot(int(last)))

@@ -55,6 +55,42 @@ def test_stream_state_equals_batch(spark):
     assert got == EXPECTED
 
 
+def test_streams_go_on_after_a_restart(spark):
+    from pyspark.sql import functions as F
+    from chartlake.streaming.runs import sheet_upsert_stream
+    root = tempfile.mkdtemp(prefix="chartlake-restart-")
+    feed, state = os.path.join(root, "feed"), os.path.join(root, "state")
+    odd = attempts(spark).filter("attempt_no % 2 = 1").withColumn("message", F.when(F.col("error"), F.lit("own text")))
+    even = attempts(spark).filter("attempt_no % 2 = 0").withColumn("message", F.when(F.col("error"), F.lit("own text")))
+    even.coalesce(1).write.parquet(feed)                        # later attempts first
+    run_state_stream(spark, feed, state)
+    odd.coalesce(1).write.mode("append").parquet(feed)
+    s = run_state_stream(spark, feed, state).collect()
+    assert {r["job_id"]: (r["status"], r["iterations"], r["tokens"], r["secs"]) for r in s} == EXPECTED
+    assert {r["message"] for r in s if r["status"] == "error"} == {"ERROR: own text"}
+    runs = R.run_rollup(attempts(spark))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields)
+    feed, out = os.path.join(root, "runs"), os.path.join(root, "sheet")
+    runs.filter("job_id = 'A'").coalesce(1).write.parquet(feed)
+    assert sheet_upsert_stream(spark, feed, out, schema).count() == 1
+    runs.filter("job_id <> 'A'").coalesce(1).write.mode("append").parquet(feed)
+    assert {r["Benchmark Name"] for r in sheet_upsert_stream(spark, feed, out, schema).collect()} == {"a", "b", "c", "d"}
+    assert sheet_upsert_stream(spark, feed, out, schema).count() == 4   # no new data
+
+
+def test_positions_of_a_hot_group(spark):
+    from pyspark.sql import functions as F
+    from chartlake.operators.ranking import positions
+    from chartlake.sources.derived import seq_number
+    df = spark.range(4000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(None)).alias("g"), (-F.col("id")).alias("v"))
+    got = positions(df, ["g"], [F.desc("v")])
+    want = df.groupBy("g").agg(F.sort_array(F.collect_list(-F.col("v"))).alias("l")).select("g", F.posexplode("l").alias("p", "id"))
+    assert got.count() == 4000
+    assert {(r["g"], r["rank"], -r["v"]) for r in got.collect()} == {(r["g"], r["p"] + 1, r["id"]) for r in want.collect()}
+    first = seq_number(df, ["g"], ["v"], F.floor(F.col("v") / 100), first=3).filter("g is not null")
+    assert first.groupBy("g").count().filter("count <> 3").count() == 0 and first.agg(F.max("seq")).first()[0] == 3
+
+
 def test_job_success_rate(spark):
     rows = [("outputs/m/success/job.txt", "job.txt", "txt", "m", "success"),
             ("outputs/m/failed/job_1.txt", "job_1.txt", "txt", "m", "failed"),
