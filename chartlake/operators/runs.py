@@ -203,10 +203,10 @@ def truly_failed(art: DataFrame, since=None) -> DataFrame:
 
 # R3 ------------------------------------------------------------------------------
 def latest_artifact_per_run(art: DataFrame, policy: str = "compat") -> DataFrame:
-    """Per (status, model, base): one html and one txt path. ``compat`` keeps the oldest file
+    """Per (status, model, file stem): one html and one txt path; every iteration of a job is a run of its own. ``compat`` keeps the oldest file
     (what the upstream loop ends with), ``latest`` the newest."""
     pick = F.min_by if policy == "compat" else F.max_by
-    a = art.withColumn("base", F.regexp_replace(job_base_name(F.col("file")), r"\.[a-z]+$", ""))
+    a = art.withColumn("base", F.regexp_replace("file", r"\.[^.]*$", ""))
     order = F.struct("mtime", "path")
     return a.groupBy("status", "model", "base").agg(
         pick(F.when(F.col("ext") == "html", F.col("path")), F.when(F.col("ext") == "html", order)).alias("html_path"),

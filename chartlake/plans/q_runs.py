@@ -248,7 +248,7 @@ def q_truly_failed(spark, sf):
 SELECT status, model, base,
        arg_min(CASE WHEN ext = 'html' THEN path END, CASE WHEN ext = 'html' THEN (mtime, path) END) AS html_path,
        arg_min(CASE WHEN ext = 'txt' THEN path END, CASE WHEN ext = 'txt' THEN (mtime, path) END) AS txt_path
-FROM (SELECT *, regexp_replace(regexp_replace(file, '_[0-9]+([.][a-z]+)$', '\\1'), '[.][a-z]+$', '') AS base FROM art)
+FROM (SELECT *, left(file, length(file) - length(ext) - 1) AS base FROM art)
 GROUP BY status, model, base""", "art"))
 def q_latest_artifact_per_run(spark, sf):
     return R.latest_artifact_per_run(_art(spark, sf))

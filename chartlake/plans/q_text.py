@@ -133,7 +133,8 @@ def q_keyword_flags(spark, sf):
 
 _COUNT_PATS = {"headers": S.HEADER_RE, "bullets": S.BULLET_RE, "code_blocks": S.CODE_BLOCK_RE,
                **{f"explain_{i}": p for i, p in enumerate(S.EXPLANATION_RES)},
-               **{f"step_{i}": p for i, p in enumerate(S.STEP_RES)}, "sentences": r"[.!?](\s|$)", "commas": ","}
+               **{f"step_{i}": p for i, p in enumerate(S.STEP_RES)},
+               **{f"named_{k}": "(?i)(" + "|".join(v) + ")" for k, v in S.PATTERNS.items()}, "sentences": r"[.!?](\s|$)", "commas": ","}
 
 
 @query("pattern_counts", "SELECT doc_id, " + ", ".join(f"{s_count('text', p)} AS {k}" for k, p in _COUNT_PATS.items())
@@ -159,7 +160,9 @@ def q_sanitize_controls(spark, sf):
     return c.select("conv_id", "turn", X.sanitize_text(F.col("text"), nfkc=False).alias("clean"))
 
 
-@query("sanitize_text")
+@query("sanitize_text", """
+SELECT conv_id, turn, regexp_replace(replace(replace(replace(replace(nfc_normalize(coalesce(text, '')), '→', '->'), '←', '<-'), '⇒', '=>'),
+       '⇐', '<='), '[\\x00-\\x08\\x0B-\\x1F\\x{10FFFF}]', '', 'g') AS clean FROM conversations""")
 def q_sanitize_text(spark, sf):
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", X.sanitize_text(F.col("text")).alias("clean"))
