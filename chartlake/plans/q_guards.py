@@ -10,7 +10,7 @@ from chartlake.functions.guards import canonical_guards, guard_atoms, infer_var_
 from chartlake.operators import containment as ct
 from chartlake.operators import quality as L
 from chartlake.plans.registry import query
-from chartlake.plans.sql import compose, cte
+from chartlake.plans.sql import CTE, compose, cte
 from chartlake.sources.derived import day_week_pairs, load_event_charts
 
 cte("evg", ["evs"], """
@@ -159,3 +159,72 @@ def q_guard_equivalent(spark, sf):
     # verdicts over the distinct condition pairs only, joined back
     v = guard_equivalent(j.select("cond_key", "cand_cond").distinct(), "cond_key", "cand_cond")
     return j.join(v, ["cond_key", "cand_cond"]).select("pair_id", "path_key", "cand_key", "verdict")
+
+
+# D-CHART-G for day and week charts: matching and overlap by what the guards mean ---------
+# The SQL evaluates every guard at k = -1 .. 101 (all constants lie between) and collects the flags it needs;
+# conjunctions are equal if both agree, or if no k is left on either side.
+cte("gx_ev", ["evs"], CTE["evg"][1].replace("WHERE period = 'day' AND nxt", "WHERE nxt"))
+cte("gx_trans", ["gx_ev"], """
+SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY min(seq)) - 1 AS t_idx, event_type AS src, tgt,
+       min(v) AS v, min(k) AS k
+FROM gx_ev GROUP BY model_id, event_type, tgt, guard""")
+cte("gx_mean", ["gx_trans"], """
+SELECT *, list_filter(range(-1, 102), lambda x: CASE v WHEN 1 THEN x = k WHEN 2 THEN x <> k WHEN 3 THEN x >= 50 WHEN 4 THEN x > k
+          WHEN 5 THEN x <= k WHEN 0 THEN (x >= 50) = (k >= 50) ELSE v <> 7 END) AS ks,
+       CASE v WHEN 3 THEN 'is_' || src WHEN 4 THEN 'flag' END AS flag
+FROM gx_trans""")
+for _name in ("g_edges", "g_deg", "g_reach", "g_cuts", "g_walk", "g_paths"):
+    _deps, _body = CTE[_name]
+    for _old in ("g_edges", "g_deg", "g_reach", "g_cuts", "g_walk", "ch_trans"):
+        _body = _body.replace(_old, "gx_" + _old.split("_", 1)[1])
+    cte("gx_" + _name.split("_", 1)[1], ["gx_" + d.split("_", 1)[1] if d.startswith("g_") and d != "g_places" or d == "ch_trans" else d
+                                         for d in _deps], _body)
+cte("gx_hops", ["gx_paths", "gx_mean"], """
+SELECT p.model_id, p.path_key, h.hop, t.ks, t.flag, t.v, t.tgt
+FROM gx_paths p, LATERAL (SELECT unnest(range(len(p.transitions))) AS hop) h
+JOIN gx_mean t ON t.model_id = p.model_id AND t.t_idx = p.transitions[h.hop + 1]""")
+cte("gx_sem", ["gx_hops"], """
+SELECT model_id, path_key,
+       CASE WHEN bool_or(v = 7) THEN NULL
+            WHEN len(list_filter(range(-1, 102), lambda x: len(list_filter(list(ks), lambda s: list_contains(s, x))) = count(*))) = 0 THEN 'false'
+            ELSE CAST(list_filter(range(-1, 102), lambda x: len(list_filter(list(ks), lambda s: list_contains(s, x))) = count(*)) AS VARCHAR)
+                 || coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag), '') END AS meaning,
+       'acc=' || repeat('(', count(*) - 1) || string_agg(CASE WHEN hop = 0 THEN 'acc + ' || CAST(length(tgt) AS VARCHAR)
+            ELSE ') + ' || CAST(length(tgt) AS VARCHAR) END, '' ORDER BY hop) || '; last=k' AS xform_key
+FROM gx_hops GROUP BY model_id, path_key""")
+cte("gx_p1", ["d_pair", "gx_sem"], "SELECT d.pair_id, s.* FROM d_pair d JOIN gx_sem s ON s.model_id = d.model1")
+cte("gx_p2", ["d_pair", "gx_sem"], "SELECT d.pair_id, s.* FROM d_pair d JOIN gx_sem s ON s.model_id = d.model2")
+cte("gx_match", ["gx_p1", "gx_p2"], """
+SELECT a.pair_id, a.path_key, min(b.path_key) AS match_key
+FROM gx_p1 a JOIN gx_p2 b ON b.pair_id = a.pair_id AND b.meaning = a.meaning AND b.xform_key = a.xform_key
+GROUP BY a.pair_id, a.path_key""")
+
+
+def _gx(spark, sf):
+    return load_event_charts(spark, sf, dialects=True)
+
+
+@query("path_match_dialects", compose("SELECT pair_id, path_key, match_key FROM gx_match", "gx_match"))
+def q_path_match_dialects(spark, sf):
+    c, idx = _gx(spark, sf)
+    return ct.path_match(*ct.pair_paths(c.persist(), day_week_pairs(idx)))
+
+
+@query("containment_dialects", compose("""
+SELECT d.pair_id, CAST(count(a.path_key) AS BIGINT) AS paths1, CAST(count(m.match_key) AS BIGINT) AS matched,
+       count(a.path_key) = count(m.match_key) AS contained
+FROM d_pair d LEFT JOIN gx_p1 a ON a.pair_id = d.pair_id
+LEFT JOIN gx_match m ON m.pair_id = a.pair_id AND m.path_key = a.path_key GROUP BY d.pair_id""", "gx_p1", "gx_match"))
+def q_containment_dialects(spark, sf):
+    c, idx = _gx(spark, sf)
+    return ct.containment(c.persist(), day_week_pairs(idx)).select("pair_id", "paths1", "matched", "contained")
+
+
+@query("overlapping_branches_dialects", compose("""
+SELECT model_id, place, CASE WHEN overlap THEN 'overlap' ELSE 'unknown' END AS verdict FROM (
+  SELECT model_id, src AS place, bool_or(v = 7) AS unread,
+         len(list_filter(range(-1, 102), lambda x: len(list_filter(list(ks), lambda s: list_contains(s, x))) >= 2)) > 0 AS overlap
+  FROM gx_mean GROUP BY model_id, src HAVING count(*) >= 2) WHERE overlap OR unread""", "gx_mean"))
+def q_overlapping_branches_dialects(spark, sf):
+    return L.overlapping_branches(_gx(spark, sf)[0].persist()).select("model_id", "place", "verdict")
