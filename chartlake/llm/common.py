@@ -33,6 +33,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Checkpoint a table and read it back in as many partitions as its rows need, so that rounds over a small
+    table do not start (and leave files of) a task for every shuffle partition."""
+    kept = checkpoint(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

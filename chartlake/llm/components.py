@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartlake.llm.common import checkpoint
+from chartlake.llm.common import compact
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,23 +15,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     joins only, so a node with very many links is combined before the shuffle and split in the join. Links of a
     node to itself are ignored; no links give an empty table.
     """
-    edges = checkpoint(
+    edges = compact(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours point to the least neighbour
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: smaller neighbours and the node itself point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = checkpoint(
+        edges = compact(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
             .filter("u <> v").distinct())
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(new) == state:
+        # done when every node points to one other, and none of those points on
+        many = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        onward = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if many.union(onward).isEmpty():
             break
-        state = tuple(new)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartlake.llm.common import checkpoint, mix64, slices, stored, utf8_parts, window_hashes, word_hashes, word_spans
+from chartlake.llm.common import compact, mix64, slices, stored, utf8_parts, window_hashes, word_hashes, word_spans
 from chartlake.llm.components import connected_components
 
 SHINGLE = 5
@@ -313,7 +313,7 @@ def _pairs_of_classes(members: DataFrame, roots: DataFrame) -> DataFrame:
     here = members.join(roots, "node", "left").select("key", "place", F.coalesce("root", "node").alias("root"))
     ends = here.groupBy("key", "root").agg(F.min("place").alias("x"), F.max("place").alias("y"))
     size = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ends = checkpoint(ends.join(size, "key").select(
+    ends = compact(ends.join(size, "key").select(
         "key", "root", "n", "x", F.array_distinct(F.array("x.node", "y.node")).alias("nodes")))
     # centres: all classes of a bucket, or in a crowded one those that come first
     place = F.row_number().over(Window.partitionBy("key").orderBy("x"))
@@ -338,27 +338,27 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(keyed.join(met, "key"))
     # a text that others were copied from shares the largest buckets; it comes first in all of them
-    fame = checkpoint(members.groupBy("node").agg(F.sum("n").alias("fame")).select("node", F.struct((-F.col("fame")).alias("f"), "node").alias("place")))
+    fame = compact(members.groupBy("node").agg(F.sum("n").alias("fame")).select("node", F.struct((-F.col("fame")).alias("f"), "node").alias("place")))
     members = stored(members.join(fame, "node").select("key", "node", "band", "place"))
     texts = stored(texts_of(docs, fame.select("node"), text))
     first = members.filter(f"band < {FIRST}").groupBy("key").agg(F.min("place").alias("p")).select("key", F.col("p.node").alias("hub"))
     tested = members.filter(f"band < {FIRST}").join(first, "key").filter("node <> hub")
-    tested = checkpoint(tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    links = checkpoint(verify(texts, checkpoint(likely(tested, samples)), idf, threshold))
+    tested = compact(tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    links = compact(verify(texts, tested, idf, threshold))
     while True:
         roots = connected_components(links)
-        pairs = checkpoint(_pairs_of_classes(members, roots).join(tested, ["a", "b"], "left_anti"))
-        hopeful = checkpoint(likely(pairs, samples))
+        pairs = compact(_pairs_of_classes(members, roots).join(tested, ["a", "b"], "left_anti"))
+        hopeful = compact(likely(pairs, samples))
         if hopeful.isEmpty():
             break
-        new = checkpoint(verify(texts, hopeful, idf, threshold))
+        new = compact(verify(texts, hopeful, idf, threshold))
         if new.isEmpty():
             break
-        links, tested = checkpoint(links.union(new)), checkpoint(tested.union(pairs))
+        links, tested = compact(links.union(new)), compact(tested.union(pairs))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "doc_id", "n").join(roots, "node", "left").join(degree, "node", "left").select(
         "node", "doc_id", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "node"), checkpoint(placed)
+    return rows.select("doc_id", "node"), compact(placed)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -71,4 +71,30 @@ QUERIES = {f.__name__: f for f in (
     op1_bpe_roundtrip, op2_minhash_near_dedup, op3_voronoi_top_k, op4_source_mixing, op5_class_lm, op6_html_main_text,
     op7_pii_spans, op8_multi_index_hashing, op9_quality_rules, op10_substring_dedup,
 )}
-ORACLE: dict[str, str] = {}
+#: SQL for the two operators whose results it can express.
+ORACLE: dict[str, str] = {
+    "op3_voronoi_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""",
+    "op10_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)),
+least_id AS (SELECT win, min(doc_id) AS least_id FROM win GROUP BY win),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM win JOIN least_id USING (win) WHERE least_id < coalesce(doc_id, 9223372036854775807)),
+word AS (SELECT r, i, w[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
+}
