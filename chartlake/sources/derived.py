@@ -25,15 +25,11 @@ def _k(props):
     return F.get_json_object(props, "$.k").cast("int")
 
 
-def chart_events(events: DataFrame) -> DataFrame:
-    """Events tagged with their day and week chart (each event belongs to two charts)."""
+def chart_events(events: DataFrame, periods: tuple[str, ...] = ("day", "week")) -> DataFrame:
+    """Events tagged with the chart of each of the given periods they belong to."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", _k(F.col("props")).alias("k"))
-    per = F.explode(
-        F.array(
-            F.struct(F.lit("day").alias("period"), F.date_trunc("day", "ts").alias("period_start")),
-            F.struct(F.lit("week").alias("period"), F.date_trunc("week", "ts").alias("period_start")),
-        )
-    )
+    per = F.explode(F.array(*[
+        F.struct(F.lit(p).alias("period"), F.date_trunc(p, "ts").alias("period_start")) for p in periods]))
     ev = ev.select("*", per.alias("_p")).select(
         "event_id", "ts", "user_id", "event_type", "value", "k",
         F.col("_p.period").alias("period"), F.col("_p.period_start").alias("period_start"),
@@ -92,7 +88,7 @@ def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week"),
     """D-CHART as exploded chart tables plus a model index
     ``(model_id, user_id, period, period_start)``; ``dialects=True`` gives D-CHART-G
     (guards in several spellings, some faulty)."""
-    ev = chart_events(events).filter(F.col("period").isin(list(periods)))
+    ev = chart_events(events, tuple(periods))
     first = F.min(F.struct("ts", "event_id"))
     models = ev.groupBy("model_id", "user_id", "period", "period_start").agg(
         F.min(F.struct("ts", "event_id", "event_type")).alias("_f")
