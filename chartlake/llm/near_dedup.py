@@ -308,22 +308,29 @@ def verify(texts: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> Da
     return pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").mapInArrow(compare, "a binary, b binary")
 
 
-def _pairs_of_classes(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of nodes of different classes that share a bucket, each class by its first and last node there."""
+def _pairs_of_classes(members: DataFrame, roots: DataFrame, grown: DataFrame | None) -> DataFrame:
+    """(a, b) of nodes of different classes that share a bucket, each class by its first and last node there.
+
+    ``grown``: the roots of classes that the last round joined; other classes have met before. None: all meet."""
     here = members.join(roots, "node", "left").select("key", "place", F.coalesce("root", "node").alias("root"))
     ends = here.groupBy("key", "root").agg(F.min("place").alias("x"), F.max("place").alias("y"))
-    size = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    fresh = F.lit(True) if grown is None else F.coalesce("grown", F.lit(False))
+    if grown is not None:
+        ends = ends.join(grown.withColumn("grown", F.lit(True)), "root", "left")
+    ends = ends.withColumn("fresh", fresh)
+    size = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).filter("n > 1 and any")
     ends = compact(ends.join(size, "key").select(
-        "key", "root", "n", "x", F.array_distinct(F.array("x.node", "y.node")).alias("nodes")))
+        "key", "root", "n", "x", "fresh", F.array_distinct(F.array("x.node", "y.node")).alias("nodes")))
     # centres: all classes of a bucket, or in a crowded one those that come first
     place = F.row_number().over(Window.partitionBy("key").orderBy("x"))
     crowded = ends.filter(F.col("n") > CROWD)
     centres = ends.filter(F.col("n") <= CROWD).unionByName(
         crowded.withColumn("_p", place).filter(F.col("_p") <= CENTRES).drop("_p"))
-    one = ends.select("key", "root", F.explode("nodes").alias("node"))
-    two = centres.select("key", F.col("root").alias("other"), F.explode("nodes").alias("centre"))
-    return one.join(two, "key").filter("root <> other").select(
-        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    one = ends.select("key", "root", "n", "fresh", F.explode("nodes").alias("node"))
+    two = centres.select("key", F.col("root").alias("other"), F.col("fresh").alias("also"), F.explode("nodes").alias("centre"))
+    # where all classes are centres, each two of them meet once
+    meet = one.join(two, "key").filter(f"(root < other or root > other and n > {CROWD}) and (fresh or also)")
+    return meet.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -345,15 +352,19 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[
     tested = members.filter(f"band < {FIRST}").join(first, "key").filter("node <> hub")
     tested = compact(tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     links = compact(verify(texts, tested, idf, threshold))
+    grown = None
     while True:
         roots = connected_components(links)
-        pairs = compact(_pairs_of_classes(members, roots).join(tested, ["a", "b"], "left_anti"))
+        if grown is not None:
+            grown = compact(grown.join(roots, "node").select("root").distinct())
+        pairs = compact(_pairs_of_classes(members, roots, grown).join(tested, ["a", "b"], "left_anti"))
         hopeful = compact(likely(pairs, samples))
         if hopeful.isEmpty():
             break
         new = compact(verify(texts, hopeful, idf, threshold))
         if new.isEmpty():
             break
+        grown = new.select(F.col("a").alias("node"))
         links, tested = compact(links.union(new)), compact(tested.union(pairs))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "doc_id", "n").join(roots, "node", "left").join(degree, "node", "left").select(
