@@ -119,6 +119,7 @@ def sanitize_text(t: Column, nfkc: bool = True) -> Column:
 
 
 # X2 ------------------------------------------------------------------------------
+# The patterns that decide what counts as a code block of a reply.
 FENCE_RE = r"```(?:python)?\s*([\s\S]*?)```"
 LIST_LINES_RE = r"(?m)^[ \t]*(?:steps2|transitions2)[\s\S]*?\][ \t]*$"
 
@@ -131,24 +132,30 @@ def extract_code_block(reply: Column) -> Column:
 
 
 # X3 ------------------------------------------------------------------------------
-# Keywords of the structured-text fallback.
+# Keywords of the structured-text fallback, and the patterns of the candidate blocks.
 PLC_KEYWORDS = ["STEP", "STATE", "TRANSITION", "IF", "THEN", "ELSE", ":=", "="]
+FENCED_BLOCK = r"```(?:\w*\n)?([\s\S]*?)```"
+INDENTED_BLOCK = r"(?:^|\n)((?: {4}.+(?:\n|$))+)"
+STEPS_PART = r"(?i)(steps\s*=\s*\[([\s\S]*?)\])"
+TRANSITIONS_PART = r"(?i)(transitions\s*=\s*\[([\s\S]*?)\])"
+VARIABLES_PART = r"(?i)(variables\s*=\s*\[([\s\S]*?)\])"
+INITIAL_PART = r"(?i)(initial_step\s*=\s*['\"].+?['\"])"
 
 
 def extract_blocks(reply: Column) -> Column:
     """All candidate blocks in priority order: structured chart parts (one block), fenced
     blocks, 4-space indented blocks; keyword lines only when nothing else was found."""
     out = sanitize_text(reply, nfkc=False)
-    fenced = F.transform(F.regexp_extract_all(out, F.lit(r"```(?:\w*\n)?([\s\S]*?)```"), 1), strip_ws)
-    ind = F.regexp_extract_all(out, F.lit(r"(?:^|\n)((?: {4}.+(?:\n|$))+)"), 1)
+    fenced = F.transform(F.regexp_extract_all(out, F.lit(FENCED_BLOCK), 1), strip_ws)
+    ind = F.regexp_extract_all(out, F.lit(INDENTED_BLOCK), 1)
     ind = F.transform(ind, lambda b: strip_ws(F.regexp_replace(b, r"(?m)^ {4}", "")))
     part = lambda p: F.regexp_extract(out, p, 1)
-    steps = part(r"(?i)(steps\s*=\s*\[([\s\S]*?)\])")
+    steps = part(STEPS_PART)
     parts = F.filter(F.array(
         strip_ws(steps),
-        strip_ws(part(r"(?i)(transitions\s*=\s*\[([\s\S]*?)\])")),
-        strip_ws(part(r"(?i)(variables\s*=\s*\[([\s\S]*?)\])")),
-        strip_ws(part(r"(?i)(initial_step\s*=\s*['\"].+?['\"])")),
+        strip_ws(part(TRANSITIONS_PART)),
+        strip_ws(part(VARIABLES_PART)),
+        strip_ws(part(INITIAL_PART)),
     ), lambda x: x != "")
     sfc = F.when(steps != "", F.array(F.array_join(parts, "\n\n"))).otherwise(F.array().cast("array<string>"))
     blocks = F.concat(sfc, F.filter(fenced, lambda x: x != ""), F.filter(ind, lambda x: x != ""))

@@ -87,6 +87,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S4 ------------------------------------------------------------------------------
+# The step and transition patterns below are the grammar of the two dialects.
 def parse_st_dialect_a(docs: DataFrame, content: str = "content") -> DataFrame:
     t = F.col(content)
     var_block = F.regexp_extract(t, r"(?is)VAR(.*?)END_VAR", 1)
