@@ -9,10 +9,10 @@ similarity is then computed from their whole texts.
 Documents with equal word sequences are one node from the start. In the buckets of the first bands each node is
 compared with the one that is in the largest buckets overall, which joins large groups of copies of one text.
 Then, in the buckets of all bands that hold several classes, the classes are compared, each by two of its nodes
-there, round by round until no links are found. A bucket with more than ``CROWD`` classes holds texts that share a
-very common passage and little else (copies share other buckets too); there each class is compared with the
-``CENTRES`` that come first. So the pairs grow with the input, not with its square. Pairs whose signatures agree
-in too few samples to be similar are dropped before their texts are read.
+there (in a bucket with more than ``CROWD`` classes with the ``CENTRES`` that come first), round by round until no
+links are found. This only joins most of what belongs together at little cost. At last every two nodes of different
+classes that share a bucket are compared by their signatures, tile by tile (``across``), and those that agree
+in enough samples by their texts: no bucket is too large and no node is left out.
 
 Frequencies: a table of 2^20 hashed counts shows which shingles can reach the least counted frequency
 ``total / 2^17``; these are counted exactly. There are at most 2^17 of them, whatever the size of the corpus;
@@ -38,10 +38,12 @@ THRESHOLD = 0.8
 ROWS, BANDS = 4, 14
 #: Bands whose buckets are compared with their least node first.
 FIRST = 4
-#: In a bucket with up to CROWD classes all of them are compared, in a larger one each with the first CENTRES.
+#: Before the last comparison: in a bucket with up to CROWD classes all of them meet, in a larger one each with the first CENTRES.
 CROWD, CENTRES = 32, 12
 #: Share of equal samples below which a pair is not compared further; at a similarity of 0.8 it is 3.7 deviations low.
 LEAST_EQUAL = 0.6
+#: Nodes of a bucket that are compared at a time with so many others.
+TILE = 512
 _BUCKETS = 1 << 20
 _HEAVY = 1 << 17
 _DRAWS = 1 << 16
@@ -264,14 +266,18 @@ def _maybe(bits: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return (bits[top >> 6] >> (top & 63).astype(np.uint64) & np.uint64(1)) > 0
 
 
+def _enough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether signatures agree in ``LEAST_EQUAL`` of the samples or more, row by row."""
+    return (x == y).sum(1) >= math.ceil(LEAST_EQUAL * ROWS * BANDS)
+
+
 def likely(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """The pairs whose signatures agree in ``LEAST_EQUAL`` of the samples or more."""
-    least = math.ceil(LEAST_EQUAL * ROWS * BANDS)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
+            yield b.select(["a", "b"]).filter(pa.array(_enough(x, y)))
 
     named = lambda k: samples.select(F.col("node").alias(k), F.col("samples").alias(f"s{k}"))
     return pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").mapInArrow(compare, "a binary, b binary")
@@ -333,6 +339,69 @@ def _pairs_of_classes(members: DataFrame, roots: DataFrame, grown: DataFrame | N
     return meet.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def across(members: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFrame:
+    """(a, b) of all nodes of different classes that share a bucket and whose signatures agree in enough samples.
+
+    A bucket of more than ``TILE`` nodes is cut into tiles by hash, and each two tiles are a group of their own; a class
+    of more than that has its own tiles, which do not meet each other. No pair is made before it has passed."""
+    here = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    large = F.col("c") > TILE
+    mixed = compact(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(
+        F.when(~large, F.col("c")).otherwise(0)).alias("rest")).filter("k > 1").drop("k"))
+    whole = here.join(mixed.filter(F.col("n") <= TILE).select("key"), "key").select(
+        F.col("key").alias("g"), F.lit(0).alias("side"), "root", "node")
+    # the own tiles of a large class have its root, the others none
+    cut = compact(sizes.join(mixed.filter(F.col("n") > TILE), "key").select(
+        "key", "root", F.when(large, F.col("root")).alias("own"),
+        F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / TILE).alias("tiles")))
+    tile = lambda k: F.xxhash64(F.coalesce("own", F.lit(b"")), k)
+    tiles = cut.select("key", "own", "tiles").distinct().select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("i"))
+    tiles = tiles.select("key", "own", tile(F.col("i")).alias("t"))
+    meet = tiles.join(tiles.select("key", F.col("own").alias("own2"), F.col("t").alias("t2")), "key").filter(
+        "t < t2 and not coalesce(own = own2, false) or t = t2 and own is null")
+    sides = compact(meet.select("key", F.xxhash64("key", "t", "t2").alias("g"), F.explode(F.expr(
+        "if(t = t2, array(struct(t, 0 as side)), array(struct(t, 1 as side), struct(t2 as t, 2 as side)))")).alias("x")).select(
+        "key", "g", "x.t", "x.side"))
+    placed = here.join(cut, ["key", "root"]).select("key", "root", "node", tile(F.expr("pmod(xxhash64(node, 7), tiles)")).alias("t"))
+    rows = whole.unionByName(placed.join(sides, ["key", "t"]).select("g", "side", "root", "node"))
+    rows = rows.join(samples, "node").select("g", "side", F.xxhash64("root").alias("root"), "node", "samples")
+
+    def meet_all(t: pa.Table) -> pa.RecordBatch:
+        g, side, root = (t.column(k).to_numpy() for k in ("g", "side", "root"))
+        each = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for d in range(1, t.num_rows):
+            same = g[d:] == g[:-d]
+            if not same.any():
+                break
+            i = np.flatnonzero(same & (root[d:] != root[:-d]) & ((side[d:] == 0) | (side[d:] != side[:-d])))
+            i = i[_enough(each[i], each[i + d])]
+            if len(i):
+                found.append((i, i + d))
+        node = t.column("node").to_pylist()
+        pairs = sorted({(min(node[x], node[y]), max(node[x], node[y])) for i, j in found for x, y in zip(i.tolist(), j.tolist(), strict=True)})
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))
+            if held and (cut or held[0].column("g")[0].as_py() != int(g[0])):
+                yield meet_all(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield meet_all(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield meet_all(pa.Table.from_batches(held))
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node of every document), (node, least doc_id, n documents, root of its class, n_links)."""
     idf = corpus_idf(docs, text)
@@ -366,6 +435,10 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[
             break
         grown = new.select(F.col("a").alias("node"))
         links, tested = compact(links.union(new)), compact(tested.union(pairs))
+    hopeful = compact(across(members, roots, samples).join(tested, ["a", "b"], "left_anti"))
+    if not hopeful.isEmpty():
+        links = compact(links.union(verify(texts, hopeful, idf, threshold)))
+        roots = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "doc_id", "n").join(roots, "node", "left").join(degree, "node", "left").select(
         "node", "doc_id", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -80,6 +80,27 @@ def test_one_of_each_class_stays(spark):
         assert min((rows[k][0] for k in c if rows[k][0] is not None), default=None) in ids
 
 
+def _same_as_brute_force(spark, texts):
+    rows = [(k, t, "en", "s0", len(t), 7, "n", "s", 1) for k, t in enumerate(texts)]
+    want = {k: (min(c), len(c)) for c in _classes(rows) for k in c}
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_duplicates(frame(spark, rows)).collect()}
+    assert [(k, want[k], got[k]) for k in want if got[k] != want[k]] == []
+
+
+def test_links_by_any_node_of_a_class(spark):
+    # chains of texts, each similar to the next only, and a branch that is similar to one text of its chain only
+    texts = []
+    for c in range(60):
+        w = [f"c{c}w{k}" for k in range(120)]
+        for step in range(7):
+            for k in (step * 16 + 3, step * 16 + 10):
+                w[k] = f"c{c}edit{k}"
+            texts.append(" ".join(w))
+            if step in (1, 2, 4):
+                texts.append(" ".join(x if k not in (step * 16 + 22, step * 16 + 30) else f"c{c}branch{step}" for k, x in enumerate(w)))
+    _same_as_brute_force(spark, texts)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7), (102, 101), (200, 200)], "a int, b int")
     got = {r.node: r.root for r in connected_components(links).collect()}
