@@ -3,8 +3,10 @@
 A document is the weighted set of its runs of five words; a weight is term frequency times inverse document
 frequency over all documents. Every sample of a signature is the shingle that wins a consistent weighted race
 (gamma and uniform draws looked up by hash), so two documents agree in a sample with the probability of their
-weighted Jaccard similarity. ``ROWS`` samples make a band; documents that agree in a band are candidates, whose
-similarity is then computed from their whole texts.
+weighted Jaccard similarity. As a pair is also linked by its plain Jaccard similarity, and the weighted one of such a
+pair can be any lower, as many samples are the least hashes of the unweighted shingles, which agree with the
+probability of the plain similarity. ``ROWS`` samples of a kind make a band; documents that agree in a band are
+candidates, whose similarity is then computed from their whole texts.
 
 Documents with equal word sequences are one node from the start. In the buckets of the first bands each node is
 compared with the one that is in the largest buckets overall, which joins large groups of copies of one text.
@@ -35,12 +37,14 @@ from chartlake.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Bands of each kind of samples: first the weighted ones, then the plain ones.
 ROWS, BANDS = 4, 14
 #: Bands whose buckets are compared with their least node first.
 FIRST = 4
 #: Before the last comparison: in a bucket with up to CROWD classes all of them meet, in a larger one each with the first CENTRES.
 CROWD, CENTRES = 32, 12
-#: Share of equal samples below which a pair is not compared further; at a similarity of 0.8 it is 3.7 deviations low.
+#: Share of equal samples, of the weighted or of the plain ones, below which a pair is not compared further; at a
+#: similarity of 0.8 it is 3.7 deviations low.
 LEAST_EQUAL = 0.6
 #: Nodes of a bucket that are compared at a time with so many others.
 TILE = 512
@@ -168,6 +172,7 @@ class _Race:
         self.c = rng.gamma(2.0, 1.0, _DRAWS)
         self.beta = rng.random_sample(_DRAWS)
         self.multipliers = rng.randint(1, 2**63, ROWS * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plain = rng.randint(1, 2**63, ROWS * BANDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.usual = self.entry(np.arange(_DRAWS), np.full(_DRAWS, 2.0))
 
     def entry(self, i: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -179,13 +184,19 @@ class _Race:
         return a.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | low
 
     def samples(self, s: _Shingles, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(texts with shingles) x BANDS band keys, and x all samples, shortened to 32 bits."""
+        """(texts with shingles) x 2 BANDS band keys, and x all samples, shortened to 32 bits."""
         h = mix64(s.shingle + np.uint64(0x9E3779B97F4A7C15))
         full = np.flatnonzero(np.diff(s.first) > 0)
         start = s.first[full]
         odd = np.flatnonzero(weight != 2.0)
-        out = np.zeros((len(full), BANDS), np.uint64)
-        each = np.zeros((len(full), ROWS * BANDS), np.uint32)
+        out = np.zeros((len(full), 2 * BANDS), np.uint64)
+        each = np.zeros((len(full), 2 * ROWS * BANDS), np.uint32)
+
+        def put(k: int, least: np.ndarray) -> None:
+            band = k // ROWS
+            out[:, band] = mix64(out[:, band] * np.uint64(0x2545F4914F6CDD1D) + least + np.uint64(band + 1))
+            each[:, k] = mix64(least).astype(np.uint32)
+
         for k, m in enumerate(self.multipliers):
             v = h * m
             i = v >> np.uint64(48)
@@ -193,9 +204,9 @@ class _Race:
             key = self.usual[i] ^ low
             if len(odd):
                 key[odd] = self.entry(i[odd].astype(np.int64), weight[odd]) ^ low[odd]
-            band, least = k // ROWS, np.minimum.reduceat(key, start)
-            out[:, band] = mix64(out[:, band] * np.uint64(0x2545F4914F6CDD1D) + least + np.uint64(band + 1))
-            each[:, k] = mix64(least).astype(np.uint32)
+            put(k, np.minimum.reduceat(key, start))
+        for k, m in enumerate(self.plain):
+            put(ROWS * BANDS + k, np.minimum.reduceat(h * m, start))
         return out, each
 
 
@@ -215,12 +226,12 @@ def signatures(docs: DataFrame, idf: Idf, doc_id: str, text: str) -> DataFrame:
             if len(s.shingle):
                 keys, each = race.samples(s, s.tf * idf.of(s))
             else:
-                keys, each = np.zeros((0, BANDS), np.uint64), np.zeros((0, ROWS * BANDS), np.uint32)
+                keys, each = np.zeros((0, 2 * BANDS), np.uint64), np.zeros((0, 2 * ROWS * BANDS), np.uint32)
             has = s.words > 0
-            size = np.where(has, BANDS, 0)
+            size = np.where(has, 2 * BANDS, 0)
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()),
                                              pa.array(keys.reshape(-1).view(np.int64)))
-            wide, data = 4 * ROWS * BANDS, each.tobytes()
+            wide, data = 8 * ROWS * BANDS, each.tobytes()
             at = np.cumsum(has) - 1
             samples = [data[wide * k:wide * k + wide] if h else None for k, h in zip(at.tolist(), has.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_node(s), pa.binary()), bands, pa.array(samples, pa.binary())],
@@ -267,8 +278,8 @@ def _maybe(bits: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _enough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether signatures agree in ``LEAST_EQUAL`` of the samples or more, row by row."""
-    return (x == y).sum(1) >= math.ceil(LEAST_EQUAL * ROWS * BANDS)
+    """Whether signatures agree in ``LEAST_EQUAL`` of the samples of a kind or more, row by row."""
+    return (x == y).reshape(-1, 2, ROWS * BANDS).sum(2).max(1) >= math.ceil(LEAST_EQUAL * ROWS * BANDS)
 
 
 def likely(pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -369,7 +380,7 @@ def across(members: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFram
 
     def meet_all(t: pa.Table) -> pa.RecordBatch:
         g, side, root = (t.column(k).to_numpy() for k in ("g", "side", "root"))
-        each = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(t.num_rows, -1)
+        each = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(-1, 2 * ROWS * BANDS)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(1, t.num_rows):
             same = g[d:] == g[:-d]
@@ -422,11 +433,12 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[
     tested = compact(tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     links = compact(verify(texts, tested, idf, threshold))
     grown = None
+    weighted = members.filter(f"band < {BANDS}")
     while True:
         roots = connected_components(links)
         if grown is not None:
             grown = compact(grown.join(roots, "node").select("root").distinct())
-        pairs = compact(_pairs_of_classes(members, roots, grown).join(tested, ["a", "b"], "left_anti"))
+        pairs = compact(_pairs_of_classes(weighted, roots, grown).join(tested, ["a", "b"], "left_anti"))
         hopeful = compact(likely(pairs, samples))
         if hopeful.isEmpty():
             break

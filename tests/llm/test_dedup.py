@@ -1,9 +1,11 @@
 from collections import defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 from llm_cases import DOCS, documents, frame, words
 
 from chartlake.llm.components import connected_components
-from chartlake.llm.near_dedup import keep_one_of_each, near_duplicates
+from chartlake.llm.near_dedup import _enough, _Race, keep_one_of_each, near_duplicates
 
 
 def _classes(rows):
@@ -101,6 +103,17 @@ def test_links_by_any_node_of_a_class(spark):
     _same_as_brute_force(spark, texts)
 
 
+def test_plain_pairs_are_candidates_whatever_their_weights():
+    # pairs at a plain similarity of 0.8, the shared shingles of the least weight, the others of the highest
+    rng, s, shared, own, n = np.random.RandomState(1), SimpleNamespace(), 96, 12, 2000
+    sets = [rng.randint(0, 1 << 48, shared + 2 * own).astype(np.uint64) for _ in range(n)]
+    s.shingle = np.concatenate([x for a in sets for x in (a[:shared + own], np.r_[a[:shared], a[shared + own:]])])
+    s.first = np.arange(0, len(s.shingle) + 1, shared + own)
+    keys, each = _Race().samples(s, np.tile(np.r_[np.ones(shared), np.full(own, 2.0)], 2 * n))
+    lost = ~((keys[::2] == keys[1::2]).any(1) & _enough(each[::2], each[1::2]))
+    assert lost.mean() < 0.002
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7), (102, 101), (200, 200)], "a int, b int")
     got = {r.node: r.root for r in connected_components(links).collect()}
