@@ -89,6 +89,12 @@ def _same_as_brute_force(spark, texts):
     assert [(k, want[k], got[k]) for k in want if got[k] != want[k]] == []
 
 
+def test_pairs_in_buckets_of_several_hundred_classes(spark):
+    # all texts share a passage (0.787), two and two a little more (0.832); they meet in crowded buckets
+    passage = " ".join(f"p{k}" for k in range(100))
+    _same_as_brute_force(spark, [" ".join([passage, *(f"own{k // 2}x{j}" for j in range(3)), *(f"own{k}y{j}" for j in range(10))]) for k in range(300)])
+
+
 def test_links_by_any_node_of_a_class(spark):
     # chains of texts, each similar to the next only, and a branch that is similar to one text of its chain only
     texts = []
