@@ -35,10 +35,14 @@ INPUT = PATH_DIM + WORD_DIM + MEASURES
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"(?:class|id|role|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes svg math object".split())
+_RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes svg".split())
 _INLINE = frozenset((
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
-    "sub sup time tt u var wbr img nobr").split())
+    "sub sup time tt u var wbr img nobr object").split())
+#: Formulas: their elements are inline; a space keeps the parts apart.
+_MATH = frozenset((
+    "math semantics mrow mi mo mn ms mtext mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts none mfrac msqrt mroot "
+    "mstyle merror mpadded mphantom menclose maction mtable mtr mtd mlabeledtr annotation annotation-xml").split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
            "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _KEEPS_P = _INLINE | _VOID | {"li", "dt", "dd", "tr", "td", "th", "option", "button", "select"}
@@ -47,7 +51,8 @@ _KEEPS_P = _INLINE | _VOID | {"li", "dt", "dd", "tr", "td", "th", "option", "but
 def blocks_of(page: str) -> list[tuple[str, str, int]]:
     """(tag path, text, characters in links) of the leaf blocks of a page, text decoded and white space made one space.
 
-    Contents of scripts, styles and the like are no blocks; ends of tags that were never opened are ignored.
+    Contents of scripts, styles, drawings and the like are no blocks; ends of tags that were never opened are ignored.
+    Formulas and what stands in for an object are text of the block that they are in.
     """
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str]] = []
@@ -85,6 +90,9 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
         if name is None:
             continue
         name = name.lower()
+        if name in _MATH:
+            text.append(" ")
+            continue
         if m.group(1):
             if name == "a":
                 in_link = max(0, in_link - 1)
@@ -96,8 +104,12 @@ def blocks_of(page: str) -> list[tuple[str, str, int]]:
                     del stack[k:], paths[k + 1:]
                     break
             continue
+        if name == "svg" and m.group(3).endswith("/"):
+            continue
         if name in _RAW:
             close = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
+            if close is None and name == "svg":  # never closed: what follows is not part of the drawing
+                continue
             at = close.end() if close else n
             continue
         if name == "a":

@@ -46,6 +46,14 @@ def test_blocks():
                    ("/html/body/article/ul/li", "y"), ("/html/body", "tail <")]
 
 
+def test_blocks_with_drawings_formulas_and_objects():
+    page = ('<article><p>one <svg width="1"/> two</p><svg/><p>three <math/> four</p><p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> end</p>'
+            '<p>film <object data="f">no <b>player</b></object> here</p><object><p>inside</p></object><svg><text>drawn</text></svg><p>last</p></article>')
+    assert [(p, t) for p, t, _ in m.blocks_of(page)] == [("/article/p", t) for t in (
+        "one two", "three four", "sum x + 1 end", "film no player here", "inside", "last")]
+    assert [t for _, t, _ in m.blocks_of("<article><p>one<svg><p>two</article>")] == ["one", "two"]
+
+
 def test_labeller_on_unseen_layouts(real):
     words = sorted({w for _, _, h in real[:50] for b in m.blocks_of(h) for w in b[1].split()})
     net, rng = m.train(words), np.random.RandomState(12345)
