@@ -13,6 +13,7 @@ from chartlake.llm.multi_index_hashing import nearest
 from chartlake.llm.near_dedup import near_duplicates
 from chartlake.llm.pii import BASE, find_pii
 from chartlake.llm.quality import score_quality
+from chartlake.llm.sharding import assign_shards
 from chartlake.llm.substring_dedup import substring_dedup
 from chartlake.llm.voronoi_knn import exact_top_k
 from chartlake.session import table
@@ -67,9 +68,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_roundtrip, op2_minhash_near_dedup, op3_voronoi_top_k, op4_source_mixing, op5_class_lm, op6_html_main_text,
     op7_pii_spans, op8_multi_index_hashing, op9_quality_rules, op10_substring_dedup,
+    op11_minimax_sharding,
 )}
 #: SQL for the two operators whose results it can express.
 ORACLE: dict[str, str] = {
