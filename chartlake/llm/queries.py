@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartlake.llm.bpe import encode
 from chartlake.llm.class_lm import score_texts
+from chartlake.llm.conversation_trie import prefix_trie, turn_lists, with_shared_heads
 from chartlake.llm.html_extract import extract_main_text
 from chartlake.llm.mixing import mix_sources
 from chartlake.llm.multi_index_hashing import nearest
@@ -16,6 +17,7 @@ from chartlake.llm.quality import score_quality
 from chartlake.llm.sharding import assign_shards
 from chartlake.llm.substring_dedup import substring_dedup
 from chartlake.llm.voronoi_knn import exact_top_k
+from chartlake.llm.whitening import whiten
 from chartlake.session import table
 
 
@@ -72,12 +74,20 @@ def op11_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(turn_lists(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_roundtrip, op2_minhash_near_dedup, op3_voronoi_top_k, op4_source_mixing, op5_class_lm, op6_html_main_text,
     op7_pii_spans, op8_multi_index_hashing, op9_quality_rules, op10_substring_dedup,
-    op11_minimax_sharding,
+    op11_minimax_sharding, op12_embedding_whitening, op13_conversation_trie,
 )}
-#: SQL for the two operators whose results it can express.
+#: SQL for the operators whose results it can express.
 ORACLE: dict[str, str] = {
     "op3_voronoi_top_k": """
 WITH v AS (
@@ -103,4 +113,30 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)""",
+    "op13_conversation_trie": """
+WITH own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT c, t, xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                             lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))),
+    4294967295::UBIGINT) % 9 AS h FROM own),
+seq AS (
+  SELECT o.c, list_concat(coalesce(b.t[1:CAST(o.h AS BIGINT)], []), o.t[CAST(o.h AS BIGINT) + 1:]) AS p
+  FROM crc o LEFT JOIN own b ON b.c = o.c - o.c % 5),
+pre AS (SELECT c, d, p[1:d] AS path, len(p) AS n FROM seq, LATERAL (SELECT unnest(range(0, len(p) + 1)) AS d)),
+node AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d) AS ends
+  FROM pre GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+every AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)),
+below AS (
+  SELECT path[1:e] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+         sum(CASE WHEN d > 0 THEN (n - 1) * strlen(path[d].x) ELSE 0 END) AS saved_tokens
+  FROM every, LATERAL (SELECT unnest(range(0, d + 1)) AS e) GROUP BY 1)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM every v JOIN below USING (path) LEFT JOIN every up ON up.path = v.path[1:v.d - 1] AND up.d = v.d - 1""",
 }
