@@ -40,6 +40,17 @@ def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return kept.coalesce(max(1, -(-kept.count() // rows)))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The given names, each with as many underscores in front as it takes to differ from all columns and one another."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -9,12 +9,12 @@ probability of the plain similarity. ``ROWS`` samples of a kind make a band; doc
 candidates, whose similarity is then computed from their whole texts.
 
 Documents with equal word sequences are one node from the start. In the buckets of the first bands each node is
-compared with the one that is in the largest buckets overall, which joins large groups of copies of one text.
-Then, in the buckets of all bands that hold several classes, the classes are compared, each by two of its nodes
-there (in a bucket with more than ``CROWD`` classes with the ``CENTRES`` that come first), round by round until no
-links are found. This only joins most of what belongs together at little cost. At last every two nodes of different
-classes that share a bucket are compared by their signatures, tile by tile (``across``), and those that agree
-in enough samples by their texts: no bucket is too large and no node is left out.
+compared with the one that is in the largest buckets overall, which joins large groups of copies of one text. Then
+every two nodes of different classes that share a bucket are compared by their signatures, tile by tile (``across``).
+A tile with few candidates gives them as pairs, whose texts are compared; a tile with more candidates than nodes gives
+its nodes, whose texts meet in that tile once more (``crowded``): all similarities of the tile are two products of
+node-by-shingle matrices, and what leaves is a spanning forest of the links. So rows grow with the nodes of a bucket,
+not with its pairs, and no bucket is too large and no node left out.
 
 Frequencies: a table of 2^20 hashed counts shows which shingles can reach the least counted frequency
 ``total / 2^17``; these are counted exactly. There are at most 2^17 of them, whatever the size of the corpus;
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartlake.llm.common import compact, mix64, slices, stored, utf8_parts, window_hashes, word_hashes, word_spans
+from chartlake.llm.common import compact, mix64, slices, stored, unused, utf8_parts, window_hashes, word_hashes, word_spans
 from chartlake.llm.components import connected_components
 
 SHINGLE = 5
@@ -41,13 +41,13 @@ THRESHOLD = 0.8
 ROWS, BANDS = 4, 14
 #: Bands whose buckets are compared with their least node first.
 FIRST = 4
-#: Before the last comparison: in a bucket with up to CROWD classes all of them meet, in a larger one each with the first CENTRES.
-CROWD, CENTRES = 32, 12
 #: Share of equal samples, of the weighted or of the plain ones, below which a pair is not compared further; at a
 #: similarity of 0.8 it is 3.7 deviations low.
 LEAST_EQUAL = 0.6
-#: Nodes of a bucket that are compared at a time with so many others.
-TILE = 512
+#: Nodes of a bucket that are compared at a time with so many others; a text counts once more for every WEIGHT bytes.
+TILE, WEIGHT = 2048, 4096
+#: Columns of a tile's matrices that are multiplied at a time.
+COLUMNS = 2048
 _BUCKETS = 1 << 20
 _HEAVY = 1 << 17
 _DRAWS = 1 << 16
@@ -216,13 +216,14 @@ def _node(s: _Shingles) -> list:
 
 
 def signatures(docs: DataFrame, idf: Idf, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node (identity of the word sequence, null without words), bands, samples."""
+    """doc_id, node (identity of the word sequence, null without words), bands, samples, bytes of the text."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         race = _Race()
         for b in slices(batches, "text"):
             s = _Shingles(b.column("text"))
+            length = np.diff(utf8_parts(b.column("text"))[1])
             if len(s.shingle):
                 keys, each = race.samples(s, s.tf * idf.of(s))
             else:
@@ -234,10 +235,10 @@ def signatures(docs: DataFrame, idf: Idf, doc_id: str, text: str) -> DataFrame:
             wide, data = 8 * ROWS * BANDS, each.tobytes()
             at = np.cumsum(has) - 1
             samples = [data[wide * k:wide * k + wide] if h else None for k, h in zip(at.tolist(), has.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_node(s), pa.binary()), bands, pa.array(samples, pa.binary())],
-                                             names=["doc_id", "node", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_node(s), pa.binary()), bands, pa.array(samples, pa.binary()), pa.array(length)],
+                                             names=["doc_id", "node", "bands", "samples", "bytes"])
 
-    return src.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, samples binary")
+    return src.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>, samples binary, bytes bigint")
 
 
 def node_bits(nodes: DataFrame) -> np.ndarray:
@@ -282,16 +283,31 @@ def _enough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x == y).reshape(-1, 2, ROWS * BANDS).sum(2).max(1) >= math.ceil(LEAST_EQUAL * ROWS * BANDS)
 
 
-def likely(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in ``LEAST_EQUAL`` of the samples or more."""
+def _similar(ta, tb, idf: Idf, threshold: float) -> np.ndarray:
+    """Whether texts of two columns have a weighted or plain Jaccard similarity of the threshold or more, row by row."""
+    x, y = _Shingles(ta), _Shingles(tb)
+    wx, wy = x.tf * idf.of(x), y.tf * idf.of(y)
+    _, i, j = np.intersect1d(x.key, y.key, assume_unique=True, return_indices=True)
+    n = len(ta)
+    doc = x.doc[i]
+    both = np.bincount(doc, np.minimum(wx[i], wy[j]), n)
+    sums = np.bincount(x.doc, wx, n) + np.bincount(y.doc, wy, n)
+    weighted = both / np.maximum(sums - both, 1e-300)
+    shared = np.bincount(doc, minlength=n)
+    plain = shared / np.maximum(np.diff(x.first) + np.diff(y.first) - shared, 1)
+    return np.maximum(weighted, plain) >= threshold - 1e-12
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of the given nodes (and of a few others, as the filter is a Bloom filter)."""
+    bits = node_bits(nodes)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array(_enough(x, y)))
+            raw = np.frombuffer(b"".join(b.column("node").to_pylist()), np.uint8).reshape(-1, 16)
+            yield b.filter(pa.array(_maybe(bits, raw)))
 
-    named = lambda k: samples.select(F.col("node").alias(k), F.col("samples").alias(f"s{k}"))
-    return pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").mapInArrow(compare, "a binary, b binary")
+    return texts.mapInArrow(needed, "node binary, text string")
 
 
 def verify(texts: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
@@ -299,64 +315,45 @@ def verify(texts: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> Da
 
     The plain similarity counts too, so that a copy is not lost because the words it shares are frequent.
     """
-    bits = node_bits(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = np.frombuffer(b"".join(b.column("node").to_pylist()), np.uint8).reshape(-1, 16)
-            yield b.filter(pa.array(_maybe(bits, raw)))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta"):
-            x, y = _Shingles(b.column("ta")), _Shingles(b.column("tb"))
-            wx, wy = x.tf * idf.of(x), y.tf * idf.of(y)
-            _, i, j = np.intersect1d(x.key, y.key, assume_unique=True, return_indices=True)
-            n = b.num_rows
-            doc = x.doc[i]
-            both = np.bincount(doc, np.minimum(wx[i], wy[j]), n)
-            sums = np.bincount(x.doc, wx, n) + np.bincount(y.doc, wy, n)
-            weighted = both / np.maximum(sums - both, 1e-300)
-            shared = np.bincount(doc, minlength=n)
-            plain = shared / np.maximum(np.diff(x.first) + np.diff(y.first) - shared, 1)
-            yield b.select(["a", "b"]).filter(pa.array(np.maximum(weighted, plain) >= threshold - 1e-12))
-
-    used = texts.mapInArrow(needed, "node binary, text string")
+            yield b.select(["a", "b"]).filter(pa.array(_similar(b.column("ta"), b.column("tb"), idf, threshold)))
+
+    used = _needed(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     named = lambda k: used.select(F.col("node").alias(k), F.col("text").alias(f"t{k}"))
     return pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").mapInArrow(compare, "a binary, b binary")
 
 
-def _pairs_of_classes(members: DataFrame, roots: DataFrame, grown: DataFrame | None) -> DataFrame:
-    """(a, b) of nodes of different classes that share a bucket, each class by its first and last node there.
-
-    ``grown``: the roots of classes that the last round joined; other classes have met before. None: all meet."""
-    here = members.join(roots, "node", "left").select("key", "place", F.coalesce("root", "node").alias("root"))
-    ends = here.groupBy("key", "root").agg(F.min("place").alias("x"), F.max("place").alias("y"))
-    fresh = F.lit(True) if grown is None else F.coalesce("grown", F.lit(False))
-    if grown is not None:
-        ends = ends.join(grown.withColumn("grown", F.lit(True)), "root", "left")
-    ends = ends.withColumn("fresh", fresh)
-    size = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).filter("n > 1 and any")
-    ends = compact(ends.join(size, "key").select(
-        "key", "root", "n", "x", "fresh", F.array_distinct(F.array("x.node", "y.node")).alias("nodes")))
-    # centres: all classes of a bucket, or in a crowded one those that come first
-    place = F.row_number().over(Window.partitionBy("key").orderBy("x"))
-    crowded = ends.filter(F.col("n") > CROWD)
-    centres = ends.filter(F.col("n") <= CROWD).unionByName(
-        crowded.withColumn("_p", place).filter(F.col("_p") <= CENTRES).drop("_p"))
-    one = ends.select("key", "root", "n", "fresh", F.explode("nodes").alias("node"))
-    two = centres.select("key", F.col("root").alias("other"), F.col("fresh").alias("also"), F.explode("nodes").alias("centre"))
-    # where all classes are centres, each two of them meet once
-    meet = one.join(two, "key").filter(f"(root < other or root > other and n > {CROWD}) and (fresh or also)")
-    return meet.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _whole_groups(run):
+    """A function over record batches sorted by ``g`` that hands ``run`` tables of whole groups."""
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))
+            if held and (cut or held[0].column("g")[0].as_py() != int(g[0])):
+                yield from run(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from run(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return batched
 
 
 def across(members: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFrame:
-    """(a, b) of all nodes of different classes that share a bucket and whose signatures agree in enough samples.
+    """Where nodes of different classes share a bucket and their signatures agree in enough samples: rows ``a, b`` of such
+    pairs, or, from a tile with more of them than nodes, rows ``a, g, side, root`` of the nodes that occur in them.
 
     A bucket of more than ``TILE`` nodes is cut into tiles by hash, and each two tiles are a group of their own; a class
-    of more than that has its own tiles, which do not meet each other. No pair is made before it has passed."""
-    here = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    of more than that has its own tiles, which do not meet each other."""
+    here = members.join(roots, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"), (1 + F.col("bytes") / WEIGHT).cast("long").alias("w"))
+    sizes = here.groupBy("key", "root").agg(F.sum("w").alias("c"))
     large = F.col("c") > TILE
     mixed = compact(sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum(
         F.when(~large, F.col("c")).otherwise(0)).alias("rest")).filter("k > 1").drop("k"))
@@ -378,10 +375,12 @@ def across(members: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFram
     rows = whole.unionByName(placed.join(sides, ["key", "t"]).select("g", "side", "root", "node"))
     rows = rows.join(samples, "node").select("g", "side", F.xxhash64("root").alias("root"), "node", "samples")
 
-    def meet_all(t: pa.Table) -> pa.RecordBatch:
+    def meet_all(t: pa.Table) -> Iterator[pa.RecordBatch]:
         g, side, root = (t.column(k).to_numpy() for k in ("g", "side", "root"))
-        each = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(-1, 2 * ROWS * BANDS)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        each = np.frombuffer(b"".join(t.column("samples").to_pylist()), np.uint32).reshape(-1, 2 * ROWS * BANDS).astype(np.uint8)
+        group = np.cumsum(np.r_[0, g[1:] != g[:-1]])
+        size = np.bincount(group)
+        found, count, met = [], np.zeros(len(size), np.int64), np.zeros(len(g), bool)
         for d in range(1, t.num_rows):
             same = g[d:] == g[:-d]
             if not same.any():
@@ -389,28 +388,94 @@ def across(members: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFram
             i = np.flatnonzero(same & (root[d:] != root[:-d]) & ((side[d:] == 0) | (side[d:] != side[:-d])))
             i = i[_enough(each[i], each[i + d])]
             if len(i):
+                met[i] = met[i + d] = True
+                count += np.bincount(group[i], minlength=len(size))
+                i = i[count[group[i]] <= size[group[i]]]
                 found.append((i, i + d))
+        few = count <= size
         node = t.column("node").to_pylist()
-        pairs = sorted({(min(node[x], node[y]), max(node[x], node[y])) for i, j in found for x, y in zip(i.tolist(), j.tolist(), strict=True)})
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g = b.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1]))
-            if held and (cut or held[0].column("g")[0].as_py() != int(g[0])):
-                yield meet_all(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = []
-            elif cut:
-                yield meet_all(pa.Table.from_batches([b.slice(0, cut)]))
-            held.append(b.slice(cut))
-        if held:
-            yield meet_all(pa.Table.from_batches(held))
+        pairs = sorted({(min(node[x], node[y]), max(node[x], node[y])) for i, j in found
+                        for x, y in zip(i.tolist(), j.tolist(), strict=True) if few[group[x]]})
+        none = [None] * len(pairs)
+        yield pa.RecordBatch.from_arrays([*[pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], *[
+            pa.array(none, k) for k in (pa.int64(), pa.int32(), pa.int64())]], names=["a", "b", "g", "side", "root"])
+        at = np.flatnonzero(met & ~few[group])
+        yield pa.RecordBatch.from_arrays([
+            pa.array([node[k] for k in at], pa.binary()), pa.array([None] * len(at), pa.binary()), pa.array(g[at], pa.int64()),
+            pa.array(side[at], pa.int32()), pa.array(root[at], pa.int64())], names=["a", "b", "g", "side", "root"])
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(
+        _whole_groups(meet_all), "a binary, b binary, g bigint, side int, root bigint")
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix."""
+    fresh, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        if not fresh[start]:
+            continue
+        fresh[start], todo = False, [start]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(linked[x] & fresh)
+            fresh[new] = False
+            out += [(x, y) for y in new.tolist()]
+            todo += new.tolist()
+    return out
+
+
+def _tile_links(texts, side: np.ndarray, root: np.ndarray, idf: Idf, threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between texts of a tile that differ in class (and side, where it has two).
+
+    A weight is term frequency times inverse document frequency, so the least of two weights of a shingle is a sum over
+    levels l of [both occur l times or more] times its inverse document frequency: both kinds of similarity are products
+    of matrices with a column for each (shingle, level). Columns of one text only are left out."""
+    s = _Shingles(texts)
+    n, idf_of = len(side), idf.of(s)
+    weight, distinct = np.bincount(s.doc, s.tf * idf_of, n), np.diff(s.first)
+    doc, level = np.repeat(s.doc, s.tf), np.arange(s.tf.sum()) - np.repeat(np.cumsum(s.tf) - s.tf, s.tf)
+    _, shingle = np.unique(np.repeat(s.shingle, s.tf), return_inverse=True)
+    _, col, df = np.unique(shingle.astype(np.int64) << 32 | level, return_inverse=True, return_counts=True)
+    keep = df[col] > 1
+    col, at, of = np.cumsum(df > 1)[col[keep]] - 1, doc[keep], np.repeat(idf_of, s.tf)[keep]
+    order, first = np.argsort(col, kind="stable"), (level == 0)[keep]
+    col, at, of, first = col[order], at[order], of[order], first[order]
+    shared, both = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        i, j = np.searchsorted(col, [k, k + COLUMNS])
+        m = np.zeros((n, min(COLUMNS, int(col[j - 1]) - k + 1)), np.float32)
+        m[at[i:j], col[i:j] - k] = 1
+        w, one = np.zeros(m.shape[1], np.float32), np.zeros(m.shape[1], np.float32)
+        w[col[i:j] - k], one[col[i:j] - k] = of[i:j], first[i:j]
+        both += (m * w) @ m.T
+        m = m[:, one > 0]
+        shared += m @ m.T
+    near = np.maximum(both / np.maximum(weight[:, None] + weight - both, 1e-30), shared / np.maximum(distinct[:, None] + distinct - shared, 1))
+    may = (root[:, None] != root) & ((side[:, None] == 0) | (side[:, None] != side))
+    linked = may & (near >= threshold + 1e-3)
+    # too close to the threshold for sums of short floats: compared exactly
+    i, j = np.nonzero(np.triu(may & (np.abs(near - threshold) < 1e-3), 1))
+    for k in range(0, len(i), 256):
+        x, y = i[k:k + 256], j[k:k + 256]
+        same = _similar(texts.take(pa.array(x)), texts.take(pa.array(y)), idf, threshold)
+        linked[x[same], y[same]] = linked[y[same], x[same]] = True
+    return _forest(linked)
+
+
+def crowded(tiles: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """(a, b) of a spanning forest of the links in each tile ``a, g, side, root`` that ``across`` found too full for pairs."""
+    def link(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, side, root = (t.column(k).to_numpy() for k in ("g", "side", "root"))
+        node, text = t.column("node").to_pylist(), t.column("text").combine_chunks()
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        for i, j in zip(start, np.r_[start[1:], len(g)], strict=True):
+            got = _tile_links(text.slice(i, j - i), side[i:j], root[i:j], idf, threshold)
+            pairs = [(min(node[i + x], node[i + y]), max(node[i + x], node[i + y])) for x, y in got]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a binary, b binary").distinct()
+    rows = tiles.select(F.col("a").alias("node"), "g", "side", "root")
+    rows = rows.join(_needed(texts, rows.select("node").distinct()), "node")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(_whole_groups(link), "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -418,39 +483,24 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[
     idf = corpus_idf(docs, text)
     rows = stored(signatures(docs, idf, doc_id, text))
     nodes = rows.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("bands", "samples")).alias("s"))
-    nodes = stored(nodes.select("node", "doc_id", "n", "s.bands", "s.samples"))
-    samples = nodes.select("node", "samples")
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("bands", "samples")).alias("s"), F.max("bytes").alias("bytes"))
+    nodes = stored(nodes.select("node", "doc_id", "n", "s.bands", "s.samples", "bytes"))
+    keyed = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "key"))
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(keyed.join(met, "key"))
     # a text that others were copied from shares the largest buckets; it comes first in all of them
     fame = compact(members.groupBy("node").agg(F.sum("n").alias("fame")).select("node", F.struct((-F.col("fame")).alias("f"), "node").alias("place")))
-    members = stored(members.join(fame, "node").select("key", "node", "band", "place"))
+    members = stored(members.join(fame, "node").select("key", "node", "bytes", "band", "place"))
     texts = stored(texts_of(docs, fame.select("node"), text))
     first = members.filter(f"band < {FIRST}").groupBy("key").agg(F.min("place").alias("p")).select("key", F.col("p.node").alias("hub"))
     tested = members.filter(f"band < {FIRST}").join(first, "key").filter("node <> hub")
     tested = compact(tested.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     links = compact(verify(texts, tested, idf, threshold))
-    grown = None
-    weighted = members.filter(f"band < {BANDS}")
-    while True:
-        roots = connected_components(links)
-        if grown is not None:
-            grown = compact(grown.join(roots, "node").select("root").distinct())
-        pairs = compact(_pairs_of_classes(weighted, roots, grown).join(tested, ["a", "b"], "left_anti"))
-        hopeful = compact(likely(pairs, samples))
-        if hopeful.isEmpty():
-            break
-        new = compact(verify(texts, hopeful, idf, threshold))
-        if new.isEmpty():
-            break
-        grown = new.select(F.col("a").alias("node"))
-        links, tested = compact(links.union(new)), compact(tested.union(pairs))
-    hopeful = compact(across(members, roots, samples).join(tested, ["a", "b"], "left_anti"))
-    if not hopeful.isEmpty():
-        links = compact(links.union(verify(texts, hopeful, idf, threshold)))
-        roots = connected_components(links)
+    roots = connected_components(links)
+    found = stored(across(members, roots, nodes.select("node", "samples")))
+    pairs = found.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    links = compact(links.union(verify(texts, compact(pairs), idf, threshold)).union(crowded(found.filter("b is null"), texts, idf, threshold)).distinct())
+    roots = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "doc_id", "n").join(roots, "node", "left").join(degree, "node", "left").select(
         "node", "doc_id", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -476,22 +526,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each class left, the one with the least id (null ids last), columns as they are.
 
-    Texts without words all stay. Of rows alike in id and words one stays.
+    Texts without words (null, empty, white space) all stay. Of rows alike in id and words one stays. An empty table gives
+    an empty result. Other columns pass through, whatever their names.
     """
     _, placed = classes(docs, doc_id, text, threshold)
     last = F.lit(2**63 - 1)
-    first = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "node")).alias("k")).select(
-        F.col("k.node").alias("_node"), F.col("k.id").alias("_id"), F.lit(True).alias("_first"))
     names = docs.columns
+    node, id_, first = unused(names, "_node", "_id", "_first")
+    firsts = placed.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "node")).alias("k")).select(
+        F.col("k.node").alias(node), F.col("k.id").alias(id_), F.lit(True).alias(first))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            yield b.append_column("_node", pa.array(_node(_Shingles(b.column(text))), pa.binary()))
-
-    with_node = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())])).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), last))
-    # documents without words get keys of their own, so that they do not meet in one task
-    with_node = with_node.withColumn("_words", F.col("_node").isNotNull()).withColumn(
-        "_node", F.coalesce("_node", F.encode(F.col("_id").cast("string"), "utf-8")))
-    kept = with_node.join(first, ["_node", "_id"], "left").filter("not _words or _first")
-    again = F.row_number().over(Window.partitionBy("_node", "_id").orderBy("_words"))
-    return kept.withColumn("_again", again).filter("not _words or _again = 1").select(*[F.col(f"`{c}`") for c in names])
+            yield b.append_column(node, pa.array(_node(_Shingles(b.column(text))), pa.binary()))
+
+    every = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())])).withColumn(
+        id_, F.coalesce(F.col(f"`{doc_id}`").cast("long"), last))
+    # documents without words find no partner in the join and all stay; of the others those with the class's least id stay,
+    # of rows alike in words and id the first (combined before the shuffle)
+    kept = every.join(firsts, [node, id_], "left").filter(F.col(node).isNull() | F.col(first))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    one = kept.filter(F.col(node).isNotNull()).groupBy(node, id_).agg(F.first(row).alias("row")).select("row.*")
+    return kept.filter(F.col(node).isNull()).select(*[F.col(f"`{c}`") for c in names]).unionByName(one)

@@ -2,10 +2,11 @@ from collections import defaultdict
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from llm_cases import DOCS, documents, frame, words
 
 from chartlake.llm.components import connected_components
-from chartlake.llm.near_dedup import _enough, _Race, keep_one_of_each, near_duplicates
+from chartlake.llm.near_dedup import Idf, _enough, _Race, _similar, _tile_links, keep_one_of_each, near_duplicates
 
 
 def _classes(rows):
@@ -120,6 +121,52 @@ def test_plain_pairs_are_candidates_whatever_their_weights():
     assert lost.mean() < 0.002
 
 
+def test_tile_of_many_candidates_equals_all_pairs(spark):
+    # a crowd whose texts are 0.7 to 0.9 alike, with repeated words (term frequencies) and two sides
+    rng = np.random.RandomState(5)
+    base = [f"b{k}" for k in range(80)] + ["again and again and again and again"] * 4
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for j in rng.choice(80, rng.randint(0, 5), replace=False):
+            w[j] = f"e{k}x{j}"
+        texts.append(" ".join(w))
+    idf = Idf(1000, 5, np.zeros(0, np.uint64), np.zeros(0), np.zeros(1 << 20, bool))
+    col, n = pa.array(texts), len(texts)
+    root, side = np.arange(n) // 2, np.where(np.arange(n) < 40, 1, 2).astype(np.int32)
+    for sides in (np.zeros(n, np.int32), side):
+        want = [(i, j) for i in range(n) for j in range(i) if root[i] != root[j] and (sides[i] == 0 or sides[i] != sides[j])]
+        i, j = np.array(want).T
+        same = _similar(col.take(pa.array(i)), col.take(pa.array(j)), idf, 0.8)
+        assert 0 < same.sum() < len(same)
+        got = _tile_links(col, sides, root, idf, 0.8)
+        linked = {frozenset(p) for p, s in zip(want, same) if s}
+        assert {frozenset(p) for p in got} <= linked
+        assert _groups(n, got) == _groups(n, [tuple(p) for p in linked]) and len(got) < n
+
+
+def _groups(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return {frozenset(k for k in range(n) if find(k) == r) for r in {find(k) for k in range(n)}}
+
+
+def test_column_names_that_clash_pass_through(spark):
+    names = ["_id", "_first", "_node", "_words", "_again", "key", "root"]
+    rows = [(k, "one and the same text of some words", *[f"{n}{k}" for n in names]) for k in (77, 88)] + [(None, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (7, 7), (102, 101), (200, 200)], "a int, b int")
     got = {r.node: r.root for r in connected_components(links).collect()}
