@@ -206,15 +206,27 @@ def substitute(expr: Column, values: Column) -> Column:
 
 
 # E8 ------------------------------------------------------------------------------
+#: Longest text a folded value is held as; a longer one becomes a node: its id stands for it wherever it is used.
+LONGEST = 10_000
+
+
+def node_or_text(value: Column, longest: int = LONGEST) -> Column:
+    """A value as the fold carries it: its text, or ``#`` and the hash of the text where that is too long.
+
+    The text of a value names its parts in the same way, so a node's id is a hash of its operator and the ids of its
+    parts, equal expressions built alike share a node, and ``x := x + x`` grows by one node every few steps."""
+    return F.get(F.transform(F.array(value), lambda v: F.when(F.length(v) > longest, F.concat(F.lit("#"), F.md5(v))).otherwise(v)), F.lit(0))
+
+
 def fold_assignments(seq: Column) -> Column:
-    """Fold an ordered ``ARRAY<STRUCT<hop, lhs, rhs>>`` into the final ``MAP<var, expr>``.
+    """Fold an ordered ``ARRAY<STRUCT<hop, lhs, rhs>>`` into the final ``MAP<var, expr>`` (see ``node_or_text``).
     Assignments of one hop are parallel: they see the values from before that hop."""
     empty = F.create_map().cast("map<string,string>")
     init = F.struct(empty.alias("prev"), empty.alias("cur"), F.lit(-1).cast("int").alias("hop"))
 
     def step(acc, a):
         prev = F.when(a["hop"] != acc["hop"], acc["cur"]).otherwise(acc["prev"])
-        val = substitute(a["rhs"], prev)
+        val = node_or_text(substitute(a["rhs"], prev))
         cur = F.map_concat(F.map_filter(acc["cur"], lambda k, v: k != a["lhs"]), F.create_map(a["lhs"], val))
         return F.struct(prev.alias("prev"), cur.alias("cur"), a["hop"].cast("int").alias("hop"))
 
@@ -232,18 +244,35 @@ def parse_assignments(function: Column) -> Column:
     return F.filter(pairs, lambda a, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda b: b["lhs"] == a["lhs"]))
 
 
-def fold_functions(fun_seq: Column) -> Column:
-    """Fold an ordered ``ARRAY<STRING>`` of step functions into the final ``MAP<var, expr>``;
-    the assignments of one step are parallel (they see the values from before the step)."""
-    empty = F.create_map().cast("map<string,string>")
+def _after(m: Column, values: Column) -> Column:
+    """The map ``m`` with the pairs of ``values`` (structs key, value) put in."""
+    keys = F.transform(values, lambda x: x["key"])
+    return F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(keys, k)), F.map_from_entries(values))
+
 
+def fold_functions(fun_seq: Column, longest: int = LONGEST) -> Column:
+    """Fold an ordered ``ARRAY<STRING>`` of step functions into the final ``MAP<var, expr>`` (values as in ``node_or_text``);
+    the assignments of one step are parallel (they see the values from before the step)."""
     def step(m, f):
-        g = parse_assignments(f)
-        lhs = F.transform(g, lambda a: a["lhs"])
-        new = F.map_from_entries(F.transform(g, lambda a: F.struct(a["lhs"].alias("key"), substitute(a["rhs"], m).alias("value"))))
-        return F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(lhs, k)), new)
+        return _after(m, F.transform(parse_assignments(f), lambda a: F.struct(
+            a["lhs"].alias("key"), node_or_text(substitute(a["rhs"], m), longest).alias("value"))))
+
+    return F.aggregate(fun_seq, F.create_map().cast("map<string,string>"), step)
+
+
+def expression_nodes(seqs: DataFrame, col: str = "fun_seq", longest: int = LONGEST) -> DataFrame:
+    """``(node, expr)``: the shared table of the expressions behind the ``#`` ids that folding the sequences of a table makes.
+    One row an expression, however many paths use it."""
+    empty = F.struct(F.create_map().cast("map<string,string>").alias("m"), F.expr("cast(array() as array<string>)").alias("made"))
 
-    return F.aggregate(fun_seq, empty, step)
+    def step(acc, f):
+        full = F.transform(parse_assignments(f), lambda a: F.struct(a["lhs"].alias("key"), substitute(a["rhs"], acc["m"]).alias("value")))
+        held = F.transform(full, lambda x: F.struct(x["key"], node_or_text(x["value"], longest).alias("value")))
+        long = F.filter(F.transform(full, lambda x: x["value"]), lambda v: F.length(v) > longest)
+        return F.struct(_after(acc["m"], held).alias("m"), F.concat(acc["made"], long).alias("made"))
+
+    made = seqs.select(col).distinct().select(F.explode(F.aggregate(F.col(col), empty, step, lambda acc: acc["made"])).alias("expr"))
+    return made.distinct().select(F.concat(F.lit("#"), F.md5("expr")).alias("node"), "expr")
 
 
 # E10 / E11 -----------------------------------------------------------------------
@@ -290,8 +319,18 @@ def _minimal(clauses):
     return kept
 
 
+#: Clauses up to which a conjunction of bracketed alternatives is multiplied out.
+CLAUSES = 1024
+
+
+class _TooMany(Exception):
+    """A product of more than ``CLAUSES`` clauses."""
+
+
 def _dnf(node):
-    """Python AST of a normalised guard -> list of clauses (sets of canonical atoms), or None."""
+    """Python AST of a normalised guard -> list of factors, each a list of clauses (sets of canonical atoms), whose conjunction
+    it is; or None. There is one factor unless multiplying out would pass ``CLAUSES``; then the alternatives of the outermost
+    conjunction stay factors of their own."""
     import ast
 
     def lit(n):
@@ -308,6 +347,22 @@ def _dnf(node):
             return f"-{n.operand.value}", True
         return None, False
 
+    def product(parts):
+        out = [frozenset()]
+        for p in parts:
+            if len(out) * len(p) > CLAUSES:
+                raise _TooMany
+            out = _minimal({a | b for a in out for b in p})
+        return out
+
+    def outermost(n, neg):
+        """The conjuncts of a node, brackets and negations looked through."""
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
+            return outermost(n.operand, not neg)
+        if isinstance(n, ast.BoolOp) and isinstance(n.op, ast.And) != neg:
+            return [x for v in n.values for x in outermost(v, neg)]
+        return [(n, neg)]
+
     def go(n, neg):
         if isinstance(n, ast.BoolOp):
             is_and = isinstance(n.op, ast.And) != neg
@@ -316,10 +371,7 @@ def _dnf(node):
                 return None
             if not is_and:
                 return _minimal({c for p in parts for c in p})
-            out = [frozenset()]
-            for p in parts:
-                out = _minimal({a | b for a in out for b in p})
-            return out
+            return product(parts)
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.Not):
             return go(n.operand, not neg)
         if isinstance(n, ast.Compare) and len(n.ops) == 1:
@@ -339,7 +391,12 @@ def _dnf(node):
             return [frozenset()] if (v in ("true", "1")) != neg else []
         return None
 
-    return go(node, False)
+    try:
+        whole = go(node, False)
+        return None if whole is None else [whole]
+    except _TooMany:
+        factors = [go(n, neg) for n, neg in outermost(node, False)]
+        return None if any(f is None for f in factors) else factors
 
 
 def nested_canonical_text(n: str | None) -> str | None:
@@ -352,14 +409,16 @@ def nested_canonical_text(n: str | None) -> str | None:
         tree = ast.parse(n, mode="eval").body
     except (SyntaxError, ValueError):
         return None
-    d = _dnf(tree)
-    if d is None:
+    try:
+        factors = _dnf(tree)
+    except _TooMany:  # also within one factor: not readable as clauses
+        return None
+    if factors is None:
         return None
-    if not d:
+    if any(not d for d in factors):
         return "false"
-    if any(len(c) == 0 for c in d):
-        return "true"
-    return " or ".join(sorted({" and ".join(sorted(c)) for c in d}))
+    texts = {" or ".join(sorted({" and ".join(sorted(c)) for c in d})) for d in factors if not any(len(c) == 0 for c in d)}
+    return " AND ".join(sorted(texts)) or "true"
 
 
 @F.pandas_udf(StringType())

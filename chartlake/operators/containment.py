@@ -97,18 +97,24 @@ def path_unmatched(p1: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def containment(c: Charts, pairs: DataFrame, mode: str = "multi_hop") -> DataFrame:
-    """``(pair_id, model1, model2, paths1, matched, unmatched, contained, vacuous)``."""
+    """``(pair_id, model1, model2, paths1, matched, unmatched, unknown, contained, vacuous)``.
+
+    ``unknown`` counts the unmatched paths whose condition could not be read or decided (``cond_reason``): for these,
+    that no match was found does not mean that there is none."""
     p1, p2 = pair_paths(c, pairs, mode)
     m = path_match(p1, p2)
+    open_ = F.col("match_key").isNull() & (F.col("cond_sem").isNull() | F.col("cond_reason").isNotNull())
     per = p1.join(m, ["pair_id", "path_key"], "left").groupBy("pair_id").agg(
         F.count("*").alias("paths1"),
         F.count("match_key").alias("matched"),
+        F.count(F.when(open_, 1)).alias("unknown"),
     )
     return pairs.join(per, "pair_id", "left").select(
         "pair_id", "model1", "model2",
         F.coalesce("paths1", F.lit(0)).cast("bigint").alias("paths1"),
         F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"),
         (F.coalesce("paths1", F.lit(0)) - F.coalesce("matched", F.lit(0))).cast("bigint").alias("unmatched"),
+        F.coalesce("unknown", F.lit(0)).cast("bigint").alias("unknown"),
         (F.coalesce("paths1", F.lit(0)) == F.coalesce("matched", F.lit(0))).alias("contained"),
         (F.coalesce("paths1", F.lit(0)) == 0).alias("vacuous"),
     )

@@ -1,8 +1,9 @@
 """Graph operators over chart tables (G1-G10): Petri-net arcs, degrees, cut-points,
 reachability and cut-point paths for every model at once.
 
-All operators are keyed by ``model_id``; the iterative ones (reachability, paths) double path lengths
-each round, so the rounds grow with the logarithm of the longest path, not with the number of charts.
+All operators are keyed by ``model_id``. Cycles and reachability come from strongly connected components (``reach``);
+cut-point paths double their length each round, so rounds grow with the logarithm of the longest path, not with the
+number of charts.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
+from chartlake.operators.reach import closure, strong_components
 from chartlake.session import cut_lineage
 
 
@@ -75,44 +77,35 @@ def sink_places(c: Charts, degrees: DataFrame | None = None) -> DataFrame:
 
 
 # G6 ------------------------------------------------------------------------------
+def step_order(c: Charts) -> DataFrame:
+    """``(g, node, ord)``: the position of each declared step, first one counting."""
+    return c.steps.groupBy(F.col("model_id").alias("g"), F.col("name").alias("node")).agg(F.min("ord").alias("ord"))
+
+
+def keyed_edges(c: Charts) -> DataFrame:
+    return place_edges(c).select(F.col("model_id").alias("g"), F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+
+
 def reachability(c: Charts) -> DataFrame:
-    """Transitive closure ``(model_id, src, dst)`` over paths of length >= 1.
-
-    Path doubling for all charts at once: a round joins the pairs found so far with themselves, so a
-    longest shortest path of ``d`` hops needs about ``log2(d)`` rounds. Each round ends in the shared
-    checkpoint folder; the loop stops when a round adds no pair."""
-    pairs = cut_lineage(place_edges(c).select("model_id", "src", "dst").distinct())
-    size = pairs.count()
-    while size:
-        pairs = cut_lineage(
-            pairs.unionByName(
-                pairs.alias("a").join(
-                    pairs.alias("b"),
-                    (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.dst") == F.col("b.src")),
-                ).select(F.col("a.model_id").alias("model_id"), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-            ).distinct()
-        )
-        before, size = size, pairs.count()
-        if size == before:
-            break
-    return pairs
+    """Transitive closure ``(model_id, src, dst)`` over paths of length >= 1 (see ``reach.closure``)."""
+    return closure(keyed_edges(c), step_order(c)).select(F.col("g").alias("model_id"), F.col("u").alias("src"), F.col("v").alias("dst"))
 
 
 # G7 ------------------------------------------------------------------------------
-def cycle_places(c: Charts, reach: DataFrame | None = None) -> DataFrame:
-    r = reach if reach is not None else reachability(c)
-    return r.filter(F.col("src") == F.col("dst")).select("model_id", F.col("src").alias("place")).distinct()
+def cycle_places(c: Charts) -> DataFrame:
+    """``(model_id, place)`` of the places on a cycle: those in strongly connected components (see ``reach``), no closure."""
+    return strong_components(keyed_edges(c), step_order(c)).select(F.col("g").alias("model_id"), F.col("node").alias("place"))
 
 
 # G8 ------------------------------------------------------------------------------
-def cut_points(c: Charts, reach: DataFrame | None = None) -> DataFrame:
+def cut_points(c: Charts) -> DataFrame:
     """Initial, branching, sink and cyclic places ``(model_id, place)``."""
     d = place_degrees(c)
     return (
         initial_places(c)
         .unionByName(branch_places(c, d))
         .unionByName(sink_places(c, d))
-        .unionByName(cycle_places(c, reach))
+        .unionByName(cycle_places(c))
         .distinct()
     )
 

@@ -11,6 +11,7 @@ from chartlake.charts import Charts
 from chartlake.functions.equivalence import branch_overlap
 from chartlake.functions.guards import canonical_guards, normalize_guard
 from chartlake.operators import graph
+from chartlake.operators.reach import marked_reachable
 
 KEYWORDS = ["and", "or", "not", "true", "false"]
 
@@ -76,9 +77,9 @@ def dangling_refs(c: Charts) -> DataFrame:
 
 
 # L6 ------------------------------------------------------------------------------
-def unreachable_steps(c: Charts, reach: DataFrame | None = None) -> DataFrame:
-    r = reach if reach is not None else graph.reachability(c)
-    init = c.meta.select("model_id", F.col("initial_step").alias("src"))
-    reached = r.join(init, ["model_id", "src"], "left_semi").select("model_id", F.col("dst").alias("place")).unionByName(
-        init.select("model_id", F.col("src").alias("place")))
-    return graph.places(c).join(reached, ["model_id", "place"], "left_anti")
+def unreachable_steps(c: Charts) -> DataFrame:
+    """``(model_id, place)``: steps that no path from the initial step reaches (all, where no declared step is initial)."""
+    first = c.meta.select(F.col("model_id").alias("g"), F.col("initial_step").alias("node"), F.lit(True).alias("marked"))
+    nodes = graph.step_order(c).join(first, ["g", "node"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    reached = marked_reachable(graph.keyed_edges(c), nodes)
+    return graph.places(c).join(reached.select(F.col("g").alias("model_id"), F.col("node").alias("place")), ["model_id", "place"], "left_anti")

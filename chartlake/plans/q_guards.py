@@ -213,12 +213,13 @@ def q_path_match_dialects(spark, sf):
 
 @query("containment_dialects", compose("""
 SELECT d.pair_id, CAST(count(a.path_key) AS BIGINT) AS paths1, CAST(count(m.match_key) AS BIGINT) AS matched,
+       CAST(count(CASE WHEN m.match_key IS NULL AND a.meaning IS NULL THEN a.path_key END) AS BIGINT) AS unknown,
        count(a.path_key) = count(m.match_key) AS contained
 FROM d_pair d LEFT JOIN gx_p1 a ON a.pair_id = d.pair_id
 LEFT JOIN gx_match m ON m.pair_id = a.pair_id AND m.path_key = a.path_key GROUP BY d.pair_id""", "gx_p1", "gx_match"))
 def q_containment_dialects(spark, sf):
     c, idx = _gx(spark, sf)
-    return ct.containment(c.persist(), day_week_pairs(idx)).select("pair_id", "paths1", "matched", "contained")
+    return ct.containment(c.persist(), day_week_pairs(idx)).select("pair_id", "paths1", "matched", "unknown", "contained")
 
 
 @query("overlapping_branches_dialects", compose("""

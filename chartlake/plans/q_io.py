@@ -221,6 +221,27 @@ def q_containment_report_json(spark, sf):
     return containment_report(c.persist(), day_week_pairs(idx))
 
 
+@query("containment_report_counts", compose("""
+SELECT d.pair_id, d.model1, d.model2, CAST(count(a.path_key) AS BIGINT) AS paths1, CAST(count(m.match_key) AS BIGINT) AS matched,
+       CAST(count(a.path_key) - count(m.match_key) AS BIGINT) AS unmatched, count(a.path_key) = count(m.match_key) AS contained,
+       coalesce(string_agg(CASE WHEN m.match_key IS NOT NULL THEN a.path_key || ' = ' || m.match_key END, '|' ORDER BY a.path_key), '') AS matched_paths,
+       coalesce(string_agg(CASE WHEN m.match_key IS NULL THEN a.path_key END, '|' ORDER BY a.path_key), '') AS unmatched_paths,
+       (SELECT string_agg(g.place, ',' ORDER BY g.place) FROM g_cuts g WHERE g.model_id = d.model1) AS cutpoints1
+FROM d_pair d LEFT JOIN c_p1 a ON a.pair_id = d.pair_id LEFT JOIN c_match m ON m.pair_id = a.pair_id AND m.path_key = a.path_key
+GROUP BY d.pair_id, d.model1, d.model2""", "d_pair", "c_p1", "c_match", "g_cuts"))
+def q_containment_report_counts(spark, sf):
+    """W2 read back: counts and path lists out of each JSON document."""
+    path = "struct<path_key:string,match_key:string>"
+    doc = F.from_json("report", f"struct<model1:string,model2:string,cutpoints1:array<string>,matched_paths:array<{path}>,unmatched_paths:array<{path}>,"
+                                "summary:struct<paths1:bigint,matched:bigint,unmatched:bigint,contained:boolean>>")
+    d = q_containment_report_json(spark, sf).select("pair_id", doc.alias("d"))
+    return d.select(
+        "pair_id", "d.model1", "d.model2", "d.summary.paths1", "d.summary.matched", "d.summary.unmatched", "d.summary.contained",
+        F.array_join(F.transform("d.matched_paths", lambda p: F.concat_ws(" = ", p["path_key"], p["match_key"])), "|").alias("matched_paths"),
+        F.array_join(F.transform("d.unmatched_paths", lambda p: p["path_key"]), "|").alias("unmatched_paths"),
+        F.array_join("d.cutpoints1", ",").alias("cutpoints1"))
+
+
 # W6 --------------------------------------------------------------------------------------
 @query("outcome_routing", compose("""
 SELECT model, status, count(*) AS n_files FROM art GROUP BY model, status""", "art"))

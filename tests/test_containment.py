@@ -44,9 +44,11 @@ def test_equivalent_conditions_match(spark):
         return dict(steps=[("S", ""), ("E", "a := 1")], transitions=[("S", "E", guard)], variables=["a"], initial="S")
 
     c = chart_df(spark, {"x": one("k > 49"), "y": one("k >= 50"), "z": one("k >= 51"), "bad": one("k >> 1"), "n": one(None), "t": one("true")})
-    got = {r["pair_id"]: r["contained"] for r in ct.containment(c, _pairs(spark, [
-        ("xy", "x", "y"), ("yx", "y", "x"), ("xz", "x", "z"), ("bad", "bad", "bad"), ("nt", "n", "t")])).collect()}
+    rows = ct.containment(c, _pairs(spark, [
+        ("xy", "x", "y"), ("yx", "y", "x"), ("xz", "x", "z"), ("bad", "bad", "bad"), ("nt", "n", "t")])).collect()
+    got = {r["pair_id"]: r["contained"] for r in rows}
     assert got == {"xy": True, "yx": True, "xz": False, "bad": False, "nt": True}
+    assert {r["pair_id"]: r["unknown"] for r in rows} == {"xy": 0, "yx": 0, "xz": 0, "bad": 1, "nt": 0}
 
 
 def test_missing_guard_keeps_the_assignments(spark):

@@ -134,3 +134,39 @@ def test_atoms_of_bracketed_guards(spark):
     df = spark.createDataFrame([("not (k > 5 or x)",)], "g string")
     got = sorted((r["clause"], r["var"], r["op"], r["val"], r["negated"]) for r in guard_atoms(df, "g").collect())
     assert got == [(0, "k", "<=", "5", False), (0, "x", "", "", True)]
+
+
+def test_doubling_assignments_stay_small(spark):
+    from chartlake.functions.guards import expression_nodes
+    n = 60
+    seqs = spark.createDataFrame([(["x := 1", *["x := x + x"] * n],), (["x := 1", *["x := x + x"] * 40, "y := x"],), (["x := 1"],)], "fun_seq array<string>")
+    for longest in (10_000, 12):
+        got = seqs.select(fold_functions(F.col("fun_seq"), longest).alias("m")).collect()
+        nodes = {r["node"]: r["expr"] for r in expression_nodes(seqs, longest=longest).collect()}
+        assert all(len(v) <= max(longest, 33) for r in got for v in r["m"].values()) and len(nodes) <= n
+
+        known = {}
+
+        def value(text):
+            for node in sorted(nodes):
+                if node in text and node not in known:
+                    known[node] = value(nodes[node])
+            for node, v in known.items():
+                text = text.replace(node, str(v))
+            return eval(text)  # sums of numbers and brackets
+
+        assert sorted(value(r["m"]["x"]) for r in got) == [1, 2**40, 2**60]
+        assert value(next(r["m"]["y"] for r in got if "y" in r["m"])) == 2**40
+
+
+def test_bracketed_alternatives_do_not_multiply():
+    import time
+
+    from chartlake.functions.guards import nested_canonical_text
+    pairs = [f"(a{i} or b{i})" for i in range(20)]
+    start = time.time()
+    got = nested_canonical_text(" and ".join(pairs))
+    assert got == " AND ".join(f"a{i} or b{i}" for i in sorted(range(20), key=str)) and time.time() - start < 1
+    assert nested_canonical_text("not (" + " or ".join(f"(not a{i} and not b{i})" for i in reversed(range(20))) + ")") == got
+    assert nested_canonical_text(" and ".join([*pairs, "(c and 0)"])) == "false"
+    assert nested_canonical_text("(x and y) or (" + " and ".join(pairs) + ")") is None  # no conjunction outermost
