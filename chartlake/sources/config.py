@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Defaults of the optional configuration keys, and the names ``all`` expands to.
 CONFIG_DEFAULTS = {"max_tokens": 1000, "max_retries": 3, "temperature": 0.0, "top_p": 1.0, "top_k": 0, "n": 1, "stop": None}
@@ -38,30 +37,52 @@ def select_models(config: DataFrame, requested: list[str]) -> DataFrame:
     return F.broadcast(req).join(last, "name").filter(F.trim(F.col("c.api_key")) != "").select("req_ord", "name", "c.*")
 
 
-def read_result_sheets(spark: SparkSession, root: str, default: str | None = None, faults: bool = False) -> DataFrame:
-    """Every ``batch_report_*.csv`` under ``root`` (else the default sheet, else nothing), tagged with its file
-    name as ``source``. Sheets are read by their own headers and joined by column name; lines with more or fewer
-    cells than their header are left out, and with ``faults`` given instead as (source, line, first cell)."""
-    sheets = None
+#: One cell of a line: quoted (a quote inside is doubled or has a backslash), or up to the next comma.
+_CELL = r'(?:^|,)("(?:[^"\\]|\\.|"")*"|[^,]*)'
+
+
+def _cells(line):
+    """Cells of a line of comma-separated values; an empty cell without quotes is null."""
+    plain = F.regexp_extract_all(line, F.lit(_CELL), 1)
+    inside = lambda c: F.regexp_replace(F.regexp_replace(F.substring(c, 2, F.length(c) - 2), '""', '"'), r"\\(.)", "$1")
+    return F.transform(plain, lambda c: F.when(c.startswith('"'), inside(c)).when(c != "", c))
+
+
+def read_sheet_lines(spark: SparkSession, root: str, default: str | None = None) -> DataFrame | None:
+    """``(source, line, names, cells)``: each line of every ``batch_report_*.csv`` under ``root`` (else of the default sheet, else
+    None) with the header names of its own file and its cells.
+
+    Lines are read in splits; a file's header is the first line of its first split, and reaches the other lines by a
+    join on the file, so no file is read whole and no list of files is collected. A cell may not hold a line break."""
     for path in [root.rstrip("/") + "/batch_report_*.csv", *([default] if default else [])]:
         try:
-            sheets = spark.read.text(path, wholetext=True)
+            text = spark.read.text(path)
             break
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-    heads = [] if sheets is None else sheets.select(F.col("_metadata.file_path").alias("path"),
-                          F.trim(F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")).alias("head")).collect()
-    groups: dict[str, list[str]] = {}
-    for r in heads:
-        groups.setdefault(r["head"], []).append(r["path"])
-    source = F.regexp_extract(F.col("_metadata.file_path"), r"(batch_report_[^/]*\.csv|[^/]+\.csv)", 1)
-    out = None
-    for head, paths in sorted(groups.items()):
-        names = [c.strip().strip('"') for c in head.split(",")]
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_bad"]])
-        df = spark.read.schema(schema).option("header", "true").option("columnNameOfCorruptRecord", "_bad").option(
-            "columnPruning", "false").csv(paths).withColumn("source", source)
-        df = df.filter("_bad is not null").select("source", F.col("_bad").alias("line"), F.col(f"`{names[0]}`").alias("first")) if faults else df.filter("_bad is null").drop("_bad")
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "source string, line string, first string" if faults else "source string")
+    else:
+        return None
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line")).filter("line <> ''")
+    heads = lines.filter("at = 0").groupBy("path").agg(F.min(F.struct("id", "line")).alias("h")).select(
+        "path", F.col("h.id").alias("first"), F.transform(_cells(F.col("h.line")), lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("names"))
+    source = F.regexp_extract("path", r"(batch_report_[^/]*\.csv|[^/]+\.csv)", 1)
+    return lines.join(heads, "path").filter("at > 0 or id > first").select(source.alias("source"), "line", "names", _cells(F.col("line")).alias("cells"))
+
+
+def read_result_sheets(spark: SparkSession, root: str, default: str | None = None, faults: bool = False) -> DataFrame:
+    """Every ``batch_report_*.csv`` under ``root`` (else the default sheet, else nothing), tagged with its file
+    name as ``source``. Each line is read by its own file's header; columns are all names that occur in some header (only
+    these reach the driver). Lines with more or fewer cells than their header are left out, and with ``faults`` given
+    instead as (source, line, first cell)."""
+    lines = read_sheet_lines(spark, root, default)
+    if lines is None:
+        return spark.createDataFrame([], "source string, line string, first string" if faults else "source string")
+    whole = F.size("cells") == F.size("names")
+    if faults:
+        return lines.filter(~whole).select("source", "line", F.get("cells", F.lit(0)).alias("first"))
+    names = sorted(r.name for r in lines.select(F.explode("names").alias("name")).distinct().collect())
+    at = lambda n: F.get("cells", F.array_position("names", n).cast("int") - 1).alias(n)  # noqa: E731  (null where the file lacks it)
+    return lines.filter(whole).select(*[at(n) for n in names], "source")

@@ -81,3 +81,15 @@ def test_config_array_sheets_and_upsert_columns(spark, tmp_path):
     new = spark.createDataFrame([("a", "t", 2, 7)], "`Benchmark Name` string, Type string, x int, z int")
     r = sheet_upsert(old, new).collect()[0]
     assert (r["x"], r["y"], r["z"]) == (2, 5, 7)
+
+
+def test_sheets_of_several_layouts_with_quotes(spark, tmp_path):
+    from chartlake.sources.config import read_result_sheets
+    (tmp_path / "batch_report_1.csv").write_text('name,note\r\na,"x, ""y"" z"\r\n\r\nb,\r\n"c","q\\"r"\r\n')
+    (tmp_path / "batch_report_2.csv").write_text("note,name,more\nn,d,1\nshort,e\n")
+    (tmp_path / "batch_report_3.csv").write_text("only\n")
+    got = sorted((r["name"], r["note"], r["more"], r["source"]) for r in read_result_sheets(spark, str(tmp_path)).collect())
+    assert got == [("a", 'x, "y" z', None, "batch_report_1.csv"), ("b", None, None, "batch_report_1.csv"), ("c", 'q"r', None, "batch_report_1.csv"),
+                   ("d", "n", "1", "batch_report_2.csv")]
+    assert [tuple(r) for r in read_result_sheets(spark, str(tmp_path), faults=True).collect()] == [("batch_report_2.csv", "short,e", "short")]
+    assert read_result_sheets(spark, str(tmp_path / "none")).collect() == []
