@@ -4,6 +4,8 @@ DOT lines, report rows, reports and outcome routing."""
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from chartlake.charts import nest
@@ -249,3 +251,19 @@ def q_outcome_routing(spark, sf):
     art = artifacts(load_attempts(spark, sf))
     root = W.io_root(spark, "routing")
     return outcome_routing(art, root)
+
+
+# S10 on real folders ----------------------------------------------------------------------
+@query("list_output_files", compose("""
+SELECT model, status, ext, count(*) AS n_entries FROM art WHERE status = 'success' GROUP BY model, status, ext""", "art"))
+def q_list_output_files(spark, sf):
+    """Artifact lists written as files below model and status folders; the success folders listed by time and name, and only the
+    files of the listing read back."""
+    root = W.io_root(spark, "outputs")
+    begun = datetime.now(timezone.utc) - timedelta(seconds=5)
+    artifacts(load_attempts(spark, sf)).select("path", "ext", "model", "status").hint("rebalance", "model", "status").write.partitionBy("model", "status").csv(root)
+    listed = S.list_output_files(spark, root, since=begun, name="*.csv", status="success")
+    lines = spark.read.schema("path string, ext string").option("recursiveFileLookup", "true").csv(root).select(
+        F.col("_metadata.file_path").alias("from"), F.col("ext").alias("of"))
+    return listed.join(lines, F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("from", "^file:/*", "/")).groupBy(
+        "model", "status", F.col("of").alias("ext")).agg(F.count(F.lit(1)).alias("n_entries"))

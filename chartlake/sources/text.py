@@ -4,6 +4,9 @@ text dialects, PLCopen XML and chart maps. Parsing is regex extraction + ``from_
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,33 @@ def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     return df.select("path", ext.alias("ext"), "content").filter(F.col("ext").isin(TEXT_EXTENSIONS) | (F.col("ext") == ""))
 
 
+# S10 -----------------------------------------------------------------------------
+def list_output_files(spark: SparkSession, root: str, since: datetime | None = None, name: str = "*", model: str = "*",
+                      status: str = "*") -> DataFrame:
+    """``(path, file, ext, model, status, mtime, length)`` of the files in the folders ``model=<m>/status=<s>`` below ``root`` that were
+    changed at or after ``since``.
+
+    Model, status and file name are globs; folders that do not match are not listed, and time and name are tested while
+    folders are listed (in parallel, where there are many). No file is opened. No matching folder gives no rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    if since is not None:  # the listing compares whole seconds; the filter below is exact
+        files = files.option("modifiedAfter", (since - timedelta(seconds=1)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    schema = "path string, file string, ext string, model string, status string, mtime timestamp, length bigint"
+    try:
+        found = files.load(f"{root.rstrip('/')}/model={model}/status={status}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    part = lambda key: F.url_decode(F.regexp_replace(F.regexp_extract("path", rf"/{key}=([^/]+)/", 1), r"\+", "%2B"))
+    got = found.select("path", F.col("modificationTime").alias("mtime"), "length")
+    if since is not None:
+        got = got.filter(F.col("mtime") >= F.lit(since))
+    file = F.regexp_extract("path", r"([^/]*)$", 1)
+    return got.select("path", file.alias("file"), F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1)).alias("ext"), part("model").alias("model"),
+                      part("status").alias("status"), "mtime", "length")
+
+
 def model_from_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"model=([^/]+)", 1), "__", "/")
 

@@ -93,3 +93,23 @@ def test_sheets_of_several_layouts_with_quotes(spark, tmp_path):
                    ("d", "n", "1", "batch_report_2.csv")]
     assert [tuple(r) for r in read_result_sheets(spark, str(tmp_path), faults=True).collect()] == [("batch_report_2.csv", "short,e", "short")]
     assert read_result_sheets(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_listing_by_time_name_and_folder(spark, tmp_path):
+    import os
+    from datetime import datetime, timezone
+
+    from chartlake.sources.text import list_output_files
+    for model, status, name, at in [("a/b", "success", "x_1.txt", 1000), ("a/b", "failed", "x_2.TXT", 2000), ("c+d e", "success", "y_1.html", 3000),
+                                    ("c+d e", "success", "y_2.txt", 4000)]:
+        from urllib.parse import quote
+        folder = tmp_path / f"model={quote(model, safe='+ ')}" / f"status={status}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text("text")
+        os.utime(folder / name, (at, at))
+    names = lambda **k: sorted((r.model, r.status, r.file, r.ext, r.length) for r in list_output_files(spark, str(tmp_path), **k).collect())
+    assert len(names()) == 4 and names()[0] == ("a/b", "failed", "x_2.TXT", "txt", 4)
+    assert [x[2] for x in names(since=datetime.fromtimestamp(2000, timezone.utc))] == ["x_2.TXT", "y_1.html", "y_2.txt"]
+    assert [x[2] for x in names(since=datetime.fromtimestamp(2001, timezone.utc), name="*.txt")] == ["y_2.txt"]
+    assert [x[2] for x in names(status="success", model="c*")] == ["y_1.html", "y_2.txt"]
+    assert names(status="nothing") == [] and list_output_files(spark, str(tmp_path / "none")).collect() == []
