@@ -128,3 +128,28 @@ SELECT model_id, true AS steps_ok, true AS transitions_ok, true AS variables_ok,
 def q_type_check(spark, sf):
     c, _ = load_event_charts(spark, sf)
     return type_check(nest(c))
+
+
+# ---- F1 -------------------------------------------------------------------------------------
+@query("rule_tables", r"""
+WITH b AS (SELECT regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+rules AS (
+  SELECT DISTINCT term, 'word' AS category, 1.0 AS weight FROM (SELECT unnest(w) AS term FROM b) WHERE length(term) >= 6
+  UNION ALL
+  SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 'phrase', 3.0 FROM b, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, unnest(w) AS term FROM d
+  UNION ALL
+  SELECT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+hits AS (SELECT doc_id, category, term, count(*) AS n, max(weight) AS weight FROM runs JOIN rules USING (term) GROUP BY ALL)
+SELECT doc_id, category, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_hits, CAST(sum(weight * n) AS DOUBLE) AS score
+FROM hits GROUP BY doc_id, category""")
+def q_rule_tables(spark, sf):
+    """Rules derived from the benchmark texts (long words, and runs of three words), over all documents."""
+    from chartlake.operators.rules import WORD, rule_scores
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0)
+    b = table(spark, sf, "benchmark").select(w.alias("w"))
+    words = b.select(F.explode("w").alias("term")).filter(F.length("term") >= 6).select("term", F.lit("word").alias("category"), F.lit(1.0).alias("weight"))
+    three = b.filter(F.size("w") >= 3).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("term"))
+    return rule_scores(table(spark, sf, "documents"), words.unionByName(three.select("term", F.lit("phrase").alias("category"), F.lit(3.0).alias("weight"))))

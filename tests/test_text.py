@@ -61,3 +61,14 @@ def test_grade_and_gated_counts(spark):
     gated = one(spark, sum(X.count_matches(t, p, g) for p, g in zip(S.EXPLANATION_RES, S.EXPLANATION_GATES)), txt)
     plain = one(spark, sum(X.count_matches(t, p) for p in S.EXPLANATION_RES), txt)
     assert gated == plain == 2
+
+
+def test_rules_from_a_table(spark):
+    from chartlake.operators.rules import rule_hits, rule_scores
+    docs = spark.createDataFrame([(1, "the cat  saw the\tcat"), (2, None), (3, ""), (4, "The Cat"), (5, "a cat cat cat")], "doc_id int, text string")
+    rules = spark.createDataFrame([("cat", "animal", 2.0), ("the  cat", "phrase", None), ("cat cat", "phrase", 5.0), ("cat", "animal", 1.0), (" ", "none", 1.0),
+                                   (None, "none", 1.0)] + [(f"term{i}", "many", 1.0) for i in range(100_000)], "term string, category string, weight double")
+    got = sorted((r.doc_id, r.category, r.term, r.n, r.weight) for r in rule_hits(docs, rules).collect())
+    assert got == [(1, "animal", "cat", 2, 2.0), (1, "phrase", "the cat", 2, 1.0), (5, "animal", "cat", 3, 2.0), (5, "phrase", "cat cat", 2, 5.0)]
+    assert sorted(tuple(r) for r in rule_scores(docs, rules, fold=True).filter("doc_id = 4").collect()) == [(4, "animal", 1, 1, 2.0), (4, "phrase", 1, 1, 1.0)]
+    assert rule_hits(docs, rules.limit(0)).collect() == []
