@@ -136,7 +136,6 @@ SELECT d.pair_id, d.model1, d.model2,
        CAST(count(a.path_key) AS BIGINT) AS paths1,
        CAST(count(m.match_key) AS BIGINT) AS matched,
        CAST(count(a.path_key) - count(m.match_key) AS BIGINT) AS unmatched,
-       CAST(count(CASE WHEN m.match_key IS NULL AND a.cond_key IS NULL THEN a.path_key END) AS BIGINT) AS unknown,
        count(a.path_key) = count(m.match_key) AS contained,
        count(a.path_key) = 0 AS vacuous
 FROM d_pair d LEFT JOIN c_p1 a ON a.pair_id = d.pair_id
