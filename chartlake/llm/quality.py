@@ -116,8 +116,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, flo
                 z[rows] += RATE * value
             if path:
                 rules[_simplify(path)] = None
+    if not rules:  # too few rows for any tree to split
+        return prior, []
     a = np.stack([np.logical_and.reduce([(x[:, f] > cut) == side for f, side, cut in r]) for r in rules], axis=1).astype(float)
     keep = (a.mean(0) > 0.002) & (a.mean(0) < 0.998)
+    if not keep.any():
+        return prior, []
     a, names = a[:, keep], [r for r, k in zip(rules, keep, strict=True) if k]
     # lasso logistic regression by accelerated proximal gradient steps
     n = len(y)

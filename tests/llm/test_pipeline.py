@@ -1,7 +1,11 @@
 """The pipeline against its stages, and each stage's decisions against the operators."""
 
+import os
+import shutil
+import tempfile
+
 import corpus_pipeline
-from llm_cases import words
+from llm_cases import DOCS, documents, words
 
 import __spark_entry__ as entry
 from chartlake.llm.pii import BASE, find_pii
@@ -34,6 +38,35 @@ def test_stages_take_effect(spark):
     assert whole == sorted((r.doc_id, r.ids_sha256) for r in at["bpe"].collect())
 
 
+def _folder(spark, docs):
+    folder = tempfile.mkdtemp(prefix="pipeline-")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    shutil.copy(f"{SF}/labels.parquet", f"{folder}/labels.parquet")
+    return folder
+
+
+def test_odd_rows_and_clashing_names(spark):
+    # nulls in every column, empty, white space, very long, repeated rows, names that stages use inside
+    rows = documents(spark, 80)
+    fold = spark.createDataFrame([(*r, "a", "b", True, 1) for r in rows + rows[-6:]], DOCS + ", _node string, _id string, _first boolean, _copy int").repartition(3)
+    folder = _folder(spark, fold)
+    docs, counts = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = corpus_pipeline.stored(stage(spark, docs, folder))
+        counts[name] = (before, docs.count())
+        assert docs.columns == fold.columns, name
+    assert counts["quality"][1] > 0 and counts["pii"][0] == counts["pii"][1] and counts["near_dedup"][1] < counts["near_dedup"][0]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(last) == counts["mixing"][1]
+    assert all(r.n_tokens > 0 or r.ids_sha256 == r.decoded_sha256 for r in last)
+
+
+def test_empty_table(spark):
+    folder = _folder(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0))
+    assert os.path.isdir(f"{folder}/documents.parquet") and corpus_pipeline.run(spark, folder).collect() == []
+
+
 def test_registered():
     q = entry.queries()
-    assert "pipeline" in q and {n.split("_")[0] for n in q if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in q and {n.split("_")[0] for n in q if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
