@@ -29,6 +29,10 @@ SAMPLE = 200
 #: Pages longer than this are not in the sample.
 SAMPLE_CHARS = 20_000
 LAYOUTS, EPOCHS, HIDDEN = 1000, 20, 24
+#: Steps times pages that are labelled at a time.
+CELLS = 16_384
+#: Steps whose inputs are multiplied at a time.
+CHUNK = 4096
 PATH_DIM, WORD_DIM, MEASURES = 40, 8, 8
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 
@@ -198,9 +202,10 @@ def _run(x: np.ndarray, w: dict, keep: list | None = None) -> np.ndarray:
     steps, pages, _ = x.shape
     h, c = np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN))
     out = np.empty((steps, pages, HIDDEN))
-    pre = x @ w["x"] + w["b"]
     for t in range(steps):
-        z = pre[t] + h @ w["h"]
+        if t % CHUNK == 0:  # the inputs' part of so many steps at a time; the state goes on
+            pre = x[t:t + CHUNK] @ w["x"] + w["b"]
+        z = pre[t % CHUNK] + h @ w["h"]
         g = _sigmoid(z[:, :3 * HIDDEN])
         i, f, o = g[:, :HIDDEN], g[:, HIDDEN:2 * HIDDEN], g[:, 2 * HIDDEN:]
         u = np.tanh(z[:, 3 * HIDDEN:])
@@ -420,13 +425,18 @@ def train(words: list[str], sample: list[list[tuple[str, str, int]]] = ()) -> La
 
 
 def label_pages(net: Labeller, pages: list[list], vectors: PathVectors) -> list[np.ndarray]:
-    """For each page a mask of its main blocks; pages of like length run together."""
+    """For each page a mask of its main blocks; pages of like length run together, ``CELLS`` steps of pages at most (a page
+    of more runs alone), so that a long page is not padded to by many short ones."""
     rows = features(pages, vectors)
     cut = np.cumsum([0] + [len(p) for p in pages])
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = [k for k in np.argsort(np.diff(cut), kind="stable") if len(pages[k])]
-    for a in range(0, len(order), 128):
-        part = order[a:a + 128]
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and b - a < 128 and len(pages[order[b]]) * (b - a + 1) <= CELLS:
+            b += 1
+        part, a = order[a:b], b
         for k, s in zip(part, net.scores([rows[cut[k]:cut[k + 1]] for k in part]), strict=True):
             out[k] = s >= 0.5
     return out

@@ -1,5 +1,6 @@
 import html
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -67,6 +68,19 @@ def test_labeller_on_unseen_layouts(real):
     assert right / total > 0.98
 
 
+def test_one_page_of_very_many_blocks_beside_small_ones():
+    small = [m.blocks_of("".join(f"<div><p>some words {j} of page {k}</p><li>an entry</li></div>" for j in range(1 + k % 7))) for k in range(100)]
+    long = m.blocks_of("<article>" + "<p>a short paragraph</p><div class='menu'>a link</div>" * 30_000 + "</article>")
+    net, alone = m.Labeller(), m.PathVectors()
+    want = [m.label_pages(net, [p], alone)[0] for p in small]
+    tracemalloc.start()
+    got = m.label_pages(net, [*small[:50], long, *small[50:]], m.PathVectors())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(long) == len(got[50]) == 60_000 and peak < 300e6
+    assert all((a == b).all() for a, b in zip(want, got[:50] + got[51:], strict=True))
+
+
 def test_gradient():
     rng, net = np.random.RandomState(1), m.Labeller()
     rows = [rng.standard_normal((n, m.INPUT)) for n in (3, 5)]
