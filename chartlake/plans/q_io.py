@@ -149,6 +149,16 @@ def q_scan_plcopen_xml(spark, sf):
     return summary(S.parse_st_dialect_a(S.extract_plcopen_st(S.read_feed(spark, feed))))
 
 
+@query("scan_plcopen_project", compose(SUMMARY_SQL.format(steps="steps_text"), "wk_summary"))
+def q_scan_plcopen_project(spark, sf):
+    """Projects of many program units (the week charts of 20 users), a file each, read one row a unit."""
+    st = W.render_st_a(_week_charts(spark, sf))
+    root = W.io_root(spark, "plcopen-projects")
+    project = F.floor(F.substring_index("model_id", "/", 1).cast("bigint") / 20)
+    W.wrap_plcopen_project(st, project).select("content").write.option("maxRecordsPerFile", 1).text(root)
+    return summary(S.parse_st_dialect_a(S.read_plcopen_pous(spark, root).select("model_id", "content")))
+
+
 # S3 ---------------------------------------------------------------------------------------
 @query("scan_chart_json_map", compose(SUMMARY_SQL.format(steps="steps_text"), "wk_summary"))
 def q_scan_chart_json_map(spark, sf):

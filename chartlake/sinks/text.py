@@ -81,6 +81,15 @@ def wrap_plcopen(st: DataFrame) -> DataFrame:
     return st.select("model_id", xml.alias("content"))
 
 
+def wrap_plcopen_project(st: DataFrame, key) -> DataFrame:
+    """One PLCopen project for each value of ``key``, with a program unit for each of its charts: ``(project, content)``."""
+    unit = F.concat(F.lit('<pou name="'), xml_escape(F.col("model_id")), F.lit('" pouType="program"><body><ST><xhtml xmlns="http://www.w3.org/1999/xhtml">'),
+                    xml_escape(F.col("content")), F.lit("</xhtml></ST></body></pou>"))
+    units = st.select(key.alias("project"), unit.alias("unit")).groupBy("project").agg(F.array_join(F.sort_array(F.collect_list("unit")), "\n").alias("units"))
+    return units.select("project", F.concat(F.lit('<project xmlns="http://www.plcopen.org/xml/tc6_0201"><types><pous>\n'), F.col("units"),
+                                            F.lit("\n</pous></types></project>")).alias("content"))
+
+
 # W4 ------------------------------------------------------------------------------
 def graph_export_lines(charts: DataFrame) -> DataFrame:
     """DOT lines per chart ``(model_id, line_no, line)``: header, step nodes (initial filled),

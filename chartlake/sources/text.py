@@ -187,6 +187,14 @@ def extract_plcopen_st(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.select(*cols, F.expr(f"xpath_string({content}, \"{ST_XPATH}\")").alias(content))
 
 
+def read_plcopen_pous(spark: SparkSession, path: str) -> DataFrame:
+    """``(model_id, pou_type, content)``: one row for each program unit (``pou`` with an ``ST/xhtml`` body) of the PLCopen projects
+    below ``path``. Files are read as a stream of ``pou`` elements, so a project of many units is never one string."""
+    unit = "_name string, _pouType string, body struct<ST:struct<xhtml:struct<_VALUE:string>>>"
+    got = spark.read.format("xml").option("rowTag", "pou").option("ignoreSurroundingSpaces", "false").schema(unit).load(path)
+    return got.select(F.col("_name").alias("model_id"), F.col("_pouType").alias("pou_type"), F.col("body.ST.xhtml._VALUE").alias("content")).filter("content is not null")
+
+
 # S7 ------------------------------------------------------------------------------
 def detect_dialect(content: Column) -> Column:
     return F.when(content.contains("PROGRAM") & content.contains("END_PROGRAM"), "st").otherwise("chart")
