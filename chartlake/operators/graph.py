@@ -100,14 +100,10 @@ def cycle_places(c: Charts) -> DataFrame:
 # G8 ------------------------------------------------------------------------------
 def cut_points(c: Charts) -> DataFrame:
     """Initial, branching, sink and cyclic places ``(model_id, place)``."""
-    d = place_degrees(c)
-    return (
-        initial_places(c)
-        .unionByName(branch_places(c, d))
-        .unionByName(sink_places(c, d))
-        .unionByName(cycle_places(c))
-        .distinct()
-    )
+    arcs_in, _ = chart_arcs(c)
+    out = arcs_in.groupBy("model_id", "place").agg(F.countDistinct("t_idx").alias("n"))
+    branch_or_sink = places(c).join(out, ["model_id", "place"], "left").filter("coalesce(n, 0) <> 1").select("model_id", "place")
+    return initial_places(c).unionByName(branch_or_sink).unionByName(cycle_places(c)).distinct()
 
 
 def cut_point_lists(cuts: DataFrame) -> DataFrame:

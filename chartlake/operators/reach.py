@@ -93,7 +93,8 @@ def marked_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes(g, node, ord, marked)``; ``ord`` is any number, best the order in which edges mostly run: rounds are then few."""
     small, edges = by_size(edges.filter("u <> v"))
-    marks = nodes.filter("marked").groupBy("g").agg(F.collect_list("node").alias("marks"))  # BITS at most where joined
+    marks = nodes.filter("marked").join(edges.select("g").distinct(), "g", "left_anti").groupBy("g").agg(
+        F.collect_list("node").alias("marks"))  # marks of small graphs, and of graphs without edges
     every = F.aggregate(F.zip_with("nodes", "reach", lambda x, m: F.when(F.array_contains("marks", x), m).otherwise(F.lit(0).cast("long"))),
                         F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(m))
     near = small.join(marks, "g").select("g", F.explode(members_of("nodes", every)).alias("node"))
