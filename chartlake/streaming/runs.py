@@ -1,8 +1,8 @@
 """Structured Streaming jobs over attempt / run feeds (ST1, ST2).
 
-ST2 keeps the repair loop of every job as keyed state (``applyInPandasWithState``): attempts
-may arrive out of order and are buffered by attempt number (at most the iteration cap per job);
-the state moves open -> success / error / timeout exactly like the batch roll-up.
+ST2 keeps the attempts of every job as keyed state of a streaming aggregation (at most the iteration cap per job, and what
+arrives twice): they may arrive out of order, and each micro-batch folds the jobs it touched by column expressions;
+a run moves open -> success / error / timeout exactly like the batch roll-up.
 
 ST1 upserts the results sheet after every micro-batch into a new snapshot folder (the batch id
 is in the path, so a replayed batch rewrites its own snapshot and never the one being read).
@@ -12,83 +12,44 @@ Both write through ``foreachBatch`` into the shared I/O folder; nothing is colle
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from chartlake.operators import runs as R
 
 ATTEMPT_SCHEMA = ("job_id string, name string, type string, model string, attempt_no int, ok boolean, error boolean, "
                   "tokens bigint, secs double, message string")
-RUN_OUT = StructType([
-    StructField("job_id", StringType()), StructField("name", StringType()), StructField("type", StringType()),
-    StructField("model", StringType()), StructField("status", StringType()), StructField("iterations", IntegerType()),
-    StructField("tokens", LongType()), StructField("secs", DoubleType()), StructField("message", StringType()),
-])
-RUN_STATE = StructType([
-    StructField("name", StringType()), StructField("type", StringType()), StructField("model", StringType()),
-    StructField("next_no", IntegerType()), StructField("status", StringType()), StructField("iterations", IntegerType()),
-    StructField("tokens", LongType()), StructField("secs", DoubleType()), StructField("pending", StringType()),
-])
-
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState, cap: int = R.MAX_ITERATIONS) -> Iterator[pd.DataFrame]:
-    """One job: merge new attempts with the buffered ones and fold the contiguous prefix."""
-    (job_id,) = key
-    message = None
-    if state.exists:
-        name, typ, model, next_no, status, iters, tokens, secs, pending = state.get
-        pend = {int(k): v for k, v in json.loads(pending).items()}
-    else:
-        name = typ = model = None
-        next_no, status, iters, tokens, secs, pend = 1, "open", 0, 0, 0.0, {}
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            name, typ, model = r.name, r.type, r.model
-            if r.attempt_no >= next_no and r.attempt_no <= cap:
-                pend[int(r.attempt_no)] = [bool(r.ok), bool(r.error),
-                                           None if pd.isna(r.tokens) else int(r.tokens),
-                                           None if pd.isna(r.secs) else float(r.secs),
-                                           None if pd.isna(r.message) else str(r.message)]
-    while status == "open" and next_no in pend:
-        ok, err, tk, sc, said = pend.pop(next_no)
-        if ok:
-            status, iters = "success", next_no
-        else:
-            tokens += tk or 0
-            secs += sc or 0.0
-            iters = next_no
-            if err:
-                status, message = "error", "ERROR: " + (said or "")[:100]
-            elif next_no >= cap:
-                status = "timeout"
-        next_no += 1
-    told = state.exists and state.get[4] != "open"
-    if status != "open":
-        pend = {}
-    state.update((name, typ, model, next_no, status, iters, tokens, secs, json.dumps(pend)))
-    if told:  # finished before: its row has been written
-        return
-    yield pd.DataFrame([{
-        "job_id": job_id, "name": name, "type": typ, "model": model, "status": status, "iterations": iters,
-        "tokens": tokens, "secs": secs, "message": message,
-    }])
+RUN_OUT = ["name", "type", "model", "status", "iterations", "tokens", "secs", "message"]
+
+
+def fold_attempts(seen: DataFrame, cap: int = R.MAX_ITERATIONS) -> DataFrame:
+    """The run of each job from the attempts that have arrived (``_a``): the attempts from the first one up to the first gap, folded
+    like the batch roll-up. Of an attempt that arrives twice the earlier arrival counts."""
+    sorted_ = seen.withColumn("_a", F.array_sort("_a"))
+    once = sorted_.withColumn("_a", F.filter("_a", lambda x, i: (i == 0) | (F.get("_a", i - 1)["attempt_no"] != x["attempt_no"])))
+    run = once.withColumn("_a", F.filter("_a", lambda x, i: x["attempt_no"] == i + 1))
+    run = run.withColumn("_e", F.get(F.filter("_a", lambda x: x["ok"] | x["error"]), F.lit(0)))
+    end, error = F.col("_e.attempt_no"), F.col("_e.error") & ~F.col("_e.ok")
+    status = F.when(F.col("_e.ok"), "success").when(error, "error").when(F.size("_a") >= cap, "timeout").otherwise("open")
+    run = run.withColumn("_n", F.filter("_a", lambda x: F.coalesce((x["attempt_no"] < end) | ((x["attempt_no"] == end) & ~x["ok"]), F.lit(True))))
+    total = lambda name, zero: F.aggregate("_n", zero, lambda t, x: t + F.coalesce(x[name], zero))
+    return run.select(
+        "job_id", "name", "type", "model", status.alias("status"), F.coalesce(end, F.size("_a")).cast("int").alias("iterations"),
+        total("tokens", F.lit(0).cast("bigint")).alias("tokens"), total("secs", F.lit(0.0)).alias("secs"),
+        F.when(error, F.concat(F.lit("ERROR: "), F.substring(F.coalesce("_e.message", F.lit("")), 1, 100))).alias("message"))
 
 
 def run_state_stream(spark: SparkSession, attempts_path: str, out_path: str, files_per_trigger: int = 1) -> DataFrame:
     """ST2: stream the attempt files, keep per-job state, append every micro-batch's updates
     under ``out_path/batch=<id>``; return the final state (last update per job)."""
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     src = (spark.readStream.schema(ATTEMPT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(attempts_path)
-           .filter(F.col("attempt_no") <= R.MAX_ITERATIONS))
-    upd = src.groupBy("job_id").applyInPandasWithState(
-        _advance, RUN_OUT, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
+           .filter(F.col("attempt_no").between(1, R.MAX_ITERATIONS)))
+    # the time of the micro-batch, the same when it is run again
+    att = F.struct("attempt_no", F.current_timestamp().alias("at"), no("ok"), no("error"), "tokens", "secs", "message")
+    upd = fold_attempts(src.select("job_id", "name", "type", "model", att.alias("a")).groupBy("job_id").agg(
+        F.max("name").alias("name"), F.max("type").alias("type"), F.max("model").alias("model"), F.collect_list("a").alias("_a")))
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/updates/batch={batch_id}")
@@ -97,7 +58,7 @@ def run_state_stream(spark: SparkSession, attempts_path: str, out_path: str, fil
          .option("checkpointLocation", f"{out_path}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     u = spark.read.parquet(f"{out_path}/updates")
-    last = u.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in RUN_OUT.fieldNames() if c != "job_id"]), "batch").alias("s"))
+    last = u.groupBy("job_id").agg(F.max_by(F.struct(*RUN_OUT), "batch").alias("s"))
     return last.select("job_id", "s.*").withColumn("secs", F.round("secs", 2))
 
 

@@ -100,3 +100,13 @@ def test_job_success_rate(spark):
     r = R.job_success_rate(art).collect()[0]
     assert r["total_jobs"] == 2 and abs(r["success_rate"] - 50.0) < 1e-9
     assert [x["job"] for x in R.truly_failed(art).collect()] == ["other.json"]
+
+
+def test_fold_of_gaps_and_attempts_that_come_twice(spark):
+    from chartlake.streaming.runs import fold_attempts
+    att = "array<struct<attempt_no:int,at:timestamp,ok:boolean,error:boolean,tokens:bigint,secs:double,message:string>>"
+    rows = [("gap", "n", "t", "m", [(3, None, True, False, 1, 1.0, None), (1, None, False, False, 2, None, None)]),
+            ("late", "n", "t", "m", [(2, None, True, False, 9, 9.0, None)]),
+            ("twice", "n", "t", "m", [(1, None, False, True, 4, 2.0, "x" * 200), (1, None, False, True, 4, 2.0, "x" * 200), (2, None, True, False, 1, 1.0, None)])]
+    got = {r["job_id"]: tuple(r)[4:] for r in fold_attempts(spark.createDataFrame(rows, f"job_id string, name string, type string, model string, _a {att}")).collect()}
+    assert got == {"gap": ("open", 1, 2, 0.0, None), "late": ("open", 0, 0, 0.0, None), "twice": ("error", 1, 4, 2.0, "ERROR: " + "x" * 100)}
