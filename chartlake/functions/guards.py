@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from chartlake.charts import Charts
+from chartlake.session import stored
 
 # The name heuristic used when usage does not decide a variable's type
 # (checked in this order, Bool list first, default Bool).
@@ -121,8 +122,12 @@ def canonical_guard(g: Column) -> Column:
 
 def canonical_guards(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
     """``(guard, cg)`` over the *distinct* guard texts: flat guards in Spark SQL; only the
-    remaining guards with parentheses go through the vectorised DNF helper."""
-    d = guards.select(F.col(guard_col).alias("guard")).distinct().select(
+    remaining guards with parentheses go through the vectorised DNF helper.
+
+    The distinct texts are written first: Spark would move the test for parentheses below the ``distinct`` and read
+    every guard of the table."""
+    texts = stored(guards.select(F.col(guard_col).alias("guard")).distinct())
+    d = texts.select(
         "guard", canonical_guard(F.col("guard")).alias("cg"), normalize_guard(F.col("guard")).alias("_n"))
     nested = F.col("cg").isNull() & F.col("_n").contains("(") & ~F.col("_n").rlike(r"[-+*/%;]|>>|<<")
     done = d.filter(~nested).select("guard", "cg")

@@ -170,3 +170,11 @@ def test_bracketed_alternatives_do_not_multiply():
     assert nested_canonical_text("not (" + " or ".join(f"(not a{i} and not b{i})" for i in reversed(range(20))) + ")") == got
     assert nested_canonical_text(" and ".join([*pairs, "(c and 0)"])) == "false"
     assert nested_canonical_text("(x and y) or (" + " and ".join(pairs) + ")") is None  # no conjunction outermost
+
+
+def test_guard_keys_are_read_from_distinct_texts(spark):
+    from chartlake.functions.guards import canonical_guards
+    df = spark.createDataFrame([("a > 1",), ("a > 1",), (None,), ("(b or c)",)], "g string")
+    got = canonical_guards(df, "g")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # nothing to move the tests below
+    assert sorted(((r["guard"], r["cg"]) for r in got.collect()), key=str) == [("(b or c)", "b or c"), ("a > 1", "a > 1"), (None, "true")]
