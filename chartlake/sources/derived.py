@@ -28,11 +28,15 @@ def _k(props):
 def chart_events(events: DataFrame, periods: tuple[str, ...] = ("day", "week")) -> DataFrame:
     """Events tagged with the chart of each of the given periods they belong to."""
     ev = events.select("event_id", "ts", "user_id", "event_type", "value", _k(F.col("props")).alias("k"))
+    return in_periods(ev, periods)
+
+
+def in_periods(ev: DataFrame, periods: tuple[str, ...]) -> DataFrame:
+    """Rows once for each of the given periods, with ``period``, ``period_start`` and ``model_id``."""
     per = F.explode(F.array(*[
         F.struct(F.lit(p).alias("period"), F.date_trunc(p, "ts").alias("period_start")) for p in periods]))
     ev = ev.select("*", per.alias("_p")).select(
-        "event_id", "ts", "user_id", "event_type", "value", "k",
-        F.col("_p.period").alias("period"), F.col("_p.period_start").alias("period_start"),
+        *ev.columns, F.col("_p.period").alias("period"), F.col("_p.period_start").alias("period_start"),
     )
     return ev.withColumn(
         "model_id",
@@ -108,9 +112,13 @@ def event_charts(events: DataFrame, periods: tuple[str, ...] = ("day", "week"),
         F.concat(F.lit("acc := acc + "), F.length("event_type").cast("string"), F.lit("; last := k")).alias("function"),
     )
 
-    linked = with_next(
-        ev, ["model_id"], ["ts", "event_id"], ["event_type"], F.date_trunc(NEXT_BUCKET, "ts")
-    ).filter(F.col("_next").isNotNull())
+    # a chart's events follow each other in its user's events, so each event is linked once, whatever the periods
+    own = events.select("event_id", "ts", "user_id", "event_type", _k(F.col("props")).alias("k"),
+                        F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("_user"))
+    after = in_periods(with_next(own, ["_user"], ["ts", "event_id"], ["event_type"], F.date_trunc(NEXT_BUCKET, "ts")).filter(
+        F.col("_next").isNotNull()), tuple(periods))
+    linked = after.filter(" or ".join(
+        f"(period = '{p}' and date_trunc('{p}', _next._o.ts) <=> period_start)" for p in periods))
     if dialects:
         guard, tgt = dialect_guard(F.col("k"), F.col("event_type"), F.col("event_id"), F.col("_next.event_type"))
     else:

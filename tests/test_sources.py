@@ -113,3 +113,18 @@ def test_listing_by_time_name_and_folder(spark, tmp_path):
     assert [x[2] for x in names(since=datetime.fromtimestamp(2001, timezone.utc), name="*.txt")] == ["y_2.txt"]
     assert [x[2] for x in names(status="success", model="c*")] == ["y_1.html", "y_2.txt"]
     assert names(status="nothing") == [] and list_output_files(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_events_are_linked_once_for_all_periods(spark):
+    from chartlake.sources.derived import event_charts
+    # Sunday, Monday of the next week, Tuesday; a user and a time that are not known
+    rows = [(1, "2024-01-07 23:00:00", 5, "a"), (2, "2024-01-08 00:30:00", 5, "b"), (3, "2024-01-08 00:30:00", 5, "c"), (4, "2024-01-09 09:00:00", 5, "d"),
+            (5, "2024-01-08 01:00:00", None, "e"), (6, "2024-01-08 02:00:00", None, "f"), (7, None, 5, "g"), (8, None, 5, "h")]
+    ev = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string").selectExpr(
+        "event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "1.0D value", "'{\"k\": 60}' props")
+    tr = event_charts(ev)[0].transitions
+    plan = tr._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("lead(")  # events are linked before they are dealt to day and week charts
+    assert {(r["model_id"], r["src"][0], r["tgt"][0]) for r in tr.collect()} == {
+        ("5/week/2024-01-08", "b", "c"), ("5/week/2024-01-08", "c", "d"), ("5/day/2024-01-08", "b", "c"),
+        ("day/2024-01-08", "e", "f"), ("week/2024-01-08", "e", "f"), ("5/day", "g", "h"), ("5/week", "g", "h")}
