@@ -15,7 +15,7 @@ from chartlake.charts import Charts
 from chartlake.functions.equivalence import condition_keys
 from chartlake.functions.guards import canonical_guards, fold_functions, transform_key
 from chartlake.operators import graph
-from chartlake.session import cut_lineage
+from chartlake.session import cut_lineage, stored
 
 
 def path_semantics(c: Charts, paths: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def pair_paths(c: Charts, pairs: DataFrame, mode: str = "multi_hop") -> tuple[Da
     """Semantic paths of both sides of each pair with the transform key restricted to the
     pair's common variables: ``(pair_id, path_key, from_place, to_place, cond_key, xform_key)``."""
     used = cut_lineage(pairs.select(F.explode(F.array("model1", "model2")).alias("model_id")).distinct())
-    c = Charts(*[t.join(used, "model_id", "left_semi") for t in (c.steps, c.transitions, c.meta)])
+    c = Charts(*[stored(t.join(used, "model_id", "left_semi")) for t in (c.steps, c.transitions, c.meta)])  # read by a dozen steps
     sem = path_semantics(c, graph.cut_paths(c, mode=mode))
     sem = cut_lineage(sem.join(condition_keys(sem), "cond_key", "left"))
     cv = cut_lineage(common_variables(c, pairs))
