@@ -179,3 +179,12 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert encode(none).collect() == [] and mix_sources(none).collect() == []
     assert score_texts(none).collect() == [] and substring_dedup(none).collect() == []
+
+
+def test_unit_bigrams_count_every_token(spark):
+    import numpy as np
+    from chartlake.llm import class_lm
+    texts = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(8)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = class_lm.unit_bigrams(docs, class_lm.Units(np.zeros(0, np.uint64)))  # no word is frequent: all share units by ending
+    assert got.sum() == 8 * 501 + 2 and got[0].sum() == 10
