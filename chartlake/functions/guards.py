@@ -125,14 +125,14 @@ def canonical_guards(guards: DataFrame, guard_col: str = "guard") -> DataFrame:
     remaining guards with parentheses go through the vectorised DNF helper.
 
     The distinct texts are written first: Spark would move the test for parentheses below the ``distinct`` and read
-    every guard of the table."""
+    every guard of the table. The result is written too: a join on ``guard`` would infer the same tests for its other side."""
     texts = stored(guards.select(F.col(guard_col).alias("guard")).distinct())
     d = texts.select(
         "guard", canonical_guard(F.col("guard")).alias("cg"), normalize_guard(F.col("guard")).alias("_n"))
     nested = F.col("cg").isNull() & F.col("_n").contains("(") & ~F.col("_n").rlike(r"[-+*/%;]|>>|<<")
     done = d.filter(~nested).select("guard", "cg")
     rest = d.filter(nested).select("guard", nested_canonical(F.col("_n")).alias("cg"))
-    return done.unionByName(rest)
+    return stored(done.unionByName(rest))
 
 
 def guard_atoms(guards: DataFrame, guard_col: str = "guard") -> DataFrame:

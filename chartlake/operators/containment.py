@@ -28,30 +28,25 @@ def path_semantics(c: Charts, paths: DataFrame) -> DataFrame:
     hops = paths.select("model_id", "path_key", F.posexplode("transitions").alias("hop", "t_idx"))
     given = c.transitions.withColumn("guard", F.coalesce("guard", F.lit("")))  # no guard: always true
     gcan = canonical_guards(given)
-    tr = given.select("model_id", "t_idx", "guard", "tgt").join(gcan, "guard")
-    h = hops.join(tr, ["model_id", "t_idx"])
-    cond = h.groupBy("model_id", "path_key").agg(
+    tr = given.select("model_id", "t_idx", "guard", "tgt").join(gcan, "guard").drop("guard")
+    # step functions along the path (duplicate step names: the last definition wins)
+    fn = c.steps.groupBy("model_id", "name").agg(F.max_by("function", "ord").alias("function"))
+    tg = hops.join(tr, ["model_id", "t_idx"]).select("model_id", "path_key", "hop", "cg", F.posexplode_outer("tgt").alias("tpos", "name"))
+    h = tg.join(fn.withColumn("_step", F.lit(True)), ["model_id", "name"], "left")
+    per = stored(h.groupBy("model_id", "path_key").agg(
         F.array_sort(F.collect_set(F.when(F.col("cg") != "true", F.col("cg")))).alias("_g"),
         F.max(F.col("cg").isNull().cast("int")).alias("_bad"),
+        F.array_sort(F.collect_list(F.when(F.col("_step"), F.struct("hop", "tpos", F.coalesce("function", F.lit("")).alias("f"))))).alias("_s"),
     ).select(
         "model_id", "path_key",
         F.when(F.col("_bad") == 1, F.lit(None).cast("string"))
         .when(F.size("_g") == 0, F.lit("true"))
         .otherwise(F.array_join("_g", " AND ")).alias("cond_key"),
-    )
-    # step functions along the path (duplicate step names: the last definition wins)
-    fn = c.steps.groupBy("model_id", "name").agg(F.max_by("function", "ord").alias("function"))
-    tg = h.select("model_id", "path_key", "hop", F.posexplode("tgt").alias("tpos", "name"))
-    seq = tg.join(fn, ["model_id", "name"]).groupBy("model_id", "path_key").agg(
-        F.array_sort(F.collect_list(F.struct("hop", "tpos", F.coalesce("function", F.lit("")).alias("f")))).alias("_s")
-    ).select("model_id", "path_key", F.transform("_s", lambda x: x["f"]).alias("fun_seq"))
-    folds = seq.select("fun_seq").distinct().select("fun_seq", fold_functions(F.col("fun_seq")).alias("xform"))
-    xf = seq.join(folds, "fun_seq").drop("fun_seq")
-    return (
-        paths.join(cond, ["model_id", "path_key"], "left")
-        .join(xf, ["model_id", "path_key"], "left")
-        .withColumn("xform", F.coalesce("xform", F.create_map().cast("map<string,string>")))
-    )
+        F.transform("_s", lambda x: x["f"]).alias("fun_seq"),
+    ))
+    folds = per.select("fun_seq").distinct().select("fun_seq", fold_functions(F.col("fun_seq")).alias("xform"))
+    sem = per.join(folds, "fun_seq").drop("fun_seq")
+    return paths.join(sem, ["model_id", "path_key"], "left").withColumn("xform", F.coalesce("xform", F.create_map().cast("map<string,string>")))
 
 
 # J3 ------------------------------------------------------------------------------
