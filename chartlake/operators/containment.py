@@ -59,12 +59,20 @@ def common_variables(c: Charts, pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_paths(c: Charts, pairs: DataFrame, mode: str = "multi_hop") -> tuple[DataFrame, DataFrame]:
+def paired_charts(c: Charts, pairs: DataFrame) -> Charts:
+    """The charts that occur in pairs, stored, as a dozen steps read them."""
+    used = stored(pairs.select(F.explode(F.array("model1", "model2")).alias("model_id")).distinct())
+    return Charts(*[stored(t.join(used, "model_id", "left_semi")) for t in (c.steps, c.transitions, c.meta)])
+
+
+def pair_paths(c: Charts, pairs: DataFrame, mode: str = "multi_hop", cuts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Semantic paths of both sides of each pair with the transform key restricted to the
-    pair's common variables: ``(pair_id, path_key, from_place, to_place, cond_key, xform_key)``."""
-    used = cut_lineage(pairs.select(F.explode(F.array("model1", "model2")).alias("model_id")).distinct())
-    c = Charts(*[stored(t.join(used, "model_id", "left_semi")) for t in (c.steps, c.transitions, c.meta)])  # read by a dozen steps
-    sem = path_semantics(c, graph.cut_paths(c, mode=mode))
+    pair's common variables: ``(pair_id, path_key, from_place, to_place, cond_key, xform_key)``.
+
+    ``cuts``: the charts' cut-points, if at hand; ``c`` then are ``paired_charts``."""
+    if cuts is None:
+        c = paired_charts(c, pairs)
+    sem = path_semantics(c, graph.cut_paths(c, cuts, mode=mode))
     sem = cut_lineage(sem.join(condition_keys(sem), "cond_key", "left"))
     cv = cut_lineage(common_variables(c, pairs))
 

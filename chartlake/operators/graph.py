@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
-from chartlake.operators.reach import closure, strong_components
-from chartlake.session import cut_lineage
+from chartlake.operators.reach import closure, stored_count, strong_components
+from chartlake.session import stored
 
 
 def t_name(idx_col="t_idx"):
@@ -37,11 +37,8 @@ def places(c: Charts) -> DataFrame:
 
 def place_edges(c: Charts) -> DataFrame:
     """place -> place through one transition; only declared places have outgoing arcs."""
-    arcs_in, arcs_out = chart_arcs(c)
-    src = arcs_in.join(places(c), ["model_id", "place"], "left_semi").select(
-        "model_id", F.col("place").alias("src"), "t_idx"
-    )
-    return src.join(arcs_out.select("model_id", "t_idx", F.col("place").alias("dst")), ["model_id", "t_idx"])
+    src = c.transitions.select("model_id", "t_idx", F.explode("src").alias("place"), "tgt").join(places(c), ["model_id", "place"], "left_semi")
+    return src.select("model_id", "t_idx", F.col("place").alias("src"), F.explode("tgt").alias("dst"))
 
 
 # G2 ------------------------------------------------------------------------------
@@ -82,8 +79,8 @@ def step_order(c: Charts) -> DataFrame:
     return c.steps.groupBy(F.col("model_id").alias("g"), F.col("name").alias("node")).agg(F.min("ord").alias("ord"))
 
 
-def keyed_edges(c: Charts) -> DataFrame:
-    return place_edges(c).select(F.col("model_id").alias("g"), F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+def keyed_edges(c: Charts, edges: DataFrame | None = None) -> DataFrame:
+    return (edges if edges is not None else place_edges(c)).select(F.col("model_id").alias("g"), F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
 
 
 def reachability(c: Charts) -> DataFrame:
@@ -92,18 +89,18 @@ def reachability(c: Charts) -> DataFrame:
 
 
 # G7 ------------------------------------------------------------------------------
-def cycle_places(c: Charts) -> DataFrame:
+def cycle_places(c: Charts, edges: DataFrame | None = None) -> DataFrame:
     """``(model_id, place)`` of the places on a cycle: those in strongly connected components (see ``reach``), no closure."""
-    return strong_components(keyed_edges(c), step_order(c)).select(F.col("g").alias("model_id"), F.col("node").alias("place"))
+    return strong_components(keyed_edges(c, edges), step_order(c)).select(F.col("g").alias("model_id"), F.col("node").alias("place"))
 
 
 # G8 ------------------------------------------------------------------------------
-def cut_points(c: Charts) -> DataFrame:
-    """Initial, branching, sink and cyclic places ``(model_id, place)``."""
+def cut_points(c: Charts, edges: DataFrame | None = None) -> DataFrame:
+    """Initial, branching, sink and cyclic places ``(model_id, place)``; ``edges``: the charts' ``place_edges``, if at hand."""
     arcs_in, _ = chart_arcs(c)
-    out = arcs_in.groupBy("model_id", "place").agg(F.countDistinct("t_idx").alias("n"))
-    branch_or_sink = places(c).join(out, ["model_id", "place"], "left").filter("coalesce(n, 0) <> 1").select("model_id", "place")
-    return initial_places(c).unionByName(branch_or_sink).unionByName(cycle_places(c)).distinct()
+    out = arcs_in.groupBy("model_id", "place").agg(F.min("t_idx").alias("least"), F.max("t_idx").alias("most"))
+    branch_or_sink = places(c).join(out, ["model_id", "place"], "left").filter("least is null or least < most").select("model_id", "place")
+    return initial_places(c).unionByName(branch_or_sink).unionByName(cycle_places(c, edges)).distinct()
 
 
 def cut_point_lists(cuts: DataFrame) -> DataFrame:
@@ -131,32 +128,32 @@ def cut_paths(c: Charts, cuts: DataFrame | None = None, mode: str = "multi_hop",
     ``transitions`` holds t indices in hop order and ``path_key`` is a deterministic
     text id. ``mode='compat'`` keeps single-hop paths only.
 
-    Segments start as edges; a round appends to every segment that ends inside a path all segments
-    that start there, so segments double in length and ``log2`` of the longest path rounds suffice."""
-    cuts = cut_lineage(cuts if cuts is not None else cut_points(c))
-    is_cut = cuts.select("model_id", F.col("place").alias("dst"), F.lit(True).alias("at_cut"))
-    begins = cuts.select("model_id", F.col("place").alias("from_place"))
-    segments = (
-        place_edges(c).join(is_cut, ["model_id", "dst"], "left")
-        .select("model_id", F.col("src").alias("from_place"), "dst", F.array("t_idx").alias("transitions"),
-                F.coalesce("at_cut", F.lit(False)).alias("at_cut"))
-    )
-    rounds = 0
-    if mode == "multi_hop":
-        segments = cut_lineage(segments)
-        longest = segments.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        rounds = longest.bit_length() + 1  # what is open after that runs in a cycle that the given cuts leave out
-    for _ in range(rounds):
-        inside = segments.filter("not at_cut")
-        if inside.isEmpty():
-            break
-        longer = inside.alias("a").join(
+    Segments start as edges. Those from cut-point to cut-point are paths and are put aside; a round appends to every
+    segment that ends inside a path all segments that start there, so segments double in length and ``log2`` of the
+    longest path rounds suffice."""
+    edges = stored(place_edges(c))
+    given = cuts is not None
+    cuts = stored((cuts if given else cut_points(c, edges)).select("model_id", "place").distinct())
+    ends = lambda c, at: cuts.select("model_id", F.col("place").alias(c), F.lit(True).alias(at))
+    first = edges.withColumnRenamed("src", "from_place").join(ends("dst", "at_cut"), ["model_id", "dst"], "left").join(
+        ends("from_place", "from_cut"), ["model_id", "from_place"], "left").select(
+        "model_id", "from_place", "dst", F.array("t_idx").alias("transitions"),
+        F.coalesce("from_cut", F.lit(False)).alias("from_cut"), F.coalesce("at_cut", F.lit(False)).alias("at_cut"))
+    if mode != "multi_hop":
+        return _finish_paths(first.filter("from_cut and at_cut"), keep_loops)
+    first, inside = stored_count(first, ~F.col("at_cut"))
+    done, segments = first.filter("from_cut and at_cut"), first.filter("not (from_cut and at_cut)")
+    rounds = None  # every cycle holds own cut-points; given ones may leave one out, in which what is open after these rounds runs
+    if given and inside:
+        rounds = first.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0].bit_length() + 1
+    while inside and rounds != 0:
+        longer = segments.filter("not at_cut").alias("a").join(
             segments.alias("b"), (F.col("a.model_id") == F.col("b.model_id")) & (F.col("a.dst") == F.col("b.from_place"))
         ).select(F.col("a.model_id").alias("model_id"), F.col("a.from_place").alias("from_place"), F.col("b.dst").alias("dst"),
-                 F.concat("a.transitions", "b.transitions").alias("transitions"), F.col("b.at_cut").alias("at_cut"))
-        segments = cut_lineage(segments.filter("at_cut").unionByName(longer))
-    done = segments.filter("at_cut").join(begins, ["model_id", "from_place"], "left_semi")
-    return _finish_paths(done.select("model_id", "from_place", "dst", "transitions"), keep_loops)
+                 F.concat("a.transitions", "b.transitions").alias("transitions"), F.col("a.from_cut").alias("from_cut"), F.col("b.at_cut").alias("at_cut"))
+        segments, inside = stored_count(segments.filter("at_cut").unionByName(longer), ~F.col("at_cut"))
+        rounds = rounds - 1 if rounds else None
+    return _finish_paths(done.unionByName(segments.filter("from_cut and at_cut")), keep_loops)
 
 
 def cut_paths_compat(c: Charts, cuts: DataFrame | None = None) -> DataFrame:

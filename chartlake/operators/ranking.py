@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartlake.session import cut_lineage
+from chartlake.session import cut_lineage, stored
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "rank") -> DataFrame:
     """1-based position of each row in its ``keys`` group by ``order``.
 
     Rows are dealt by range of (keys, order), so a group with most of the rows is spread over many tasks; rows are
-    numbered inside a range, and the row counts of the group's earlier ranges are added."""
-    spark = df.sparkSession
+    numbered inside a range, and the row counts of the group's earlier ranges are added. The rows are written first, as
+    dealing by range reads them twice."""
+    spark, df = df.sparkSession, stored(df)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
     inner = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))

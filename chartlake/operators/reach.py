@@ -114,7 +114,8 @@ def strong_components(edges: DataFrame, order: DataFrame) -> DataFrame:
 
     ``order(g, node, ord)`` gives every node a number, best the order in which edges mostly run; any order is right.
     A node with an edge to itself is on a cycle. Edges whose ends cannot lie on a common cycle are dropped each turn,
-    so a turn works on what is undecided. No (source, target) pairs are built."""
+    so a turn works on what is undecided. No (source, target) pairs are built. The first turn goes by the given order;
+    along a line this drops one edge a turn, so later turns go by hashes, which break a line into pieces in both directions."""
     small, large = by_size(edges)
     ring = F.filter(F.transform(F.arrays_zip("nodes", "reach"), lambda x, i: F.struct(
         x["nodes"].alias("node"), has_bit(x["reach"], i).alias("on"),
@@ -123,15 +124,18 @@ def strong_components(edges: DataFrame, order: DataFrame) -> DataFrame:
     loops = large.filter("u = v").select("g", F.col("u").alias("node")).distinct()
     rest = large.filter("u <> v")
     rest, left = stored_count(rest.join(rest.select("g", F.col("u").alias("v")).distinct(), ["g", "v"], "left_semi").select("g", "u", "v"), F.lit(1))
-    found = None
+    found, turn = None, 0
     while left:
-        nodes = stored(_nodes_of(rest).join(order, ["g", "node"]))
+        mixed = lambda salt: F.shiftright(F.xxhash64("node", F.lit(salt)), 1)
+        ahead, behind = (mixed(turn), mixed(-turn)) if turn else (F.col("ord"), -F.col("ord"))
+        nodes = stored(_nodes_of(rest).join(order, ["g", "node"]).select("g", "node", ahead.alias("ord"), behind.alias("back")))
+        turn += 1
         ahead = greatest_reachable(rest, nodes.select("g", "node", F.struct("ord", "node").alias("label")))
         held = ahead.select("g", "node", F.col("best.node").alias("pivot"))
         ends = lambda e, s, c: e.join(s.select("g", F.col("node").alias("u"), F.col(c).alias("_a")), ["g", "u"]).join(
             s.select("g", F.col("node").alias("v"), F.col(c).alias("_b")), ["g", "v"]).filter("_a = _b")
         rest = stored(ends(rest, held, "pivot").select("g", "u", "v", F.col("_a").alias("pivot")))
-        label = F.struct((F.col("node") == F.col("pivot")).cast("int").alias("top"), (-F.col("ord")).alias("back"), "node")
+        label = F.struct((F.col("node") == F.col("pivot")).cast("int").alias("top"), "back", "node")
         back = greatest_reachable(rest.select("g", F.col("v").alias("u"), F.col("u").alias("v")),
                                   nodes.join(held, ["g", "node"]).select("g", "node", label.alias("label")))
         same = stored(ends(rest, back, "best").select("g", "u", "v", "pivot", F.col("_a.top").alias("top")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
+from chartlake.session import stored
 
 DEFAULT_TEMPLATE = (
     "Chart 1:\n{sfc1_code}\n\nChart 2:\n{sfc2_code}\n\n"
@@ -20,15 +21,23 @@ PATH_TABLE_HEADER = "From\tTo\tTransitions\tCondition\tData Transformation"
 REPLY_SCHEMA = "pair_id string, reply string, tokens bigint"
 
 
-def chart_code(c: Charts, label: str) -> DataFrame:
-    """``(model_id, code)``: the chart's steps and transitions as one text block."""
+def chart_lists(c: Charts) -> DataFrame:
+    """``(model_id, s_txt, t_txt)``: the chart's steps and transitions as texts."""
     st = c.steps.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("ord", "name", "function"))).alias("s"))
     tr = c.transitions.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("t_idx", "src", "tgt", "guard"))).alias("t"))
     s_txt = F.array_join(F.transform("s", lambda x: F.concat(F.lit("{"), x["name"], F.lit(": "), x["function"], F.lit("}"))), ", ")
     t_txt = F.coalesce(F.array_join(F.transform("t", lambda x: F.concat(
         F.array_join(x["src"], ","), F.lit(" > "), F.array_join(x["tgt"], ","), F.lit(" ["), x["guard"], F.lit("]"))), ", "), F.lit(""))
-    code = F.concat(F.lit(f"steps{label} = ["), s_txt, F.lit(f"]\ntransitions{label} = ["), t_txt, F.lit("]"))
-    return st.join(tr, "model_id", "left").select("model_id", code.alias("code"))
+    return st.join(tr, "model_id", "left").select("model_id", s_txt.alias("s_txt"), t_txt.alias("t_txt"))
+
+
+def code_text(label: str) -> Column:
+    return F.concat(F.lit(f"steps{label} = ["), "s_txt", F.lit(f"]\ntransitions{label} = ["), "t_txt", F.lit("]"))
+
+
+def chart_code(c: Charts, label: str) -> DataFrame:
+    """``(model_id, code)``: the chart's steps and transitions as one text block."""
+    return chart_lists(c).select("model_id", code_text(label).alias("code"))
 
 
 def render_prompt(template: Column | str, slots: dict[str, Column]) -> Column:
@@ -46,8 +55,9 @@ def repair_prompts(c: Charts, pairs: DataFrame, unmatched: DataFrame, template:
         "path_key", "from_place", "to_place", "cond_key", "xform_key"))).alias("p"))
     table = F.concat(F.lit(PATH_TABLE_HEADER + "\n"), F.array_join(F.transform("p", lambda x: F.concat_ws(
         "\t", x["from_place"], x["to_place"], F.substring_index(x["path_key"], ">", 1), x["cond_key"], x["xform_key"])), "\n"))
-    code1 = chart_code(c, "1").withColumnRenamed("model_id", "model1").withColumnRenamed("code", "code1")
-    code2 = chart_code(c, "2").withColumnRenamed("model_id", "model2").withColumnRenamed("code", "code2")
+    lists = stored(chart_lists(c))  # read for both sides
+    code1 = lists.select(F.col("model_id").alias("model1"), code_text("1").alias("code1"))
+    code2 = lists.select(F.col("model_id").alias("model2"), code_text("2").alias("code2"))
     j = rows.join(pairs, "pair_id").join(code1, "model1", "left").join(code2, "model2", "left")
     return j.select("pair_id", render_prompt(template, {
         "non_equiv_paths_str": table, "sfc1_code": F.coalesce("code1", F.lit("")), "sfc2_code": F.coalesce("code2", F.lit(""))

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from chartlake.charts import Charts
 from chartlake.operators import containment as ct
 from chartlake.operators import graph
+from chartlake.session import stored
 
 
 def containment_report(c: Charts, pairs: DataFrame) -> DataFrame:
-    cuts = graph.cut_point_lists(graph.cut_points(c))
-    p1, p2 = ct.pair_paths(c, pairs)
+    c = ct.paired_charts(c, pairs)
+    points = stored(graph.cut_points(c))
+    cuts = stored(graph.cut_point_lists(points))  # read for both sides
+    p1, p2 = ct.pair_paths(c, pairs, cuts=points)
     m = ct.path_match(p1, p2)
     rows = p1.join(m, ["pair_id", "path_key"], "left")
     per = rows.groupBy("pair_id").agg(

@@ -57,6 +57,15 @@ def test_cycle_without_given_cuts_ends(spark):
     assert graph.cut_paths(c, cuts).collect() == []
 
 
+def test_paths_between_cuts_are_put_aside_and_others_grow(spark):
+    line = dict(steps=[(x, "") for x in "ABCDE"], transitions=[("A", "B", ""), ("A", "C", ""), ("B", "C", ""), ("C", "D", ""), ("D", "E", "")],
+                variables=[], initial="A")
+    c = chart_df(spark, {"m": line})
+    whole = [("t_0,t_2,t_3,t_4>E",), ("t_1,t_3,t_4>E",)]
+    assert _rows(graph.cut_paths(c), "path_key") == whole
+    assert _rows(graph.cut_paths(c, graph.cut_points(c)), "path_key") == whole
+
+
 def test_degrees(spark):
     c = chart_df(spark, {"fact": FACTORIAL})
     d = {r["place"]: (r["out_degree"], r["in_degree"]) for r in graph.place_degrees(c).collect()}

@@ -178,3 +178,11 @@ def test_guard_keys_are_read_from_distinct_texts(spark):
     got = canonical_guards(df, "g")
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # nothing to move the tests below
     assert sorted(((r["guard"], r["cg"]) for r in got.collect()), key=str) == [("(b or c)", "b or c"), ("a > 1", "a > 1"), (None, "true")]
+
+
+def test_join_on_guards_reads_no_guard_twice(spark):
+    from chartlake.functions.guards import canonical_guards
+    t = spark.createDataFrame([(i, g) for i, g in enumerate(["x > 1", "(x > 1)", "k >> 1"] * 5)], "i int, guard string")
+    j = t.join(canonical_guards(t), "guard")
+    assert "regexp" not in j._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r["guard"], r["cg"]) for r in j.distinct().collect() if r["i"] < 3) == [("(x > 1)", "x > 1"), ("k >> 1", None), ("x > 1", "x > 1")]

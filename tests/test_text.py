@@ -72,3 +72,20 @@ def test_rules_from_a_table(spark):
     assert got == [(1, "animal", "cat", 2, 2.0), (1, "phrase", "the cat", 2, 1.0), (5, "animal", "cat", 3, 2.0), (5, "phrase", "cat cat", 2, 5.0)]
     assert sorted(tuple(r) for r in rule_scores(docs, rules, fold=True).filter("doc_id = 4").collect()) == [(4, "animal", 1, 1, 2.0), (4, "phrase", 1, 1, 1.0)]
     assert rule_hits(docs, rules.limit(0)).collect() == []
+
+
+def test_positions_read_their_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from chartlake.operators.ranking import positions
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(i % 3, i) for i in range(300)], "k int, v int").mapInPandas(count, "k int, v int")
+    got = {(r["k"], r["v"]): r["rank"] for r in positions(rows, ["k"], [F.desc("v")]).collect()}
+    assert got == {(i % 3, i): 100 - i // 3 for i in range(300)}
+    assert seen.value == 300
