@@ -4,7 +4,10 @@ writer into the shared I/O folder."""
 
 from __future__ import annotations
 
+import itertools
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,12 +126,35 @@ def safe_key(model_id: Column) -> Column:
     return F.regexp_replace(model_id, "/", "__")
 
 
+def _folder_name(key: str | None) -> str:
+    """The folder that a writer partitioned by ``model`` makes for a key."""
+    if not key:
+        return "model=__HIVE_DEFAULT_PARTITION__"
+    return "model=" + "".join(f"%{ord(ch):02X}" if ch < " " or ch in "\x7f\"#%'*/:=?\\{[]^" else ch for ch in key)
+
+
+def _write_files(rows, root: str, ext: str) -> None:
+    """One file for each run of rows of one model; put in place whole, so that an attempt that runs again changes nothing."""
+    for key, group in itertools.groupby(rows, key=lambda r: r["model"]):
+        folder = os.path.join(root, _folder_name(key))
+        os.makedirs(folder, exist_ok=True)
+        part = os.path.join(folder, f".{uuid.uuid4().hex}")
+        with open(part, "w", encoding="utf-8", newline="") as f:
+            f.writelines((r["content"] or "") + NL for r in group)
+        os.replace(part, os.path.join(folder, f"part-0.{ext}"))
+
+
 def write_per_model(docs: DataFrame, path: str, ext: str = "txt") -> str:
-    """One file per chart under ``path/model=<key>/``; returns ``path``."""
-    out = docs.select(safe_key(F.col("model_id")).alias("model"), "content")
-    w = out.repartition("model").write.mode("errorifexists").partitionBy("model")
-    if ext == "txt":
-        w.text(path)
-    else:
-        w.option("compression", "none").format("text").save(path)
+    """One file per chart under ``path/model=<key>/``; returns ``path``.
+
+    On a folder that all machines mount, tasks write their files themselves: Spark's writer goes through temporary
+    folders and a commit for every file, which takes longer than the files by far."""
+    out = docs.select(safe_key(F.col("model_id")).alias("model"), "content").repartition("model")
+    where = urlparse(path)
+    if where.scheme not in ("", "file"):
+        out.write.mode("errorifexists").partitionBy("model").text(path)
+        return path
+    root = unquote(where.path) if where.scheme else path
+    os.makedirs(root)
+    out.sortWithinPartitions("model").foreachPartition(lambda rows: _write_files(rows, root, ext))
     return path

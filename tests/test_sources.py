@@ -128,3 +128,20 @@ def test_events_are_linked_once_for_all_periods(spark):
     assert {(r["model_id"], r["src"][0], r["tgt"][0]) for r in tr.collect()} == {
         ("5/week/2024-01-08", "b", "c"), ("5/week/2024-01-08", "c", "d"), ("5/day/2024-01-08", "b", "c"),
         ("day/2024-01-08", "e", "f"), ("week/2024-01-08", "e", "f"), ("5/day", "g", "h"), ("5/week", "g", "h")}
+
+
+def test_one_file_a_chart_in_the_folders_of_a_partitioned_writer(spark, tmp_path):
+    import os
+    rows = [("1/week/a", "x\ny"), ("2:b=%", "z"), ("tw__o", "p"), ("tw__o", "q"), (None, "n"), ("empty", None)]
+    docs = spark.createDataFrame(rows, "model_id string, content string")
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    W.write_per_model(docs, ours)
+    docs.select(W.safe_key(F.col("model_id")).alias("model"), "content").repartition("model").write.partitionBy("model").text(theirs)
+    folders = lambda root: sorted(n for n in os.listdir(root) if not n.startswith(("_", ".")))
+    assert folders(ours) == folders(theirs) and len(folders(ours)) == 5
+    assert all(os.listdir(f"{ours}/{d}") == ["part-0.txt"] for d in folders(ours))  # nothing of the writer's commit is left
+    read = lambda root: sorted((r["model_id"], tuple(sorted(r["content"].split("\n")))) for r in S.scan_text_corpus(spark, root).select(
+        S.model_from_path(F.col("path")).alias("model_id"), "content").collect())
+    assert read(ours) == read(theirs)
+    W.write_per_model(docs.limit(0), str(tmp_path / "none"))
+    assert S.scan_text_corpus(spark, str(tmp_path / "none")).count() == 0
