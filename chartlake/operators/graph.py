@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartlake.charts import Charts
-from chartlake.operators.reach import closure, stored_count, strong_components
+from chartlake.operators.reach import closure, on_cycles, stored_count
 from chartlake.session import stored
 
 
@@ -80,7 +80,7 @@ def step_order(c: Charts) -> DataFrame:
 
 
 def keyed_edges(c: Charts, edges: DataFrame | None = None) -> DataFrame:
-    return (edges if edges is not None else place_edges(c)).select(F.col("model_id").alias("g"), F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    return (edges if edges is not None else stored(place_edges(c))).select(F.col("model_id").alias("g"), F.col("src").alias("u"), F.col("dst").alias("v"))
 
 
 def reachability(c: Charts) -> DataFrame:
@@ -91,7 +91,7 @@ def reachability(c: Charts) -> DataFrame:
 # G7 ------------------------------------------------------------------------------
 def cycle_places(c: Charts, edges: DataFrame | None = None) -> DataFrame:
     """``(model_id, place)`` of the places on a cycle: those in strongly connected components (see ``reach``), no closure."""
-    return strong_components(keyed_edges(c, edges), step_order(c)).select(F.col("g").alias("model_id"), F.col("node").alias("place"))
+    return on_cycles(keyed_edges(c, edges), step_order(c)).select(F.col("g").alias("model_id"), F.col("node").alias("place"))
 
 
 # G8 ------------------------------------------------------------------------------

@@ -37,11 +37,13 @@ def stored_count(df: DataFrame, what: Column) -> tuple[DataFrame, int]:
 def by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct edges of small graphs as one row each, ``g, nodes, reach`` (``reach[i]``: bit mask of the nodes that a path of one or
     more edges reaches from ``nodes[i]``), and the edges of all other graphs."""
-    edges = stored(edges.select("g", "u", "v").distinct())
-    nodes = _nodes_of(edges).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    large = nodes.filter(F.col("n") > BITS).select("g")
+    edges = edges.select("g", "u", "v")
+    # a graph of few edges has few nodes; the others' nodes are counted
+    many = edges.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BITS // 2).select("g")
+    nodes = _nodes_of(edges.join(many, "g", "left_semi")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(nodes.filter(F.col("n") > BITS).select("g"))
     # at most BITS^2 edges a row
-    rows = edges.join(large, "g", "left_anti").groupBy("g").agg(F.collect_list(F.struct("u", "v")).alias("e"))
+    rows = edges.join(large, "g", "left_anti").groupBy("g").agg(F.collect_set(F.struct("u", "v")).alias("e"))
     rows = rows.select("g", "e", F.array_sort(F.array_distinct(F.concat(F.col("e.u"), F.col("e.v")))).alias("nodes"))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     at = lambda x: (F.array_position("nodes", x) - 1).cast("int")
@@ -50,7 +52,7 @@ def by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     closed = F.aggregate(
         F.sequence(F.lit(0), F.size("nodes") - 1), F.col("ahead"),
         lambda m, k: F.transform(m, lambda x: F.when(has_bit(x, k), x.bitwiseOR(F.get(m, k))).otherwise(x)))
-    return rows.select("g", "nodes", ahead.alias("ahead")).select("g", "nodes", closed.alias("reach")), edges.join(large, "g", "left_semi")
+    return rows.select("g", "nodes", ahead.alias("ahead")).select("g", "nodes", closed.alias("reach")), edges.join(large, "g", "left_semi").distinct()
 
 
 def has_bit(mask: Column, i: Column) -> Column:
@@ -121,6 +123,17 @@ def strong_components(edges: DataFrame, order: DataFrame) -> DataFrame:
         x["nodes"].alias("node"), has_bit(x["reach"], i).alias("on"),
         F.get(F.filter("nodes", lambda _, j: has_bit(x["reach"], j) & has_bit(F.get("reach", j), i)), F.lit(0)).alias("root"))), lambda x: x["on"])
     near = small.select("g", F.explode(ring).alias("x")).select("g", "x.node", "x.root")
+    return near.unionByName(_large_components(large, order))
+
+
+def on_cycles(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """``(g, node)`` of the nodes that lie on a cycle."""
+    small, large = by_size(edges)
+    near = small.select("g", F.explode(F.filter("nodes", lambda _, i: has_bit(F.get("reach", i), i))).alias("node"))
+    return near.unionByName(_large_components(large, order).select("g", "node"))
+
+
+def _large_components(large: DataFrame, order: DataFrame) -> DataFrame:
     loops = large.filter("u = v").select("g", F.col("u").alias("node")).distinct()
     rest = large.filter("u <> v")
     rest, left = stored_count(rest.join(rest.select("g", F.col("u").alias("v")).distinct(), ["g", "v"], "left_semi").select("g", "u", "v"), F.lit(1))
@@ -145,7 +158,7 @@ def strong_components(edges: DataFrame, order: DataFrame) -> DataFrame:
     alone = loops.withColumn("root", F.col("node"))
     if found is not None:
         alone = found.unionByName(alone.join(found, ["g", "node"], "left_anti"))
-    return near.unionByName(alone.select("g", "node", "root"))
+    return alone.select("g", "node", "root")
 
 
 def acyclic_closure(edges: DataFrame) -> DataFrame:
@@ -154,7 +167,7 @@ def acyclic_closure(edges: DataFrame) -> DataFrame:
     Beside the pairs found so far, a round holds the pairs with a walk of exactly ``2^k`` edges; the new pairs are a pair
     found so far followed by such a walk, and the next walks are two of them. In acyclic graphs the walks run out after
     ``log2`` of the longest path, so no round has to count the pairs. Each pair is written once, in its own round."""
-    small, large = by_size(edges)
+    small, large = by_size(stored(edges))
     near = small.select("g", F.explode(F.arrays_zip("nodes", "reach")).alias("x"), "nodes").select(
         "g", F.col("x.nodes").alias("u"), F.explode(members_of("nodes", F.col("x.reach"))).alias("v"))
     walks, left = stored_count(large, F.lit(1))

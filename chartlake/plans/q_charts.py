@@ -9,6 +9,7 @@ from chartlake.operators import containment as ct
 from chartlake.operators import graph
 from chartlake.plans.registry import query
 from chartlake.plans.sql import compose
+from chartlake.session import stored
 from chartlake.sources.derived import day_week_pairs, load_event_charts
 
 
@@ -147,7 +148,7 @@ def q_common_variables(spark, sf):
 @query("path_match", compose("SELECT pair_id, path_key, match_key FROM c_match", "c_match"))
 def q_path_match(spark, sf):
     c, idx = _charts(spark, sf)
-    p1, p2 = ct.pair_paths(c, day_week_pairs(idx))
+    p1, p2 = ct.pair_paths(c, day_week_pairs(idx), expand=False)
     return ct.path_match(p1, p2)
 
 
@@ -156,7 +157,7 @@ SELECT a.pair_id, a.path_key, a.cond_key, a.xform_key FROM c_p1 a
 WHERE NOT EXISTS (SELECT 1 FROM c_match m WHERE m.pair_id = a.pair_id AND m.path_key = a.path_key)""", "c_p1", "c_match"))
 def q_path_unmatched(spark, sf):
     c, idx = _charts(spark, sf)
-    p1, p2 = ct.pair_paths(c, day_week_pairs(idx))
+    p1, p2 = ct.pair_paths(c, day_week_pairs(idx), expand=False)
     return ct.path_unmatched(p1, ct.path_match(p1, p2)).select("pair_id", "path_key", "cond_key", "xform_key")
 
 
@@ -212,9 +213,15 @@ def q_transform_equal(spark, sf):
     from chartlake.functions.guards import transform_equal
     c, idx = _charts(spark, sf)
     pairs = day_week_pairs(idx)
-    sem = ct.path_semantics(c, graph.cut_paths(c)).select("model_id", "path_key", "xform").persist()
-    cv = ct.common_variables(c, pairs)
+    c = ct.paired_charts(c, pairs)
+    paths = graph.cut_paths(c)
+    end = lambda m: paths.select(F.col("model_id").alias(m), "path_key")
+    both = stored(ct.common_variables(c, pairs).join(end("model1"), "model1").join(end("model2"), ["model2", "path_key"]))
+    # only paths whose key occurs on both sides are folded
+    met = both.select(F.explode(F.array("model1", "model2")).alias("model_id"), "path_key").distinct()
+    sem = stored(ct.path_semantics(c, paths.join(met, ["model_id", "path_key"], "left_semi")).select(
+        "model_id", "path_key", "xform").dropDuplicates(["model_id", "path_key"]))
     a = sem.withColumnRenamed("model_id", "model1").withColumnRenamed("xform", "m1")
     b = sem.withColumnRenamed("model_id", "model2").withColumnRenamed("xform", "m2")
-    j = cv.join(a, "model1").join(b, ["model2", "path_key"])
+    j = both.join(a, ["model1", "path_key"]).join(b, ["model2", "path_key"])
     return j.select("pair_id", "path_key", transform_equal(F.col("m1"), F.col("m2"), F.col("common_vars")).alias("same_transform"))

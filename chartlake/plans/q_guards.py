@@ -208,7 +208,7 @@ def _gx(spark, sf):
 @query("path_match_dialects", compose("SELECT pair_id, path_key, match_key FROM gx_match", "gx_match"))
 def q_path_match_dialects(spark, sf):
     c, idx = _gx(spark, sf)
-    return ct.path_match(*ct.pair_paths(c.persist(), day_week_pairs(idx)))
+    return ct.path_match(*ct.pair_paths(c.persist(), day_week_pairs(idx), expand=False))
 
 
 @query("containment_dialects", compose("""

@@ -215,7 +215,7 @@ FROM c_p1 a LEFT JOIN c_match m ON m.pair_id = a.pair_id AND m.path_key = a.path
 def q_containment_report_rows(spark, sf):
     c, idx = load_event_charts(spark, sf)
     idx = idx.persist()
-    p1, p2 = ct.pair_paths(c.persist(), day_week_pairs(idx))
+    p1, p2 = ct.pair_paths(c.persist(), day_week_pairs(idx), expand=False)
     j = p1.join(ct.path_match(p1, p2), ["pair_id", "path_key"], "left")
     td = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), td(html_escape(F.col("path_key"))), td(html_escape(F.col("cond_key"))),

@@ -106,8 +106,8 @@ def _prompts(spark, sf):
     idx = idx.persist()
     c = c.persist()
     pairs = day_week_pairs(idx)
-    p1, p2 = ct.pair_paths(c, pairs)
-    un = ct.path_unmatched(p1, ct.path_match(p1, p2))
+    p1, p2 = ct.pair_paths(c, pairs, expand=False)
+    un = ct.path_unmatched(p1, ct.path_match(p1, p2)).drop("model2", "common_vars")
     return RP.repair_prompts(c, pairs, un)
 
 

@@ -16,7 +16,7 @@ def containment_report(c: Charts, pairs: DataFrame) -> DataFrame:
     c = ct.paired_charts(c, pairs)
     points = stored(graph.cut_points(c))
     cuts = stored(graph.cut_point_lists(points))  # read for both sides
-    p1, p2 = ct.pair_paths(c, pairs, cuts=points)
+    p1, p2 = ct.pair_paths(c, pairs, cuts=points, expand=False)
     m = ct.path_match(p1, p2)
     rows = p1.join(m, ["pair_id", "path_key"], "left")
     per = rows.groupBy("pair_id").agg(

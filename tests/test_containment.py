@@ -60,3 +60,30 @@ def test_missing_guard_keeps_the_assignments(spark):
     from chartlake.operators import graph
     row = ct.path_semantics(c, graph.cut_paths(c)).collect()[0]
     assert row["xform"] == {"b": "2", "c": "3"} and row["cond_key"] == "x > 1"
+
+
+def test_second_side_is_held_once_for_all_its_pairs(spark):
+    c = chart_df(spark, {"simple": SIMPLE, "modified": MODIFIED, "fact": FACTORIAL, "other": {**SIMPLE, "variables": ["done"]}})
+    pairs = _pairs(spark, [(f"{m}{i}", m, "modified") for i in range(4) for m in ("simple", "fact", "modified", "other")])
+    p1, p2 = ct.pair_paths(c, pairs)
+    q1, q2 = ct.pair_paths(c, pairs, expand=False)
+    rows = lambda df, cols: sorted(map(str, df.select(*cols).collect()))
+    assert rows(p1, p1.columns) == rows(q1, p1.columns)
+    n = p2.filter("pair_id = 'modified0'").count()
+    lists = ct.common_variables(c, pairs).select("common_vars").distinct().count()
+    assert p2.count() == 16 * n and q2.count() == lists * n  # one a list of common variables, not one a pair
+    got = ct.path_match(q1, q2)
+    assert rows(got, got.columns) == rows(ct.path_match(p1, p2), got.columns) and got.count() >= 4
+
+
+def test_semantics_of_paths_with_several_targets_and_hops(spark):
+    from chartlake.operators import graph
+    chart = dict(steps=[("S", "s := 1"), ("A", "a := 1"), ("B", "b := a"), ("E", "a := a + 1; e := b")],
+                 transitions=[("S", ["A", "B", "None"], "k > 1"), ("A", "E", "k >> 1"), ("B", "E", "k > 2")], variables=["a"], initial="S")
+    c = chart_df(spark, {"m": chart})
+    paths = spark.createDataFrame([("m", "one", [0]), ("m", "two", [0, 2]), ("m", "bad", [0, 1]), ("m", "single", [2]), ("m", "unread", [1])],
+                                  "model_id string, path_key string, transitions array<int>")
+    got = {r["path_key"]: (r["cond_key"], r["xform"]) for r in ct.path_semantics(c, paths).collect()}
+    end, long = {"a": "a + 1", "e": "b"}, {"a": "(1) + 1", "b": "(1)", "e": "((1))"}  # targets are folded in order
+    assert got == {"one": ("k > 1", {"a": "1", "b": "(1)"}), "two": ("k > 1 AND k > 2", long), "bad": (None, long),
+                   "single": ("k > 2", end), "unread": (None, end)}

@@ -95,3 +95,15 @@ def test_no_edges_and_no_charts(spark):
     assert {r.place for r in quality.unreachable_steps(c).collect()} == {"p1", "p2"}
     none = Charts(c.steps.limit(0), c.transitions.limit(0), c.meta.limit(0))
     assert graph.cycle_places(none).collect() == [] and quality.unreachable_steps(none).collect() == []
+
+
+def test_nodes_on_cycles_are_those_of_the_components_with_repeated_edges(spark):
+    from chartlake.operators.reach import on_cycles
+    ring = [("r", f"n{i:03}", f"n{(i + 1) % 70:03}") for i in range(70)]  # more than a bit mask holds
+    small = [("s", "a", "b"), ("s", "b", "a"), ("s", "b", "c"), ("s", "d", "d")] * 20
+    fan = [("f", "hub", f"x{i:02}") for i in range(40)] + [("f", "x05", "hub")]  # many edges, few nodes
+    e = spark.createDataFrame(ring + small + fan, "g string, u string, v string")
+    o = e.selectExpr("g", "u node", "0 ord").unionAll(e.selectExpr("g", "v", "1")).groupBy("g", "node").agg(F.min("ord").alias("ord"))
+    got = sorted(map(tuple, on_cycles(e, o).select("g", "node").collect()))
+    assert got == sorted(map(tuple, strong_components(e, o).select("g", "node").collect()))
+    assert got == [("f", "hub"), ("f", "x05")] + [("r", f"n{i:03}") for i in range(70)] + [("s", "a"), ("s", "b"), ("s", "d")]
