@@ -289,19 +289,18 @@ def score_overall(docs: DataFrame, text_col: str = "text", name_col: str = "file
                   terms=None, rules=None) -> DataFrame:
     t = F.col(text_col)
     lt = F.col("_lt")
+    parts = {"structure": score_structure(t, patterns, lt), "content": score_content(t, patterns, terms, lt),
+             "documentation": score_documentation(t, None, lt), "completeness": score_completeness(t, F.col(name_col), rules, lt)}
+    # a column for each field, not one struct a part: what a caller does not read is not computed
     d = docs.withColumn("_lt", F.lower(t)).select(
-        "*", score_structure(t, patterns, lt).alias("structure"), score_content(t, patterns, terms, lt).alias("content"),
-        score_documentation(t, None, lt).alias("documentation"),
-        score_completeness(t, F.col(name_col), rules, lt).alias("completeness"),
-    ).drop("_lt")
-    parts = ["structure", "content", "documentation", "completeness"]
+        "*", *[part[f].alias(f"_{p}_{f}") for p, part in parts.items() for f in ("score", "issues", "n_strengths")])
     return d.select(
         *docs.columns,
         X.byte_count(t).alias("file_size"), X.line_count(t).alias("line_count"), X.word_count(t).alias("word_count"),
-        *[F.col(f"{p}.score").alias(f"{p}_score") for p in parts],
-        (sum(F.col(f"{p}.score") for p in parts) / 4).alias("overall_score"),
-        F.concat(*[F.col(f"{p}.issues") for p in parts]).alias("issues"),
-        sum(F.col(f"{p}.n_strengths") for p in parts).cast("int").alias("n_strengths"),
+        *[F.col(f"_{p}_score").alias(f"{p}_score") for p in parts],
+        (sum(F.col(f"_{p}_score") for p in parts) / 4).alias("overall_score"),
+        F.concat(*[F.col(f"_{p}_issues") for p in parts]).alias("issues"),
+        sum(F.col(f"_{p}_n_strengths") for p in parts).cast("int").alias("n_strengths"),
     )
 
 

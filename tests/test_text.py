@@ -89,3 +89,13 @@ def test_positions_read_their_rows_once(spark):
     got = {(r["k"], r["v"]): r["rank"] for r in positions(rows, ["k"], [F.desc("v")]).collect()}
     assert got == {(i % 3, i): 100 - i // 3 for i in range(300)}
     assert seen.value == 300
+
+
+def test_scores_alone_do_not_compute_issues(spark):
+    docs = spark.createDataFrame([(1, "notes.txt", "# Head one\n- **x**\nStep 1"), (2, "notes.txt", None)], "doc_id long, file_name string, text string")
+    scored = S.score_overall(docs)
+    plan = S.rank_by_each_score(scored)
+    scores = scored.select("doc_id", "overall_score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "No code examples provided" not in scores and "CASE" in scores
+    assert "No code examples provided" in scored.filter("doc_id = 1").first()["issues"]
+    assert sorted({(r["ranking"], r["rank"]) for r in plan.collect()}) == sorted((n, i) for n, _ in S.RANKINGS for i in (1, 2))
