@@ -7,12 +7,11 @@ from __future__ import annotations
 import itertools
 import os
 import uuid
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlake.session import ensure_checkpoint_dir
+from chartlake.session import ensure_checkpoint_dir, mounted
 
 NL = "\n"
 
@@ -150,11 +149,10 @@ def write_per_model(docs: DataFrame, path: str, ext: str = "txt") -> str:
     On a folder that all machines mount, tasks write their files themselves: Spark's writer goes through temporary
     folders and a commit for every file, which takes longer than the files by far."""
     out = docs.select(safe_key(F.col("model_id")).alias("model"), "content").repartition("model")
-    where = urlparse(path)
-    if where.scheme not in ("", "file"):
+    root = mounted(docs.sparkSession, path)
+    if root is None:
         out.write.mode("errorifexists").partitionBy("model").text(path)
         return path
-    root = unquote(where.path) if where.scheme else path
     os.makedirs(root)
     out.sortWithinPartitions("model").foreachPartition(lambda rows: _write_files(rows, root, ext))
     return path

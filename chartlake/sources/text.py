@@ -1,16 +1,23 @@
 """Text sources (S1-S7): file listings and chart parsers for chart text, two structured-
 text dialects, PLCopen XML and chart maps. Parsing is regex extraction + ``from_json`` /
-``xpath_string`` on whole-file rows; no Python per row."""
+``xpath_string`` on whole-file rows; Python only lists and opens the files of a mounted folder."""
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from unicodedata import category
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartlake.functions.text import strip_ws
+from chartlake.session import mounted
 
 # Extensions treated as text (extensionless files are kept too).
 TEXT_EXTENSIONS = ["txt", "md", "rst", "log", "csv", "tsv", "json", "xml", "yaml", "yml", "ini", "cfg", "conf"]
@@ -20,14 +27,107 @@ TRANS_RAW_T = "array<struct<src:string,tgt:string,guard:string>>"
 
 
 # S1 ------------------------------------------------------------------------------
+def _shown(name: bytes, folder: bool) -> bool:
+    """Whether Spark's file sources read a folder or file of this name."""
+    if (name.startswith(b"_") and b"=" not in name) or name.startswith(b"."):
+        return folder and name.startswith((b"_metadata", b"_common_metadata"))
+    return not name.endswith(b"._COPYING_")
+
+
+def _entries(folder: bytes) -> Iterator[tuple[bytes, bool]]:
+    """(path, whether it is a folder) of what is in a folder, as it is listed."""
+    with os.scandir(folder) as found:
+        for e in found:
+            is_folder = e.is_dir()
+            if (is_folder or e.is_file()) and _shown(e.name, is_folder):
+                yield e.path, is_folder
+
+
+def _files(path: bytes, is_folder: bool) -> Iterator[bytes]:
+    if not is_folder:
+        yield path
+        return
+    for entry in _entries(path):
+        yield from _files(*entry)
+
+
+def _uri(path: bytes) -> str:
+    """A path as ``_metadata.file_path`` spells it: letters beyond ASCII stay, what an URI cannot hold is escaped."""
+    text = path.decode("utf-8", "replace")
+    return "file:" + "".join(c if c > "\xa0" and category(c)[0] != "Z" else quote(c, safe="/;:@&=+$,-_.!~*'()") for c in text)
+
+
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], rows_most: int = 1000, bytes_most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Record batches of bounded size; the last value of a row is what may be large."""
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+    for r in rows:
+        held.append(r)
+        size += len(r[-1]) if isinstance(r[-1], bytes) else 0
+        if len(held) >= rows_most or size >= bytes_most:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+
+def _mounted_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, file)`` of all files below a folder that all machines mount. One task lists the folder itself and others
+    what is in it, as streams: no process holds the listing, however many files there are."""
+    top, tasks = os.fsencode(folder.rstrip("/") or "/"), _tasks(spark)
+
+    def listed(_):
+        return _batches(_entries(top), ["entry", "folder"], [pa.binary(), pa.bool_()], 10_000)
+
+    def walked(batches):
+        return _batches(((_uri(f), f) for e in _rows(batches) for f in _files(*e)), ["path", "file"], [pa.string(), pa.binary()], 10_000)
+
+    return (spark.range(0, 1, 1, 1).mapInArrow(listed, "entry binary, folder boolean").repartition(tasks, "entry")
+            .mapInArrow(walked, "path string, file binary"))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that files are dealt to: sizes of paths say nothing about the work, so partitions are not left to AQE."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path, extension and bytes of each file; empty files are left out, as by Spark's file sources."""
+
+    def read():
+        for path, file, ext in _rows(batches):
+            with open(file, "rb") as f:
+                data = f.read()
+            if data:
+                yield path, ext, data
+
+    return _batches(read(), ["path", "ext", "content"], [pa.string(), pa.string(), pa.binary()])
+
+
 def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, ext, content)`` for every text file below ``root`` (recursive), in no order.
-    Each file is one row (``wholetext``)."""
-    df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    """``(path, ext, content)`` for every text file below ``root`` (recursive), in no order. Each file is one row.
+
+    Spark's file sources hold the status and the split of every file in the driver, some kilobytes a file. Below a folder
+    that all machines mount, tasks therefore list and read the files; other roots (another scheme, a glob, one file) are read
+    by Spark's source."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
-    return df.select("path", ext.alias("ext"), "content").filter(F.col("ext").isin(TEXT_EXTENSIONS) | (F.col("ext") == ""))
+    is_text = F.col("ext").isin(TEXT_EXTENSIONS) | (F.col("ext") == "")
+    folder = mounted(spark, root)
+    if folder is not None and os.path.isdir(folder) and not re.search(r"[*?\[\]{}\\]", folder):
+        files = _mounted_files(spark, folder).withColumn("ext", ext).filter(is_text).repartition(_tasks(spark), "path")
+        read = files.mapInArrow(_contents, "path string, ext string, content binary")
+        return read.select("path", "ext", F.col("content").cast("string").alias("content"))
+    df = (spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    return df.select("path", ext.alias("ext"), "content").filter(is_text)
 
 
 # S10 -----------------------------------------------------------------------------

@@ -145,3 +145,23 @@ def test_one_file_a_chart_in_the_folders_of_a_partitioned_writer(spark, tmp_path
     assert read(ours) == read(theirs)
     W.write_per_model(docs.limit(0), str(tmp_path / "none"))
     assert S.scan_text_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scan_of_a_mounted_folder_lists_in_tasks(spark, tmp_path):
+    import os
+    root = str(tmp_path / "tree x%é")
+    for name, data in {"a b/x.TXT": b"\xef\xbb\xbfhi\r\n", "a b/c#d/y ü.md": b"\xff\x00x", "noext": b"e", "pic.png": b"p", "empty.txt": b"", "_hidden.txt": b"h",
+                       "_k=1/z.txt": b"k", "_k=2.txt": b"k", "_temporary/z.txt": b"t", "_metadata": b"m", "_metadata.d/q.txt": b"m", ".h/z.txt": b"h", "t.txt._COPYING_": b"c",
+                       "50%25[1]{2}^'~.txt": b"4", "sep\u2028\u00a0.txt": b"u"}.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(data)
+    os.symlink(f"{root}/a b", f"{root}/link")
+    os.symlink(f"{root}/nothing", f"{root}/broken.txt")
+    got = S.scan_text_corpus(spark, root)
+    assert got.inputFiles() == []  # the driver holds no file of the listing
+    theirs = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).selectExpr("_metadata.file_path as path", "value as content")
+    rows = lambda df: sorted((r[0], r[1]) for r in df.select("path", F.hex("content")).collect())
+    assert rows(got) == rows(theirs.filter("path not like '%.png'")) and got.count() == 10
+    assert rows(S.scan_text_corpus(spark, f"file://{root}")) == rows(got)
+    assert {r["ext"] for r in got.collect()} == {"txt", "md", ""}
