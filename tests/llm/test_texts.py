@@ -188,3 +188,55 @@ def test_unit_bigrams_count_every_token(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     got = class_lm.unit_bigrams(docs, class_lm.Units(np.zeros(0, np.uint64)))  # no word is frequent: all share units by ending
     assert got.sum() == 8 * 501 + 2 and got[0].sum() == 10
+
+
+def test_class_lm_gives_every_training_word_a_class_by_its_contexts(spark):
+    """Words beyond the units, all of one ending, part by what stands beside them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from chartlake.llm import class_lm as m
+
+    filler = [" ".join(f"f{i}x{i % 7}" for i in range(k, k + 100)) for k in range(0, m._WORDS + 300, 100) for _ in range(5)]
+    one, two = [f"p{i}zz" for i in range(150)], [f"q{i}zz" for i in range(150)]
+    texts = filler + [f"red {a} blue" for a in one] * 2 + [f"green {b} white" for b in two] * 2
+    model, words, total = m.train(spark.createDataFrame([(t, False) for t in texts], "text string, held boolean"))
+    class_of = {r.h: (r.c, r.k) for r in words.collect()}
+    assert len(class_of) == len({w for t in texts for w in t.split()}) + 1 and total == sum(len(t.split()) + 1 for t in texts)
+    got = lambda ws: [class_of[int(h)] for h in m._Tokens(pa.array([" ".join(ws)])).h[:-1].view(np.int64)]
+    assert {c for c, _ in got(one + two)} == {2}
+    (a, na), (b, nb) = (Counter(k for _, k in got(ws)).most_common(1)[0] for ws in (one, two))
+    assert a != b and na >= 135 and nb >= 135  # before: all had the class of their ending
+
+
+def test_class_lm_does_not_depend_on_the_words_that_tasks_hold(spark, monkeypatch):
+    """Rare words get counts and classes by a join; they score as if every task held them."""
+    from chartlake.llm import class_lm as m
+
+    rows = documents(spark, 120)
+    want = sorted(map(tuple, score_texts(frame(spark, rows)).collect()), key=str)
+    monkeypatch.setattr(m, "TABLE", m._WORDS + 10)
+    got = sorted(map(tuple, score_texts(frame(spark, rows)).collect()), key=str)
+    assert len(got) == len(want)
+    for x, y in zip(got, want, strict=True):
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
+
+
+def test_best_classes_equal_brute_force():
+    import numpy as np
+
+    from chartlake.llm import class_lm as m
+
+    rng, n, v = np.random.RandomState(3), 5, 40
+    seq = np.r_[0, (rng.zipf(1.4, 800) - 1) % (v - 1) + 1, 5, 5, 0]  # word 0 is the end, with the last class for itself
+    pairs = np.zeros((v, v))
+    np.add.at(pairs, (seq[:-1], seq[1:]), 1)
+    classes = np.r_[n - 1, rng.randint(0, n - 1, v - 1)]
+    s = m._class_bigrams(pairs, classes, n)
+    near = lambda d, w: np.bincount(classes, np.where(np.arange(v) == w, 0, d), n).astype(np.int64)
+    ws = np.arange(1, v)
+    got = m.best_classes(np.array([near(pairs[w], w) for w in ws]), np.array([near(pairs[:, w], w) for w in ws]), pairs[ws, ws].astype(np.int64), classes[ws], s)
+    for w, k in zip(ws, got, strict=True):
+        value = [m.likelihood(pairs, np.where(np.arange(v) == w, b, classes), n) for b in range(n - 1)]
+        assert value[k] == pytest.approx(max(value), abs=1e-6)
+    assert (got != classes[ws]).any() and pairs[5, 5] > 0
